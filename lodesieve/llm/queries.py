@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leaks, packing
+from . import leaks, packing, quality
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,16 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.not_prose(quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).distinct()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_packing, p7_found)}
+    return {f.__name__: f for f in (p6_packing, p7_found, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
