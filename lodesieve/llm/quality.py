@@ -88,7 +88,7 @@ def _unit_kind(s: str, words: list[str], spoilt: int) -> int:
     if n and 10 * sum(map(_is_navigation, words)) > 7 * n or "=" in s and _LOG.search(s) or _HEX.match(s):
         return 3
     if letters < 0.3 * len(bare) and letters + _digits(bare) < 0.3 * (len(bare) - bare.count(" ")) and not _LEADERS.search(s):
-        return 2 if _ROW.search(s) else 3
+        return 2 if _ROW.search(s) and len(bare.translate(_NO_FRAME)) - letters - _digits(bare) < 0.3 * len(bare) else 3
     if spoilt > max(1, 0.12 * n):
         return 3
     if _ROW.search(s):
@@ -120,6 +120,7 @@ def _unit_kind(s: str, words: list[str], spoilt: int) -> int:
     return 1 if n <= 9 or common < 0.06 else 0
 
 
+_NO_FRAME = dict.fromkeys(map(ord, "─━═│|┌┐└┘├┤┬┴┼ +-=\t"))
 _is_common, _is_navigation = COMMON.__contains__, NAVIGATION.__contains__
 
 

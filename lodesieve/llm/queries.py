@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leaks, packing, quality
+from . import leaks, name_variants, packing, quality
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.payments_of_listed(table(spark, sf_dir, "txn_event"), table(spark, sf_dir, "opensanctions_target"), table(spark, sf_dir, "un_entity"))
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_packing, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p6_packing, p7_found, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
