@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(cores: str = "8", app: str = "lodesieve", **conf: str) -> SparkSession:
@@ -29,6 +29,7 @@ def get_spark(cores: str = "8", app: str = "lodesieve", **conf: str) -> SparkSes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +50,18 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_key: int) -> DataFrame:
-    """Keys with more than ``rows_per_key`` rows, counted with map-side combine. At most rows / rows_per_key of them."""
-    return df.groupBy(key).count().where(F.col("count") > rows_per_key).select(key)
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, so that they needn't have it installed or on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodesieve_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="lodesieve-"), "lodesieve.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(here):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(path)
+    sc._lodesieve_shipped = True
