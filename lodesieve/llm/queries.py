@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import leaks, name_variants, packing, quality
+from . import entity_match, leaks, name_variants, packing, quality
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.payments_of_listed(table(spark, sf_dir, "txn_event"), table(spark, sf_dir, "opensanctions_target"), table(spark, sf_dir, "un_entity"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matches(spark, sf_dir).select("entity_id", "un_id").distinct()
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = entity_match.match_lists(table(spark, sf_dir, "opensanctions_target"), table(spark, sf_dir, "un_entity"))
+    return pairs.where(F.col("confidence") >= entity_match.MatchParams().threshold)
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -29,7 +39,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p6_packing, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_matches, p6_packing, p7_found, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
