@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +34,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is read from the session. Only where it is unset (tests, a laptop) a temporary one is made,
-    and then only for a local master: on a cluster a machine-local folder could not be read by the others.
+    It is read from the session. Only where it is unset (tests, a laptop) a temporary one is made, and then only for a
+    local master: on a cluster a machine-local folder could not be read by the others.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), f"lodesieve-checkpoints-{os.getpid()}")
-        sc.setCheckpointDir(named)
-    return df.checkpoint(eager)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = os.path.join(tempfile.gettempdir(), f"lodesieve-{os.getpid()}")
+    return f"{named.rstrip('/')}/lodesieve-{sc.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table written to the shared folder: columnar and compressed, it survives lost executors, and
+    what was computed with chance (task numbers, say) is fixed by it. The folder is per application."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:
