@@ -53,78 +53,91 @@ def core_tokens(key: Column) -> Column:
 
 
 def with_counts(typed: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, listed int[], typed int[]) for both sides: per token, the listed records and the typed names that have it.
+    """(id, listed int[], typed int[]) for both sides: per token, the listed records and the typed names that have it.
 
-    ``typed`` has key; ``listed`` has key and record (what counts once)."""
+    ``typed`` has id and key; ``listed`` has id, key and record (what counts once). Names travel as 64-bit ids; should two
+    names ever share one, both are compared, so that nothing is lost."""
     lt = listed.select("record", F.explode(core_tokens(F.col("key"))).alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n_listed"))
-    tt = typed.select("key", F.explode(F.array_distinct(core_tokens(F.col("key")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_typed"))
-    counts = lt.join(tt, "token", "full").select("token", F.coalesce("n_listed", F.lit(0)).alias("n_listed"), F.coalesce("n_typed", F.lit(0)).alias("n_typed"))
+    tt = typed.select("id", F.explode(F.array_distinct(core_tokens(F.col("key")))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n_typed"))
+    counts = cut(lt.join(tt, "token", "full").select("token", F.coalesce("n_listed", F.lit(0)).cast("int").alias("l"), F.coalesce("n_typed", F.lit(0)).cast("int").alias("t")))
 
     def back(keys: DataFrame) -> DataFrame:
-        t = keys.select("key", F.posexplode(core_tokens(F.col("key"))).alias("pos", "token")).join(counts, "token", "left")
-        g = t.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n_listed", F.lit(0)).alias("l"), F.coalesce("n_typed", F.lit(0)).alias("t")))).alias("c"))
-        return g.select("key", F.col("c.l").cast("array<int>").alias("listed"), F.col("c.t").cast("array<int>").alias("typed"))
+        t = keys.select("id", F.posexplode(core_tokens(F.col("key"))).alias("pos", "token")).join(counts, "token")
+        g = t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "l", "t"))).alias("c"))
+        return g.select("id", F.col("c.l").alias("listed"), F.col("c.t").alias("typed"))
 
-    return back(typed.select("key").distinct()), back(listed.select("key").distinct())
+    return back(typed.select("id", "key").distinct()), back(listed.select("id", "key").distinct())
 
 
 def block_keys(names: DataFrame, p: VariantParams) -> DataFrame:
-    """(key, a, b, c, t, u): for every ordered pair of tokens the suffix key and its two refinements."""
+    """(id, a, b, c, w, t, u, known_t, known_u) from (id, key, listed): for every ordered pair of tokens the suffix key a
+    with its refinements b and c, and w for initials; what stands for the tokens when candidates are cut."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for key in pdf["key"]:
+            for i_, key, listed in zip(pdf["id"], pdf["key"], pdf["listed"], strict=True):
                 n = from_key(key)
                 toks = [*n.core, *sorted(n.sector)]
                 sk = [skeleton(x) for x in toks]
                 mu = [mutated(x) for x in toks]
                 m = len(n.core)
+                known = [*(x > 0 for x in (listed if listed is not None else [0] * m)), *[True] * len(n.sector)]
                 seen = set()
                 for i, t in enumerate(toks):
                     if len(t) < 2:
                         continue
                     suffix = sk[i][-p.suffix :]
-                    for j in range(len(toks)):
-                        if i != j and (i < m or j < m):
-                            a = f"{suffix}|{toks[j][0]}"
-                            if (a, mu[i], mu[j]) not in seen:
-                                seen.add((a, mu[i], mu[j]))
-                                whole = f"{mu[i]}|{toks[j][0]}."  # for initials: all of t instead of more of u
-                                if len(toks[j]) > 1:
-                                    rows.append((key, a, f"{suffix}|{sk[j][:2]}", f"{mu[i]}|{sk[j][:3]}", mu[i], mu[j]))
-                                if j < m:
-                                    rows.append((key, whole, whole, whole, mu[i], mu[j]))
+                    for j, u in enumerate(toks):
+                        if i != j and (i < m or j < m) and (mu[i], mu[j]) not in seen:
+                            seen.add((mu[i], mu[j]))
+                            more = len(u) > 1
+                            rows.append((i_, f"{suffix}|{u[0]}", f"{suffix}|{sk[j][:2]}" if more else None, f"{mu[i]}|{sk[j][:3]}" if more else None, f"{mu[i]}|{u[0]}." if j < m else None, mu[i], mu[j], known[i], known[j]))
                 if m == 1:
                     # alone, or several words written as one
-                    rows.append((key, *[f"={mu[0]}"] * 3, "", ""))
+                    rows.append((i_, f"={mu[0]}", None, f"={mu[0]}", None, "", "", False, False))
                 elif m <= 3:
                     for joined in {mutated("".join(n.core)), mutated("".join(reversed(n.core)))}:
-                        rows.append((key, *[f"={joined}"] * 3, "", ""))
-            yield pd.DataFrame(rows, columns=["key", "a", "b", "c", "t", "u"])
+                        rows.append((i_, f"={joined}", None, f"={joined}", None, "", "", False, False))
+            yield pd.DataFrame(rows, columns=["id", "a", "b", "c", "w", "t", "u", "known_t", "known_u"])
 
-    return names.select("key").mapInPandas(run, "key string, a string, b string, c string, t string, u string")
+    return names.select("id", "key", "listed").mapInPandas(run, "id long, a string, b string, c string, w string, t string, u string, known_t boolean, known_u boolean")
+
+
+def _overly_common(listed_keys: DataFrame, column: str, p: VariantParams) -> DataFrame:
+    """Keys of more than ``common_block`` listed names. There are at most rows / common_block of them; the side is
+    broadcast only if that is checked to be little."""
+    found = cut(listed_keys.where(F.col(column).isNotNull()).groupBy(column).agg(F.count_distinct("id").alias("n")).where(F.col("n") > p.common_block).select(column, F.lit(True).alias(f"common_{column}")))
+    return F.broadcast(found) if found.count() <= 50_000 else found
 
 
 def candidate_pairs(typed: DataFrame, listed: DataFrame, p: VariantParams) -> DataFrame:
-    """(typed, listed): distinct keys of names that share a block and whose blocked tokens are within three letters."""
-    left, right = cut(block_keys(typed, p)), cut(block_keys(listed, p))
-    common = lambda k: right.groupBy(k).agg(F.countDistinct("key").alias("n")).where(F.col("n") > p.common_block).select(k, F.lit(True).alias(f"common_{k}"))
-    common_a, common_b = common("a"), common("b")
+    """(typed, listed): distinct ids of names that share a block and whose blocked tokens may be the same: a typed token
+    that is a listed one must be it, another must be within a few letters."""
+    left, right = block_keys(typed, p), cut(block_keys(listed, p))
+    common_a, common_b = _overly_common(right, "a", p), _overly_common(right, "b", p)
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
         r = rows.join(common_a, "a", "left").join(common_b, "b", "left")
-        k = F.when(F.col("common_a").isNull(), F.concat(F.lit("a:"), "a")).when(F.col("common_b").isNull(), F.concat(F.lit("b:"), "b")).otherwise(F.concat(F.lit("c:"), "c"))
-        return r.select(F.xxhash64(k).alias("block"), F.col("key").alias(side), F.col("t").alias(f"t_{side}"), F.col("u").alias(f"u_{side}"))
+        tag = lambda k: F.xxhash64(F.concat(F.lit(f"{k}:"), k))
+        fine = F.when(F.col("common_b").isNull() & F.col("b").isNotNull(), tag("b")).otherwise(tag("c"))
+        keys = F.when(F.col("common_a").isNull(), F.array(tag("a"))).otherwise(F.array(F.when(F.col("c").isNotNull(), fine), F.when(F.col("w").isNotNull(), tag("w"))))
+        known = [F.col("known_t"), F.col("known_u")] if side == "typed" else []
+        return r.select(F.explode(F.array_distinct(F.array_compact(keys))).alias("block"), F.col("id").alias(side), F.col("t").alias(f"t_{side}"), F.col("u").alias(f"u_{side}"), *known)
+
+    def same(x: str) -> Column:
+        a, b = F.col(f"{x}_typed"), F.col(f"{x}_listed")
+        slack = F.when(F.length(a) >= 8, 3).when(F.length(a) >= 5, 2).otherwise(1)
+        near = F.levenshtein(a, b, 3)
+        return (a == b) | ~F.col(f"known_{x}") & (near >= 0) & (near <= slack)
 
-    near = lambda x: F.levenshtein(F.col(f"{x}_typed"), F.col(f"{x}_listed"), 3) >= 0
     initial = (F.length("u_typed") == 1) | (F.length("u_listed") == 1)
-    pairs = keyed(left, "typed").join(keyed(right, "listed"), "block").where(near("t") & (initial | near("u")))
+    pairs = keyed(left, "typed").join(keyed(right, "listed"), "block").where(same("t") & (initial | same("u")))
     return pairs.select("typed", "listed").distinct()
 
 
 def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: int, p: VariantParams) -> DataFrame:
-    """(typed, listed, score) of the pairs that can be one name. The sides bring their token counts along."""
+    """(typed, listed, score) of the pairs of ids that can be one name. The sides bring key and token counts along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -132,19 +145,19 @@ def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: int,
             lists: dict[str, int] = {}
             types: dict[str, int] = {}
             known = Vocabulary(_Present(lists), types, common=usual)
-            names = {k: from_key(k) for k in {*pdf["typed"], *pdf["listed"]}}
-            for k, l, t in zip([*pdf["typed"], *pdf["listed"]], [*pdf["l1"], *pdf["l2"]], [*pdf["t1"], *pdf["t2"]], strict=True):
+            names = {k: from_key(k) for k in {*pdf["k1"], *pdf["k2"]}}
+            for k, l, t in zip([*pdf["k1"], *pdf["k2"]], [*pdf["l1"], *pdf["l2"]], [*pdf["t1"], *pdf["t2"]], strict=True):
                 for tok, a, b in zip(names[k].core, l, t, strict=False):
                     lists[tok], types[tok] = a, b
-            for a, b in zip(pdf["typed"], pdf["listed"], strict=True):
+            for i, j, a, b in zip(pdf["typed"], pdf["listed"], pdf["k1"], pdf["k2"], strict=True):
                 s = compare(names[a], names[b], known)
                 if s >= p.least_score:
-                    out.append((a, b, s))
+                    out.append((i, j, s))
             yield pd.DataFrame(out, columns=["typed", "listed", "score"])
 
-    t = typed.select(F.col("key").alias("typed"), F.col("listed").alias("l1"), F.col("typed").alias("t1"))
-    r = listed.select(F.col("key").alias("listed"), F.col("listed").alias("l2"), F.col("typed").alias("t2"))
-    return pairs.join(t, "typed").join(r, "listed").mapInPandas(run, "typed string, listed string, score double")
+    t = typed.select(F.col("id").alias("typed"), F.col("key").alias("k1"), F.col("listed").alias("l1"), F.col("typed").alias("t1"))
+    r = listed.select(F.col("id").alias("listed"), F.col("key").alias("k2"), F.col("listed").alias("l2"), F.col("typed").alias("t2"))
+    return pairs.join(t, "typed").join(r, "listed").mapInPandas(run, "typed long, listed long, score double")
 
 
 class _Present(dict):
@@ -165,14 +178,16 @@ def linked_names(typed: DataFrame, listed: DataFrame, p: VariantParams | None =
     """(name, record, score) from ``typed`` (name) and ``listed`` (name, record): every typed spelling with the records
     one of whose names it can be."""
     p = p or VariantParams()
-    t = cut(parsed(typed.where("name is not null and trim(name) <> ''").select("name").distinct(), "name"))
-    r = cut(parsed(listed.where("name is not null and trim(name) <> '' and record is not null").select("name", "record").distinct(), "name").select("record", "key").distinct())
+    name_id = F.xxhash64("key").alias("id")
+    t = cut(parsed(typed.where("name is not null and trim(name) <> ''").select("name").distinct(), "name").select("name", "key", name_id))
+    r = cut(parsed(listed.where("name is not null and trim(name) <> '' and record is not null").select("name", "record").distinct(), "name").select("record", "key", name_id).distinct())
     usual = max(p.usual_least, int(p.usual_share * r.select("record").distinct().count()))
-    tc, rc = with_counts(t.select("key").distinct(), r)
-    tc, rc = cut(tc), cut(rc)
+    names_t, names_r = t.select("id", "key").distinct(), r.select("id", "key").distinct()
+    tc, rc = with_counts(names_t, r)
+    tc, rc = cut(names_t.join(tc, "id")), cut(names_r.join(rc, "id"))
     hits = compared(candidate_pairs(tc, rc, p), tc, rc, usual, p)
-    by_record = hits.join(r.withColumnRenamed("key", "listed"), "listed").groupBy("typed", "record").agg(F.max("score").alias("score"))
-    return by_record.join(t.withColumnRenamed("key", "typed"), "typed").select("name", "record", "score")
+    by_record = hits.join(r.select("record", F.col("id").alias("listed")), "listed").groupBy("typed", "record").agg(F.max("score").alias("score"))
+    return by_record.join(t.select("name", F.col("id").alias("typed")), "typed").select("name", "record", "score")
 
 
 def years(text: Column) -> Column:
