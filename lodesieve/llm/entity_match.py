@@ -1,8 +1,8 @@
 """Matching records of two sources that share no key, with a confidence for each match.
 
 1. Records become name variants (parsed), years of birth, countries and a kind; nothing else is compared.
-2. Candidates come from MinHash signatures in bands, over two sets per variant: the consonant pairs of the name, and the
-   name's words together with year and country. Either may agree; no band is capped.
+2. Candidates come from MinHash signatures in bands, over two sets per variant: the consonant triples of the name's
+   rare words, and the ends of these words together with years and countries. Either may agree; no band is capped.
 3. Each candidate pair of spellings gets similarity features once; per pair of records the best ones are kept and year,
    country and kind are compared.
 4. Gradient-boosted trees are fitted on a bounded sample of weak labels: same name and same year (or, where no year is
@@ -43,9 +43,10 @@ FEATURES = ("strict", "loose", "weakest", "grams", "length_gap", "year", "countr
 
 @dataclass(frozen=True)
 class MatchParams:
-    bands: int = 24
-    rows: int = 3
+    bands: int = 32
+    rows: int = 4
     attribute_bands: int = 16
+    attribute_rows: int = 3
     usual_share: float = 0.001
     usual_least: int = 8
     sample_rows: int = 20_000  # weakly labelled pairs fitted and calibrated on, at most
@@ -70,44 +71,49 @@ def records(df: DataFrame, key: str, name: str, aliases: str, born: Column, coun
     return spelled, facts
 
 
-def signatures(spelled: DataFrame, p: MatchParams) -> DataFrame:
-    """(key, band) from (key, years, codes): band keys of both sets of a variant."""
+def signatures(spelled: DataFrame, usual: int, p: MatchParams) -> DataFrame:
+    """(id, band) from (id, key, listed, years, codes): band keys of both sets of a spelling.
+
+    Rare words enter with all triples of their consonants, usual given names and kinds of business only with one element, so
+    that names which share no more than those don't become candidates. The second set joins the ends of the rare words
+    with the years and countries."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         rng = np.random.default_rng(4_101)
-        width = max(p.bands, p.attribute_bands) * p.rows
+        width = max(p.bands * p.rows, p.attribute_bands * p.attribute_rows)
         salts = rng.integers(1, 2**63, size=width, dtype=np.uint64)
 
-        def bands(items: set[str], n: int, tag: int) -> np.ndarray:
-            x = np.array([xxhash.xxh64_intdigest(i) for i in items], dtype=np.uint64)[:, None] ^ salts[None, : n * p.rows]
+        def bands(items: set[str], n: int, rows: int, tag: int) -> np.ndarray:
+            x = np.array([xxhash.xxh64_intdigest(i) for i in items], dtype=np.uint64)[:, None] ^ salts[None, : n * rows]
             with np.errstate(over="ignore"):
                 x *= np.uint64(0x9E3779B97F4A7C15)
                 x ^= x >> np.uint64(32)
                 x *= np.uint64(0xD6E8FEB86659FD93)
-                low = x.min(axis=0).reshape(n, p.rows)
+                low = x.min(axis=0).reshape(n, rows)
                 out = np.arange(n, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(tag)
-                for r in range(p.rows):
+                for r in range(rows):
                     out = (out ^ low[:, r]) * np.uint64(0x94D049BB133111EB)
             return out.view(np.int64)
 
         for pdf in batches:
-            keys, out = [], []
-            for key, ys, cs in zip(pdf["key"], pdf["years"], pdf["codes"], strict=True):
+            ids, out = [], []
+            for i_, key, listed, ys, cs in zip(pdf["id"], pdf["key"], pdf["listed"], pdf["years"], pdf["codes"], strict=True):
                 n = from_key(key)
-                words = [*n.core, *n.sector]
-                grams = {f"{s[i : i + 2]}" for w in words for s in [f"^{skeleton(w)}$"] for i in range(len(s) - 1)}
-                b = [bands(grams, p.bands, 7)]
-                facts = {f"y{y}" for y in (ys if ys is not None else ())} | {f"c{c}" for c in (cs if cs is not None else ())}
+                rare = [skeleton(w) for w, k in zip(n.core, listed, strict=False) if k < usual and len(w) > 1] or [skeleton(w) for w in n.core]
+                grams = {w[i : i + 3] for s in rare for w in [f"^{s}$"] for i in range(max(1, len(w) - 2))}
+                grams |= {f"u{w[0]}" for w in n.core if skeleton(w) not in rare} | {f"s{w}" for w in n.sector}
+                b = [bands(grams, p.bands, p.rows, 7)]
+                facts = [*(f"y{y}" for y in (ys if ys is not None else ())), *(f"c{c}" for c in (cs if cs is not None else ()))]
                 if facts:
-                    b.append(bands({skeleton(w) for w in words} | facts, p.attribute_bands, 11))
+                    b.append(bands({f"{end}{f}" for s in rare for end in (f"^{s[:3]}", f"{s[-3:]}$") for f in facts}, p.attribute_bands, p.attribute_rows, 11))
                 got = np.concatenate(b)
-                keys += [key] * len(got)
+                ids += [i_] * len(got)
                 out.append(got)
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "band": np.concatenate(out) if out else np.zeros(0, np.int64)})
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "band": np.concatenate(out) if out else np.zeros(0, np.int64)})
 
-    return spelled.select("key", "years", "codes").distinct().mapInPandas(run, "key string, band long").distinct()
+    return spelled.select("id", "key", "listed", "years", "codes").distinct().mapInPandas(run, "id long, band long").distinct()
 
 
 def spelling_features(pairs: DataFrame, left: DataFrame, right: DataFrame, usual: int, p: MatchParams) -> DataFrame:
@@ -118,13 +124,13 @@ def spelling_features(pairs: DataFrame, left: DataFrame, right: DataFrame, usual
             lists: dict[str, int] = {}
             types: dict[str, int] = {}
             known = Vocabulary(_Present(lists), types, common=usual, real=1 << 30)
-            names = {k: from_key(k) for k in {*pdf["a"], *pdf["b"]}}
-            for k, l in zip([*pdf["a"], *pdf["b"]], [*pdf["l1"], *pdf["l2"]], strict=True):
+            names = {k: from_key(k) for k in {*pdf["k1"], *pdf["k2"]}}
+            for k, l in zip([*pdf["k1"], *pdf["k2"]], [*pdf["l1"], *pdf["l2"]], strict=True):
                 for tok, n in zip(names[k].core, l, strict=False):
                     lists[tok] = n
             out = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                x, y = names[a], names[b]
+            for a, b, k1, k2 in zip(pdf["a"], pdf["b"], pdf["k1"], pdf["k2"], strict=True):
+                x, y = names[k1], names[k2]
                 # the shorter name's words, each with its best partner
                 s, t = (x.core, y.core) if len(x.core) <= len(y.core) else (y.core, x.core)
                 best = [max(2 * lcs_length(m, mutated(v)) / (len(m) + len(mutated(v))) if len(m) > 1 and len(v) > 1 else 0.7 * (m[0] == v[0]) for v in t) for m in map(mutated, s)]
@@ -137,9 +143,9 @@ def spelling_features(pairs: DataFrame, left: DataFrame, right: DataFrame, usual
                 out.append((a, b, strict, loose, min(best), len(g & h) / len(g | h), abs(sum(map(len, x.core)) - sum(map(len, y.core))), x.firm, y.firm))
             yield pd.DataFrame(out, columns=["a", "b", "strict", "loose", "weakest", "grams", "length_gap", "firm_a", "firm_b"])
 
-    t = left.select(F.col("key").alias("a"), F.col("listed").alias("l1"))
-    r = right.select(F.col("key").alias("b"), F.col("listed").alias("l2"))
-    return pairs.join(t, "a").join(r, "b").mapInPandas(run, "a string, b string, strict double, loose double, weakest double, grams double, length_gap int, firm_a boolean, firm_b boolean")
+    t = left.select(F.col("id").alias("a"), F.col("key").alias("k1"), F.col("listed").alias("l1"))
+    r = right.select(F.col("id").alias("b"), F.col("key").alias("k2"), F.col("listed").alias("l2"))
+    return pairs.join(t, "a").join(r, "b").mapInPandas(run, "a long, b long, strict double, loose double, weakest double, grams double, length_gap int, firm_a boolean, firm_b boolean")
 
 
 def _agree(a: str, b: str, tolerance: int) -> Column:
@@ -184,14 +190,15 @@ def match(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame],
     p = p or MatchParams()
     sides = []
     for spelled, facts in (left, right):
-        sides.append(cut(parsed(spelled, "name").select("record", "key").distinct().join(facts, "record", "left")))
+        sides.append(cut(parsed(spelled, "name").select("record", "key", F.xxhash64("key").alias("id")).distinct().join(facts, "record", "left")))
     a, b = sides
     usual = max(p.usual_least, int(p.usual_share * a.select("record").distinct().count()))
-    bc, ac = with_counts(b.select("key").distinct(), a.select("record", "key"))
-    ac, bc = cut(ac), cut(bc)
-    pairs = signatures(a, p).withColumnRenamed("key", "a").join(signatures(b, p).withColumnRenamed("key", "b"), "band").select("a", "b").distinct()
+    bc, ac = with_counts(b.select("id", "key").distinct(), a)
+    ac, bc = (cut(d.select("id", "key").distinct().join(c, "id")) for d, c in ((a, ac), (b, bc)))
+    sketch = lambda d, c: signatures(d.join(c.select("id", "listed"), "id"), usual, p)
+    pairs = sketch(a, ac).withColumnRenamed("id", "a").join(sketch(b, bc).withColumnRenamed("id", "b"), "band").select("a", "b").distinct()
     near = cut(spelling_features(pairs, ac, bc, usual, p))
-    side = lambda d, s: d.select(F.col("key").alias(s), F.col("record").alias(f"{s}_record"))
+    side = lambda d, s: d.select(F.col("id").alias(s), F.col("record").alias(f"{s}_record"))
     fact = lambda f, s: f.select(F.col("record").alias(f"{s}_record"), *[F.col(c).alias(f"{s}_{c}") for c in ("years", "codes", "firm")])
     best = F.max(F.struct("strict", "loose", "weakest", "grams", "length_gap", "firm_a", "firm_b")).alias("s")
     per = near.join(side(a, "a"), "a").join(side(b, "b"), "b").groupBy("a_record", "b_record").agg(best).select("a_record", "b_record", "s.*")
