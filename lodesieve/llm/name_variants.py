@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,11 +72,17 @@ def with_counts(typed: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFra
 
 def block_keys(names: DataFrame, p: VariantParams) -> DataFrame:
     """(id, a, b, c, w, t, u, known_t, known_u) from (id, key, listed): for every ordered pair of tokens the suffix key a
-    with its refinements b and c, and w for initials; what stands for the tokens when candidates are cut."""
+    with its refinements b and c, and w for initials, as 64-bit hashes (0: none); what stands for the tokens when
+    candidates are cut."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        def h(kind: str, x: str, y: str) -> int:
+            return (xxhash.xxh64_intdigest(f"{kind}{x}|{y}") >> 1) or 1
+
         for pdf in batches:
-            rows = []
+            ids, keys, ts, us, kt, ku = [], [], [], [], [], []
             for i_, key, listed in zip(pdf["id"], pdf["key"], pdf["listed"], strict=True):
                 n = from_key(key)
                 toks = [*n.core, *sorted(n.sector)]
@@ -92,22 +99,32 @@ def block_keys(names: DataFrame, p: VariantParams) -> DataFrame:
                         if i != j and (i < m or j < m) and (mu[i], mu[j]) not in seen:
                             seen.add((mu[i], mu[j]))
                             more = len(u) > 1
-                            rows.append((i_, f"{suffix}|{u[0]}", f"{suffix}|{sk[j][:2]}" if more else None, f"{mu[i]}|{sk[j][:3]}" if more else None, f"{mu[i]}|{u[0]}." if j < m else None, mu[i], mu[j], known[i], known[j]))
-                if m == 1:
-                    # alone, or several words written as one
-                    rows.append((i_, f"={mu[0]}", None, f"={mu[0]}", None, "", "", False, False))
-                elif m <= 3:
-                    for joined in {mutated("".join(n.core)), mutated("".join(reversed(n.core)))}:
-                        rows.append((i_, f"={joined}", None, f"={joined}", None, "", "", False, False))
-            yield pd.DataFrame(rows, columns=["id", "a", "b", "c", "w", "t", "u", "known_t", "known_u"])
-
-    return names.select("id", "key", "listed").mapInPandas(run, "id long, a string, b string, c string, w string, t string, u string, known_t boolean, known_u boolean")
+                            ids.append(i_)
+                            keys.append((h("a", suffix, u[0]), h("b", suffix, sk[j][:2]) if more else 0, h("c", mu[i], sk[j][:3]) if more else 0, h("w", mu[i], u[0]) if j < m else 0))
+                            ts.append(mu[i])
+                            us.append(mu[j])
+                            kt.append(known[i])
+                            ku.append(known[j])
+                # alone, or several words written as one
+                whole = {mu[0]} if m == 1 else {mutated("".join(n.core)), mutated("".join(reversed(n.core)))} if m <= 3 else ()
+                for joined in whole:
+                    k = h("=", joined, "")
+                    ids.append(i_)
+                    keys.append((k, 0, k, 0))
+                    ts.append("")
+                    us.append("")
+                    kt.append(False)
+                    ku.append(False)
+            k = np.array(keys, np.int64).reshape(-1, 4)
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "a": k[:, 0], "b": k[:, 1], "c": k[:, 2], "w": k[:, 3], "t": pd.Series(ts, dtype=object), "u": pd.Series(us, dtype=object), "known_t": np.array(kt, bool), "known_u": np.array(ku, bool)})
+
+    return names.select("id", "key", "listed").mapInPandas(run, "id long, a long, b long, c long, w long, t string, u string, known_t boolean, known_u boolean")
 
 
 def _overly_common(listed_keys: DataFrame, column: str, p: VariantParams) -> DataFrame:
-    """Keys of more than ``common_block`` listed names. There are at most rows / common_block of them; the side is
-    broadcast only if that is checked to be little."""
-    found = cut(listed_keys.where(F.col(column).isNotNull()).groupBy(column).agg(F.count_distinct("id").alias("n")).where(F.col("n") > p.common_block).select(column, F.lit(True).alias(f"common_{column}")))
+    """Keys under which more than ``common_block`` listed names stand. There are at most rows / common_block of them; the
+    side is broadcast only if that is checked to be little."""
+    found = cut(listed_keys.where(F.col(column) != 0).groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.common_block).select(column, F.lit(True).alias(f"common_{column}")))
     return F.broadcast(found) if found.count() <= 50_000 else found
 
 
@@ -119,11 +136,10 @@ def candidate_pairs(typed: DataFrame, listed: DataFrame, p: VariantParams) -> Da
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
         r = rows.join(common_a, "a", "left").join(common_b, "b", "left")
-        tag = lambda k: F.xxhash64(F.concat(F.lit(f"{k}:"), k))
-        fine = F.when(F.col("common_b").isNull() & F.col("b").isNotNull(), tag("b")).otherwise(tag("c"))
-        keys = F.when(F.col("common_a").isNull(), F.array(tag("a"))).otherwise(F.array(F.when(F.col("c").isNotNull(), fine), F.when(F.col("w").isNotNull(), tag("w"))))
+        fine = F.when(F.col("common_b").isNull() & (F.col("b") != 0), F.col("b")).otherwise(F.col("c"))
         known = [F.col("known_t"), F.col("known_u")] if side == "typed" else []
-        return r.select(F.explode(F.array_distinct(F.array_compact(keys))).alias("block"), F.col("id").alias(side), F.col("t").alias(f"t_{side}"), F.col("u").alias(f"u_{side}"), *known)
+        keys = F.when(F.col("common_a").isNull(), F.array("a")).otherwise(F.array(fine, F.col("w")))
+        return r.select(F.explode(keys).alias("block"), F.col("id").alias(side), F.col("t").alias(f"t_{side}"), F.col("u").alias(f"u_{side}"), *known).where("block <> 0")
 
     def same(x: str) -> Column:
         a, b = F.col(f"{x}_typed"), F.col(f"{x}_listed")
