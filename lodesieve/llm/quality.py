@@ -80,22 +80,23 @@ FEATURES = (
 REPORTED = ("n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share")
 
 
-def _unit_kind(s: str, words: list[str], spoilt: int) -> int:
+def _unit_kind(s: str, words: list[str], letters: int, spoilt: int) -> int:
     """0 prose, 1 list entry, 2 table row, 3 junk, for a line or a part of a long line, without markup."""
     n = len(words)
     bare = s.strip()
-    letters = sum(map(len, words))
-    if n and 10 * sum(map(_is_navigation, words)) > 7 * n or "=" in s and _LOG.search(s) or _HEX.match(s):
+    if n and any(map(_is_navigation, words[:3])) and 10 * sum(map(_is_navigation, words)) > 7 * n or "=" in s and _LOG.search(s) or s[2:3] in (" ", ":") and _HEX.match(s):
         return 3
-    if letters < 0.3 * len(bare) and letters + _digits(bare) < 0.3 * (len(bare) - bare.count(" ")) and not _LEADERS.search(s):
-        return 2 if _ROW.search(s) and len(bare.translate(_NO_FRAME)) - letters - _digits(bare) < 0.3 * len(bare) else 3
+    leaders = ("...." in s or ". . . ." in s or "……" in s) and _LEADERS.search(s) is not None
+    row = ("\t" in s or "|" in s or "│" in s or bare[:1] in _FRAME) and _ROW.search(s) is not None
+    if letters < 0.3 * len(bare) and letters + _digits(bare) < 0.3 * (len(bare) - bare.count(" ")) and not leaders:
+        return 2 if row and len(bare.translate(_NO_FRAME)) - letters - _digits(bare) < 0.3 * len(bare) else 3
     if spoilt > max(1, 0.12 * n):
         return 3
-    if _ROW.search(s):
+    if row:
         return 2
-    if _LEADERS.search(s):
+    if leaders:
         return 1
-    if len(bare) > 40 and (noise := _NOISE.search(s)) and len(noise[0]) > 0.5 * len(bare):
+    if len(bare) > 12 * (bare.count(" ") + 1) and (noise := _NOISE.search(s)) and len(noise[0]) > 0.5 * len(bare):
         return 3
     tight = bare.count(";") + bare.count(",")
     spaced = bare.count("; ") + bare.count(", ")
@@ -121,6 +122,7 @@ def _unit_kind(s: str, words: list[str], spoilt: int) -> int:
 
 
 _NO_FRAME = dict.fromkeys(map(ord, "─━═│|┌┐└┘├┤┬┴┼ +-=\t"))
+_FRAME = frozenset("─━═┌┐└┘├┤┬┴┼-=+")
 _is_common, _is_navigation = COMMON.__contains__, NAVIGATION.__contains__
 
 
@@ -156,9 +158,10 @@ def measure(text: str | None) -> tuple[float, ...] | None:
             if row:
                 kind = 2
             else:
-                bad = len(_SPOILT.findall(s)) if len(s) - sum(map(len, w)) - s.count(" ") > 0.04 * len(s) else 0
+                letters = sum(map(len, w))
+                bad = len(_SPOILT.findall(s)) if len(s) - letters - s.count(" ") > 0.04 * len(s) else 0
                 spoilt += bad
-                kind = _unit_kind(s, w, bad)
+                kind = _unit_kind(s, w, letters, bad)
             mass[kind] += len(s)
             words += w
             if kind == 0:
