@@ -70,10 +70,10 @@ def with_counts(typed: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFra
     return back(typed.select("id", "key").distinct()), back(listed.select("id", "key").distinct())
 
 
-def block_keys(names: DataFrame, p: VariantParams) -> DataFrame:
+def block_keys(names: DataFrame, usual: int, p: VariantParams) -> DataFrame:
     """(id, a, b, c, w, t, u, known_t, known_u) from (id, key, listed): for every ordered pair of tokens the suffix key a
     with its refinements b and c, and w for initials, as 64-bit hashes (0: none); what stands for the tokens when
-    candidates are cut."""
+    candidates are cut. A usual token with an initial beside it is no key: it could be anybody's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -89,6 +89,7 @@ def block_keys(names: DataFrame, p: VariantParams) -> DataFrame:
                 sk = [skeleton(x) for x in toks]
                 mu = [mutated(x) for x in toks]
                 m = len(n.core)
+                often = [*(x >= usual for x in (listed if listed is not None else [0] * m)), *[True] * len(n.sector)]
                 known = [*(x > 0 for x in (listed if listed is not None else [0] * m)), *[True] * len(n.sector)]
                 seen = set()
                 for i, t in enumerate(toks):
@@ -96,11 +97,11 @@ def block_keys(names: DataFrame, p: VariantParams) -> DataFrame:
                         continue
                     suffix = sk[i][-p.suffix :]
                     for j, u in enumerate(toks):
-                        if i != j and (i < m or j < m) and (mu[i], mu[j]) not in seen:
+                        if i != j and (i < m or j < m) and (len(u) > 1 or not often[i]) and (mu[i], mu[j]) not in seen:
                             seen.add((mu[i], mu[j]))
                             more = len(u) > 1
                             ids.append(i_)
-                            keys.append((h("a", suffix, u[0]), h("b", suffix, sk[j][:2]) if more else 0, h("c", mu[i], sk[j][:3]) if more else 0, h("w", mu[i], u[0]) if j < m else 0))
+                            keys.append((h("a", suffix, u[0]), h("b", suffix, sk[j][:2]) if more else 0, h("c", mu[i], sk[j][:3]) if more else 0, h("w", mu[i], u[0]) if j < m and not often[i] else 0))
                             ts.append(mu[i])
                             us.append(mu[j])
                             kt.append(known[i])
@@ -128,10 +129,10 @@ def _overly_common(listed_keys: DataFrame, column: str, p: VariantParams) -> Dat
     return F.broadcast(found) if found.count() <= 50_000 else found
 
 
-def candidate_pairs(typed: DataFrame, listed: DataFrame, p: VariantParams) -> DataFrame:
+def candidate_pairs(typed: DataFrame, listed: DataFrame, usual: int, p: VariantParams) -> DataFrame:
     """(typed, listed): distinct ids of names that share a block and whose blocked tokens may be the same: a typed token
     that is a listed one must be it, another must be within a few letters."""
-    left, right = block_keys(typed, p), cut(block_keys(listed, p))
+    left, right = block_keys(typed, usual, p), cut(block_keys(listed, usual, p))
     common_a, common_b = _overly_common(right, "a", p), _overly_common(right, "b", p)
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
@@ -201,7 +202,7 @@ def linked_names(typed: DataFrame, listed: DataFrame, p: VariantParams | None =
     names_t, names_r = t.select("id", "key").distinct(), r.select("id", "key").distinct()
     tc, rc = with_counts(names_t, r)
     tc, rc = cut(names_t.join(tc, "id")), cut(names_r.join(rc, "id"))
-    hits = compared(candidate_pairs(tc, rc, p), tc, rc, usual, p)
+    hits = compared(candidate_pairs(tc, rc, usual, p), tc, rc, usual, p)
     by_record = hits.join(r.select("record", F.col("id").alias("listed")), "listed").groupBy("typed", "record").agg(F.max("score").alias("score"))
     return by_record.join(t.select("name", F.col("id").alias("typed")), "typed").select("name", "record", "score")
 

@@ -258,6 +258,8 @@ def compare(typed: Name, listed: Name, known: Vocabulary) -> float:
     rarest = min((j for j in range(len(b)) if len(b[j]) > 1), key=lambda j: (known.listed.get(b[j], 0), -len(b[j]), j), default=None)
     if rarest is None or rarest not in partner or partner[rarest][1] == INITIAL or len(pairs) < 2:
         return 0.0
+    if known.usual(b[rarest]) and any(s == INITIAL for _, _, s in pairs):
+        return 0.0  # a usual name and an initial could be anybody
     own = partner[rarest][0]
     first_typed = next(i for i in range(len(a)) if i != own)
     first_listed = next(j for j in range(len(b)) if j != rarest)
