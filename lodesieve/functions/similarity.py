@@ -98,7 +98,7 @@ def jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
-    moved = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
+    moved = sum(x != y for x, y in zip(hits, other, strict=True)) // 2
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - moved) / m) / 3
 

@@ -143,8 +143,15 @@ def upsert_sink(path: str, key: str = "txn_id"):
 
 
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table; returns the table."""
+    """Run a stream over all that is there, into a table; returns the table. Batches without data are switched off for
+    this run: with a processing-time timeout they would follow one another without end."""
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        q = stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(path)
