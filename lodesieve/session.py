@@ -26,6 +26,7 @@ def get_spark(cores: str = "8", app: str = "lodesieve", **conf: str) -> SparkSes
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
