@@ -13,8 +13,9 @@ are verified by exact shingle containment, then aligned word by word, in the sam
 shuffled, and the index of the items is the only thing broadcast. Its size is checked; beyond the bound the items are
 taken in several blocks, one pass each.
 
-Standard clauses are found from the same alignments: item words whose five-word shingle stands in a share of at least
-``clause_share`` of the documents (each distinct text counted once, so a leak that was copied often isn't a clause).
+Standard clauses are found from the same alignments: item words whose five-word shingle stands in several items and in a
+share of at least ``clause_share`` of the documents, or in one item and in more documents still (each distinct text
+counted once, so a leak that was copied often isn't a clause).
 
 Defined results: null and empty texts and items hold nothing; items with fewer than ``min_words`` words can't leak;
 repeated documents with the same id give one row; a null doc_id or item_id gives no row; extra columns aren't read.
@@ -47,6 +48,8 @@ class LeakParams:
     miss: float = 1e-4  # allowed chance that the sketch misses a passage at the threshold
     clause_share: float = 0.006
     clause_min_docs: int = 3
+    own_clause_share: float = 0.018  # the same for words that stand in one item only: a leak may be quoted often
+    own_clause_min_docs: int = 30
     block_words: int = 200_000  # words of items indexed at once: the bound on what is broadcast (about 100 bytes each)
 
 
@@ -187,14 +190,18 @@ def _aligned(ix: ItemIndex, doc: np.ndarray, item: int, diags: np.ndarray, count
 
 
 def has_passage(found: np.ndarray, counted: np.ndarray | None, p: LeakParams) -> bool:
-    """A stretch of at least min_words counted words, of which at most one in per_change isn't found."""
-    run: list[int] = [0]
+    """A stretch of at least min_words counted words that begins and ends with a found one, of which at most one in
+    per_change isn't found."""
+    low: list[float] = []  # lowest running score before a found word, so far
+    score = 0
     for ok, use in zip(found, counted if counted is not None else np.ones(len(found), bool), strict=True):
         if not use:
-            run = [0]
+            low, score = [], 0
             continue
-        run.append(run[-1] + (1 if ok else 1 - p.per_change))
-        if len(run) > p.min_words and run[-1] >= min(run[: len(run) - p.min_words]):
+        before = score if ok else math.inf
+        low.append(min(before, low[-1]) if low else before)
+        score += 1 if ok else 1 - p.per_change
+        if ok and len(low) >= p.min_words and score >= low[len(low) - p.min_words]:
             return True
     return False
 
@@ -242,14 +249,24 @@ def alignments(documents: DataFrame, index: ItemIndex, p: LeakParams, id_column:
     return d.where("d is not null and t is not null and length(t) > 0").mapInPandas(run, "doc_id long, text_hash long, item_id long, found string")
 
 
-def _clause_words(aligned: DataFrame, n_documents: int, p: LeakParams) -> DataFrame:
+def _shared_starts(index: ItemIndex) -> list[tuple[int, list[int]]]:
+    """Per item the positions (from 1) at which five words start that another item has as well."""
+    owners: dict[bytes, set[int]] = {}
+    for i, w in zip(index.ids, index.words, strict=True):
+        for k in range(len(w) - 4):
+            owners.setdefault(w[k : k + 5].tobytes(), set()).add(i)
+    return [(i, [k + 1 for k in range(len(w) - 4) if len(owners[w[k : k + 5].tobytes()]) > 1]) for i, w in zip(index.ids, index.words, strict=True)]
+
+
+def _clause_words(aligned: DataFrame, n_documents: int, index: ItemIndex, p: LeakParams) -> DataFrame:
     """(item_id, clause): the word positions of each item that belong to standard clauses. At most a row per item."""
-    least = max(p.clause_min_docs, math.ceil(p.clause_share * n_documents))
     once = aligned.select("text_hash", "item_id", "found").distinct()
     starts = F.filter(F.sequence(F.lit(1), F.length("found") - 4), lambda k: F.substring(F.col("found"), k, F.lit(5)) == "11111")
     df = once.where("length(found) >= 5").select("text_hash", "item_id", F.explode(starts).alias("k")).distinct().groupBy("item_id", "k").count()
+    shared = aligned.sparkSession.createDataFrame(_shared_starts(index), "item_id long, shared array<int>")  # a row per item of the block
+    least = F.when(F.array_contains("shared", F.col("k")), max(p.clause_min_docs, math.ceil(p.clause_share * n_documents))).otherwise(max(p.own_clause_min_docs, math.ceil(p.own_clause_share * n_documents)))
     words = F.flatten(F.collect_list(F.sequence(F.col("k"), F.col("k") + 4)))  # bounded by five times the item's length
-    return df.where(F.col("count") >= least).groupBy("item_id").agg(F.array_sort(F.array_distinct(words)).alias("clause"))
+    return df.join(shared, "item_id").where(F.col("count") >= least).groupBy("item_id").agg(F.array_sort(F.array_distinct(words)).alias("clause"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, p: LeakParams | None = None) -> DataFrame:
@@ -273,7 +290,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, p: LeakParams | None =
         mine = known.where(F.col("item_id").between(b[0], b[-1])) if b else known
         index = ItemIndex([(r.item_id, r.text) for r in mine.collect()], p)
         found = cut(alignments(documents, index, p))  # a row per alignment; read twice below
-        clauses = _clause_words(found, n, p)
+        clauses = _clause_words(found, n, index, p)
         joined = found.join(clauses, "item_id", "left")
         got = joined.mapInPandas(_final(p), "doc_id long, item_id long")
         out = got if out is None else out.unionByName(got)

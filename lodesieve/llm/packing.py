@@ -158,6 +158,8 @@ def plan_packing(histogram: dict[int, int], capacity: int) -> PackPlan:
 def place(plan: PackPlan, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(container, position) of the pieces with these lengths and ranks within their length."""
     container, position = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    if not len(length):
+        return container, position
     order = np.argsort(length, kind="stable")
     values, starts = np.unique(length[order], return_index=True)
     for k, a, b in zip(values, starts, [*starts[1:], len(order)], strict=True):

@@ -10,7 +10,7 @@ labels given by hand, which the trees haven't seen. Every row is then classified
 
 Defined results: null or blank texts have zero counts, null ratios and the kind ``empty``; repeated rows give repeated
 rows (``found`` is distinct); without hand labels the trees stay uncalibrated; without any weak label of a class that
-class is never chosen; an empty table gives no rows; labels of unknown documents or kinds are ignored; extra columns
+class is never chosen; with fewer than ``least_rows`` of them the structural rule decides; an empty table gives no rows; labels of unknown documents or kinds are ignored; extra columns
 aren't read.
 """
 
@@ -223,6 +223,7 @@ class QualityParams:
     sample_rows: int = 8_000  # weakly labelled rows fitted on, at most
     label_rows: int = 20_000  # hand labels calibrated on, at most
     rounds: int = 30
+    least_rows: int = 40  # with fewer clear rows no trees are fitted and the structural rule decides
 
 
 def fit(stats: DataFrame, labels: DataFrame | None, p: QualityParams) -> Boosted | None:
@@ -237,7 +238,7 @@ def fit(stats: DataFrame, labels: DataFrame | None, p: QualityParams) -> Boosted
     x = np.array(sample["features"].tolist(), float)
     y = weak_kind(x)
     x, y = x[y >= 0], y[y >= 0]
-    if not len(y):
+    if len(y) < p.least_rows:
         return None
     counts = np.bincount(y, minlength=len(KINDS))
     weight = np.sqrt(len(y) / np.maximum(1, counts))[y]
@@ -271,7 +272,8 @@ def classify(documents: DataFrame, labels: DataFrame | None, p: QualityParams |
                     kinds[~blank] = np.array(KINDS, dtype=object)[pr.argmax(1)]
                     conf[~blank] = pr.max(1)
                 else:
-                    kinds[~blank] = "prose"
+                    k = weak_kind(x)
+                    kinds[~blank] = np.array(KINDS, dtype=object)[np.where(k >= 0, k, 0)]
             out = pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": np.nan_to_num(values[:, 0]).astype(np.int64)})
             for k, c in enumerate(REPORTED[1:], 1):
                 out[c] = values[:, k]
