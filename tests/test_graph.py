@@ -47,8 +47,8 @@ def test_hubs_receive_but_do_not_expand(spark):
     edges = [("S", "H", "SENT_TO", 42000, 6, 55, 3, 0.93)] + [(f"c{i}", "H", "SENT_TO", 1800, 2, 25, 2, 0.91) for i in range(6)]
     nodes = [node("S", "SANCTIONED"), node("H")] + [node(f"c{i}") for i in range(6)]
     got = exposure(spark, nodes, edges, hub_degree=5)
-    assert "H" in got and "c0" not in got
-    assert "c0" in exposure(spark, nodes, edges, hub_degree=50, min_score=0.0)
+    assert "H" in got and "C0" not in got
+    assert "C0" in exposure(spark, nodes, edges, hub_degree=50, min_score=0.0)
 
 
 @pytest.mark.parametrize("depth", [1, 2, 3])
