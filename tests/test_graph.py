@@ -53,10 +53,10 @@ def test_hubs_receive_but_do_not_expand(spark):
 
 @pytest.mark.parametrize("depth", [1, 2, 3])
 def test_scores_fall_along_a_path(spark, depth):
-    chain = [("n0", "n1"), ("n1", "n2"), ("n2", "n3")]
-    got = exposure(spark, [node("n0", "SANCTIONED"), node("n1"), node("n2"), node("n3")], [(a, b, "OWNS", 0, 1, 9, 1, 1.0) for a, b in chain], max_depth=depth, min_score=0.0)
-    scores = [got[f"n{i}"].score for i in range(depth + 1)]
-    assert scores == sorted(scores, reverse=True) and f"n{depth + 1}" not in got
+    chain = [("N0", "N1"), ("N1", "N2"), ("N2", "N3")]
+    got = exposure(spark, [node("N0", "SANCTIONED"), node("N1"), node("N2"), node("N3")], [(a, b, "OWNS", 0, 1, 9, 1, 1.0) for a, b in chain], max_depth=depth, min_score=0.0)
+    scores = [got[f"N{i}"].score for i in range(depth + 1)]
+    assert scores == sorted(scores, reverse=True) and f"N{depth + 1}" not in got
 
 
 def test_empty_graph(spark):
