@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..operators import evidence as V
 from ..operators import graph as G
 from ..operators.orphan_refs import plain_key
 from ..session import cut, table
@@ -136,6 +137,22 @@ def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def path_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.path_facts(table(spark, sf_dir, "exposure_index"), _day())
+
+
+def account_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primary and further reasons, risk and verdict of every account with stored exposure."""
+    facts = V.path_facts(table(spark, sf_dir, "exposure_index"), _day())
+    return V.judge(V.with_context(facts, table(spark, sf_dir, "graph_nodes"), G.pattern_flags(G.behavior_profile(_rolled(spark, sf_dir)))))
+
+
+def verdict_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = account_evidence(spark, sf_dir).select("node_key", "verdict", "risk")
+    x = table(spark, sf_dir, "exposure_index").select("node_key", "best_depth")
+    return x.join(v, "node_key").groupBy("best_depth", "verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk"), 4).alias("avg_risk"))
+
+
 def exposed_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best exposed nodes per depth whose source is sanctioned, at most 4,000 a depth."""
     from pyspark.sql import Window as W
@@ -163,7 +180,7 @@ def payment_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     edge_rollup, node_flow_totals, flow_concentration, edge_score, adjacency_entries, top_k_edges, exposure_two_hop, derived_anchor, derived_exposure, merged_exposure, search_stats,
-    behavior_profile, pattern_flags, top_counterparties, node_degree, degree_histogram, node_control, path_steps, path_predicates, exposed_by_depth, direct_accounts, payment_exposure,
+    behavior_profile, pattern_flags, top_counterparties, node_degree, degree_histogram, node_control, path_steps, path_predicates, path_facts, account_evidence, verdict_by_depth, exposed_by_depth, direct_accounts, payment_exposure,
 )
 
 
@@ -255,8 +272,37 @@ _PROFILE = f"""{_BASE}, {_INC}, p as (select node as node_key,
 q as (select *, case when total_incoming > 0 then total_outgoing / total_incoming else 0 end as pass_through_ratio from p)"""
 
 
+_AGE = f"datediff('day', try_cast(s.last_seen as date), date '{AS_OF}')"
+_ANY = lambda l, c: f"len(list_filter({l}, lambda s: coalesce({c}, false))) > 0"
+_ALL = lambda l, c: f"len(list_filter({l}, lambda s: not coalesce({c}, false))) = 0"
+_CONTROL = _ANY("h", "upper(s.edge_type) in ('OWNS', 'USES_ACCOUNT')")
+_FACTS = f"""x as (select node_key, {_key("source_risk_node")} as source, list_filter(coalesce(best_path, []), lambda s: s is not null) as p from exposure_index),
+y as (select *, p[2:] as h, p[2:len(p) - 1] as mid from x), z as (select *, list_filter(h, lambda s: coalesce(upper(s.edge_type) = 'SENT_TO', false)) as sent from y),
+pf as (select node_key, source, len(h) as n_hops, {_ANY("p", "upper(s.risk_level) = 'SANCTIONED'")} as reaches_sanctioned,
+  len(h) > 0 and {_ALL("h", "s.semantic_flow = 'outbound_to_anchor'")} as all_outbound, len(h) > 0 and {_ALL("h", "s.semantic_flow = 'inbound_from_anchor'")} as all_inbound,
+  not ({_CONTROL} or {_ANY("h", f"coalesce(s.amount, 0) >= 1000 or coalesce(s.amount, 0) >= 100 and coalesce({_AGE}, 9999) <= 180")}) and len(sent) > 0 and {_ALL("sent", f"coalesce(s.amount, 0) < 100 and coalesce({_AGE}, 9999) > 180")} as old_tiny,
+  {_ANY("h", f"datediff('day', try_cast(s.first_seen as date), date '{AS_OF}') <= 30 and datediff('day', try_cast(s.first_seen as date), try_cast(s.last_seen as date)) <= 7 and coalesce(s.amount, 0) >= 10000 and coalesce(s.transaction_count, 0) <= 3")} as abnormal,
+  len(p) >= 4 or {_CONTROL} as proxy, {_ANY("h", "upper(s.edge_type) = 'SHARED_IDENTIFIER'")} or {_ANY("mid", "upper(s.node_type) = 'BANK'")} as hub, {_ANY("h", f"{_AGE} > 180")} as old,
+  {_ANY("h", "upper(s.edge_type) in ('USES_ACCOUNT', 'OWNS')")} as control_hop, {_ANY("h", "upper(s.edge_type) = 'SHARED_IDENTIFIER'")} as shared_hop,
+  datediff('day', list_min(list_transform(h, lambda s: try_cast(s.last_seen as date))), date '{AS_OF}') as oldest_days, len(p) as n_nodes from z)"""
+_ladder = lambda k: "case " + " ".join(f"when {c} then {repr(r[k]) if k == 0 else r[k]}" for c, *r in V.LADDER) + " end"
+_JUDGED = f"""{_PROFILE}, {_FACTS}, fg as (select node_key as k, small_inbound_counterparties >= 8 and small_inbound_amount >= 10000 and small_inbound_tx >= 100 and largest_outgoing >= 10000 and pass_through_ratio >= 0.7 as structuring,
+  max_outgoing_concentration >= 0.7 and largest_outgoing >= 10000 or max_incoming_concentration >= 0.7 and largest_incoming >= 10000 as dense from q),
+nn as (select {_key("node_key")} as k, any_value(upper(risk_level)) as level, any_value(upper(node_type)) as kind, any_value(upper(country)) as country from graph_nodes group by 1),
+cx as (select pf.*, coalesce(a.level, 'NONE') as level, coalesce(b.level, 'NONE') as source_level, coalesce(a.level = 'SANCTIONED' and a.kind in ('IBAN', 'ACCOUNT', 'WALLET'), false) as direct,
+  coalesce(b.country in {V.CORRIDOR_COUNTRIES}, false) as corridor, coalesce(fg.structuring, false) as structuring, coalesce(fg.dense, false) as dense
+  from pf left join nn a on a.k = {_key("pf.node_key")} left join nn b on b.k = pf.source left join fg on fg.k = {_key("pf.node_key")}),
+c1 as (select *, {_ladder(0)} as code, ({_ladder(1)})::double as base from cx),
+c2 as (select *, list_filter([{", ".join(f"case when n_hops > 0 and {c} then {{'code': '{n}', 'delta': {d}::double}} end" for c, n, d in V.ADDITIONS)}], lambda x: x is not null) as more from c1),
+jd as (select node_key, nullif(code, '') as code, base, array_to_string(list_transform(more, lambda m: m.code), ',') as further, greatest(0, least(1, base + coalesce(list_sum(list_transform(more, lambda m: m.delta)), 0))) as risk, direct from c2)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "path_facts": f"with {_FACTS} select node_key, source, n_hops, reaches_sanctioned, all_outbound, all_inbound, old_tiny, abnormal, proxy, hub, old from pf",
+        "path_predicates": f"with {_FACTS} select node_key, n_hops, reaches_sanctioned, all_outbound, control_hop, shared_hop, oldest_days from pf where n_nodes > 0",
+        "account_evidence": f"with {_JUDGED} select node_key, code, base, further, round(risk, 4) as risk, case when base >= 0.9 then 'CRITICAL' when base >= 0.55 then 'HIGH' when base >= 0.3 then 'MEDIUM' else 'LOW' end as severity, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict from jd",
+        "verdict_by_depth": f"with {_JUDGED} select x.best_depth, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict, count(*) as n, round(avg(round(risk, 4)), 4) as avg_risk from exposure_index x join jd using (node_key) group by 1, 2",
         "edge_rollup": f"with {_BASE} select src, dst, edge_type, round(amount, 2) as amount, transaction_count, first_seen::varchar as first_seen, last_seen::varchar as last_seen, round(confidence, 4) as confidence from r",
         "node_flow_totals": f"with {_BASE} select node_key, round(total_out, 2) as total_out, round(total_in, 2) as total_in from t",
         "flow_concentration": f"with {_BASE} select src, dst, edge_type, round(outgoing_concentration, 6) as outgoing_concentration, round(incoming_concentration, 6) as incoming_concentration, round(flow_concentration, 6) as flow_concentration from f",

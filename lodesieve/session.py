@@ -42,7 +42,9 @@ def shared_folder(spark: SparkSession) -> str:
     local master: on a cluster a machine-local folder could not be read by the others.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc._jsc.sc().getCheckpointDir().get()
     if named is None:
         if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
