@@ -212,3 +212,15 @@ def path_steps(exposure: DataFrame) -> DataFrame:
     x = exposure.select("node_key", F.size("best_path").alias("n"), F.posexplode("best_path").alias("step", "s"))
     role = F.when(F.col("step") == 0, "account").when(F.col("step") == F.col("n") - 1, "source").otherwise("hop")
     return x.select("node_key", "step", F.col("s.node_key").alias("step_key"), F.col("s.node_type").alias("step_type"), role.alias("role"), F.col("s.edge_type").alias("edge_type"), F.col("s.amount").cast("double").alias("amount"))
+
+
+def related_edges(rolled: DataFrame, targets: DataFrame, k: int = 12) -> DataFrame:
+    """(target, rank, src, dst, edge_type, amount): the k largest edges within two hops of each target (column ``target``).
+
+    Two rounds of the same equi-join by node; an edge is counted once per target."""
+    e = incident(rolled.select("src", "dst", "edge_type", "amount").withColumns({"a": F.col("src"), "b": F.col("dst")}))
+    near = targets.join(e.select(F.col("node").alias("target"), "other"), "target").select("target", F.explode(F.array("target", "other")).alias("node")).distinct()
+    near = near.unionByName(targets.select("target", F.col("target").alias("node"))).distinct()
+    found = near.join(e.select("node", "a", "b", "edge_type", "amount"), "node").select("target", "a", "b", "edge_type", "amount").distinct()
+    w = W.partitionBy("target").orderBy(F.col("amount").desc(), "edge_type", "a", "b")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", F.col("a").alias("src"), F.col("b").alias("dst"), "edge_type", "amount")

@@ -153,6 +153,20 @@ def verdict_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.join(v, "node_key").groupBy("best_depth", "verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("risk"), 4).alias("avg_risk"))
 
 
+def related_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve largest edges around every listed account."""
+    n = direct_accounts(spark, sf_dir).select(plain_key(F.col("node_key")).alias("target")).distinct()
+    return G.related_edges(_rolled(spark, sf_dir), n).withColumn("amount", F.round("amount", 2))
+
+
+def account_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, review and match shares of the evidence verdicts per source level, with a total row."""
+    facts = V.path_facts(table(spark, sf_dir, "exposure_index"), _day())
+    c = V.with_context(facts, table(spark, sf_dir, "graph_nodes"), G.pattern_flags(G.behavior_profile(_rolled(spark, sf_dir))))
+    v = V.judge(c).join(c.select("node_key", "source_level"), "node_key")
+    return v.rollup("source_level").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("verdict") == "MATCH").cast("double")), 6).alias("match_share"), F.round(F.avg((F.col("verdict") == "REVIEW").cast("double")), 6).alias("review_share"))
+
+
 def exposed_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best exposed nodes per depth whose source is sanctioned, at most 4,000 a depth."""
     from pyspark.sql import Window as W
@@ -180,7 +194,7 @@ def payment_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     edge_rollup, node_flow_totals, flow_concentration, edge_score, adjacency_entries, top_k_edges, exposure_two_hop, derived_anchor, derived_exposure, merged_exposure, search_stats,
-    behavior_profile, pattern_flags, top_counterparties, node_degree, degree_histogram, node_control, path_steps, path_predicates, path_facts, account_evidence, verdict_by_depth, exposed_by_depth, direct_accounts, payment_exposure,
+    behavior_profile, pattern_flags, top_counterparties, node_degree, degree_histogram, node_control, path_steps, path_predicates, path_facts, account_evidence, verdict_by_depth, related_edges, account_metrics, exposed_by_depth, direct_accounts, payment_exposure,
 )
 
 
@@ -323,6 +337,12 @@ select node_key, round(case when keep then ls else ds end, 4) as score, case whe
   datediff('day', owned_since, date '{AS_OF}') as account_age_days from q""",
         "pattern_flags": f"""with {_PROFILE} select node_key, small_inbound_counterparties >= 8 and small_inbound_amount >= 10000 and small_inbound_tx >= 100 and largest_outgoing >= 10000 and pass_through_ratio >= 0.7 as structuring,
   max_outgoing_concentration >= 0.7 and largest_outgoing >= 10000 or max_incoming_concentration >= 0.7 and largest_incoming >= 10000 as high_concentration, round(pass_through_ratio, 4) as pass_through_ratio from q""",
+        "related_edges": f"""with {_BASE}, {_INC}, tg as (select distinct {_key("node_key")} as target from graph_nodes where upper(risk_level) = 'SANCTIONED' and upper(node_type) in ('IBAN', 'ACCOUNT', 'WALLET')),
+nr as (select target, target as node from tg union select target, i.other from tg join i on i.node = tg.target),
+fd as (select distinct nr.target, r.src, r.dst, r.edge_type, r.amount from nr join r on r.src = nr.node or r.dst = nr.node)
+select target, rank, src, dst, edge_type, round(amount, 2) as amount from (select *, row_number() over (partition by target order by amount desc, edge_type, src, dst) as rank from fd) where rank <= 12""",
+        "account_metrics": f"""with {_JUDGED}, vv as (select cx.source_level, case when jd.direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict from jd join cx using (node_key))
+select source_level, count(*) as n, round(avg((verdict = 'MATCH')::int), 6) as match_share, round(avg((verdict = 'REVIEW')::int), 6) as review_share from vv group by rollup (source_level)""",
         "top_counterparties": f"with {_BASE}, {_INC} select node as node_key, case when is_from then 'sent' else 'received' end as way, rank, other, round(amount, 2) as amount from (select *, row_number() over (partition by node, is_from order by amount desc, other) as rank from i where edge_type = 'SENT_TO') where rank <= 8",
         "node_degree": f"with {_BASE}, {_INC} select node as node_key, count(*) as degree, count(distinct other) as neighbors from i group by 1",
         "degree_histogram": f"with {_BASE}, {_INC}, h as (select node, count(*) as degree from i group by 1) select degree, count(*) as n_nodes from h group by 1",
