@@ -58,8 +58,25 @@ def partial(a: str, b: str) -> float:
     s, t = (a, b) if len(a) <= len(b) else (b, a)
     if not s:
         return 100.0 if not t else 0.0
+    if s in t:
+        return 100.0
     n = len(s)
-    return max(indel_ratio(s, t[max(0, i) : i + n]) for i in range(1 - n, len(t)) if t[max(0, i) : i + n])
+    where: dict[str, int] = {}
+    for i, c in enumerate(s):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << n) - 1
+    masks = [where.get(c, 0) for c in t]
+    best = 0.0
+    for i in range(1 - n, len(t)):
+        part = masks[max(0, i) : i + n]
+        if 200.0 * sum(map(bool, part)) / (n + len(part)) <= best:
+            continue  # not even all its letters in order would be better
+        v = full
+        for m in part:
+            u = v & m
+            v = (v + u | v - u) & full
+        best = max(best, 200.0 * (n - v.bit_count()) / (n + len(part)))
+    return best
 
 
 def partial_token(a: str, b: str) -> float:
