@@ -119,10 +119,13 @@ def _up(c: str) -> str:
     return (t.capitalize() if len(t) < 2 or c != low else t) if c != low else t
 
 
+MOST_WORDS = 60
+
+
 def parse_name(text: str | None) -> Name | None:
-    """None if no name is left."""
-    if not text or len(text) > 400:
-        text = (text or "")[:400] if text else ""
+    """None if no name is left, or if the text has more than MOST_WORDS words: that is a text, not a name."""
+    if not text:
+        return None
     s = fold(text)
     s = _PHRASES.sub(" ", s)
     s = _DIGIT_LETTER.sub(lambda m: "oies"["0135".index(m[0])], s)
@@ -131,6 +134,8 @@ def parse_name(text: str | None) -> Name | None:
     s = _AL.sub(" ", s)
     s = _CAMEL.sub(" ", s)
     words = _WORD.findall(s.lower())
+    if len(words) > MOST_WORDS:
+        return None
     legal = [w for w in words if w in LEGAL]
     firm = bool(legal) or sum(w in SECTOR for w in words if w not in _FIRM_ONLY) > 0 or "foundation" in words
     if firm:
