@@ -58,7 +58,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 def exposure_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _labels(spark, sf_dir)[3]
-    return labels.select("node_key", F.round("score", 8).alias("score"), "depth", "source", F.array_join(F.reverse("path"), ">").alias("path"))
+    return labels.select("node_key", F.round("score", 13).alias("score"), "depth", "source", F.array_join(F.reverse("path"), ">").alias("path"))
 
 
 def derived_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,13 +69,13 @@ def derived_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, adj, degrees, labels = _labels(spark, sf_dir)
     anchors = G.derived_anchors(labels, nodes, degrees, _day())
-    return G.derived_exposure(anchors, adj, nodes, degrees, _day()).withColumn("score", F.round("score", 8))
+    return G.derived_exposure(anchors, adj, nodes, degrees, _day()).withColumn("score", F.round("score", 13))
 
 
 def merged_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, adj, degrees, labels = _labels(spark, sf_dir)
     d = G.derived_exposure(G.derived_anchors(labels, nodes, degrees, _day()), adj, nodes, degrees, _day())
-    return G.merge_exposure(labels, d, nodes).withColumn("score", F.round("score", 8))
+    return G.merge_exposure(labels, d, nodes).withColumn("score", F.round("score", 13))
 
 
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,13 +323,13 @@ def oracle_sql() -> dict[str, str]:
         "edge_score": f"with {_BASE} select src, dst, edge_type, round(flow_materiality, 6) as flow_materiality, round(edge_score, 10) as edge_score, weak from s",
         "adjacency_entries": f"with {_ADJ} select node, neighbor, edge_type, direction, flow, override_allowed, multiplier from adj",
         "top_k_edges": f"with {_ADJ} select node, rank, neighbor, edge_type, direction, degree, round(edge_score, 10) as edge_score from k",
-        "exposure_two_hop": f"with {_labels_sql()} select node_key, round(score, 8) as score, depth, source, array_to_string(list_reverse(path), '>') as path from l",
+        "exposure_two_hop": f"with {_labels_sql()} select node_key, round(score, 13) as score, depth, source, array_to_string(list_reverse(path), '>') as path from l",
         "derived_anchor": f"with {_ANCHORS} select node_key, code, weight, source, depth from dw",
-        "derived_exposure": f"with {_DERIVED} select node_key, round(score, 8) as score, depth, source, anchor, code, suppressed from d",
+        "derived_exposure": f"with {_DERIVED} select node_key, round(score, 13) as score, depth, source, anchor, code, suppressed from d",
         "merged_exposure": f"""with {_DERIVED}, j as (select coalesce(l.node_key, d.node_key) as node_key, l.score as ls, l.depth as ld, l.source as lo, d.score as ds, d.depth as dd, d.source as do_, z.risk_level as lv
   from l full join d on l.node_key = d.node_key left join nm z on z.node_key = l.source),
 w as (select *, ls is not null and (ds is null or ld <= 2 and coalesce(lv, '') = 'SANCTIONED' or ls >= ds) as keep from j)
-select node_key, round(case when keep then ls else ds end, 8) as score, case when keep then ld else dd end as depth, case when keep then lo else do_ end as source, case when keep then 'primary' else 'derived' end as origin from w""",
+select node_key, round(case when keep then ls else ds end, 13) as score, case when keep then ld else dd end as depth, case when keep then lo else do_ end as source, case when keep then 'primary' else 'derived' end as origin from w""",
         "search_stats": f"with {_ADJ}, per as (select node, degree, count(*) as kept, count(*) filter (weak) as weak from k group by all) select sum(degree)::bigint as entries, sum(degree - kept)::bigint as truncated, sum(weak)::bigint as weak_kept, count(*) filter (degree > 200) as hubs, (select count(*) from graph_nodes where upper(risk_level) in ('SANCTIONED', 'SUSPICIOUS')) as anchors from per",
         "behavior_profile": f"""with {_PROFILE} select node_key, round(total_outgoing, 2) as total_outgoing, round(total_incoming, 2) as total_incoming, outgoing_tx, incoming_tx, outgoing_counterparties, incoming_counterparties,
   round(largest_outgoing, 2) as largest_outgoing, round(largest_incoming, 2) as largest_incoming, round(max_outgoing_concentration, 6) as max_outgoing_concentration, round(max_incoming_concentration, 6) as max_incoming_concentration,
