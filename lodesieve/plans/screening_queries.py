@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,9 +110,9 @@ def recall_phonetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.recall(q, I.postings(vs, sim.phonetic("token")), idf, default, 150, sim.phonetic("token")).withColumn("mass", F.round("mass", 4))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, float, DataFrame]:
+def _pairs(spark: SparkSession, sf_dir: str, top: int = 150) -> tuple[DataFrame, DataFrame, DataFrame, float, DataFrame]:
     q, vs, idf, default = _recall_parts(spark, sf_dir)
-    hits = cut(I.recall(q, I.postings(vs), idf, default, 20))
+    hits = cut(I.recall(q, I.postings(vs), idf, default, top))
     p = hits.join(q, "query_id").select("query_id", text.norm(F.col("query")).alias("query_norm"), "entity_id", "rank")
     return p, vs, idf, default, q
 
@@ -130,8 +130,8 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of recalled pairs by Jaro-Winkler."""
-    p, vs, *_ = _pairs(spark, sf_dir)
+    """Names of recalled pairs by Jaro-Winkler: the 20 best entities of a query, as its SQL defines it."""
+    p, vs, *_ = _pairs(spark, sf_dir, 20)
     v = vs.where("is_primary").select("entity_id", "variant_norm")
     return p.join(v, "entity_id").select("query_id", "entity_id", F.round(sim.jaro_winkler("query_norm", "variant_norm"), 4).alias("jw"))
 
@@ -143,11 +143,26 @@ def token_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("query_id", "entity_id", F.round(sim.ratio(a, b), 4).alias("ratio"), F.round(sim.token_sort_ratio(a, b), 4).alias("token_sort"), F.round(sim.token_set_ratio(a, b), 4).alias("token_set"), F.round(sim.partial_ratio(a, b), 4).alias("partial"), F.round(sim.weighted_ratio(a, b), 4).alias("weighted"))
 
 
+def stated_births(comments: Column) -> Column:
+    """Dates and years of birth that a comment tells, as texts; an estimate covers its neighbours, a span its inner years."""
+    c = F.coalesce(comments, F.lit(""))
+    dates = F.regexp_extract_all(c, F.lit(r"((?:19|20)\d\d-\d\d-\d\d)"), 1)
+    years = F.transform(F.regexp_extract_all(c, F.lit(r"(?<!\d)((?:19|20)\d\d)(?!\d)"), 1), lambda y: y.cast("int"))
+    span = F.sequence(F.array_min(years), F.array_max(years))
+    years = F.when(F.size(years) == 0, years).when(c.rlike("(?i)circa|approx|about"), F.flatten(F.transform(years, lambda y: F.array(y - 1, y, y + 1)))).when(c.rlike("(?i)between"), span).otherwise(years)
+    return F.when(c.rlike("(?i)born|birth|dob"), F.concat(dates, F.transform(years, lambda y: y.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
 def fallback_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of the other list screened without a model: best blended score against the thresholds."""
+    """Names of the other list screened without a model: best blended score against the thresholds. A name of a list is
+    no payment, so its risk is 0; dates of birth are those of the entity against those that the comments tell."""
     p, vs, *_ = _pairs(spark, sf_dir)
     b = X.best_variant(p, vs).join(p.select("query_id", "entity_id", "rank"), ["query_id", "entity_id"])
-    s = b.withColumn("score", X.blended(F.col("query_norm"), F.col("variant_norm")) / 100).withColumn("risk", F.lit(0.0)).withColumn("dob", F.lit(0.0))
+    s = b.withColumn("score", X.blended(F.col("query_norm"), F.col("variant_norm")) / 100).withColumn("risk", F.lit(0.0))
+    said = table(spark, sf_dir, "un_entity").where("un_id is not null and name is not null").groupBy(F.col("un_id").alias("query_id")).agg(F.max_by(F.struct("comments"), F.struct("created_at", "id")).alias("r")).select("query_id", stated_births(F.col("r.comments")).alias("asked"))
+    born = entities(spark, sf_dir).select("entity_id", text.split_multi(F.col("birth_date")).alias("dobs"))
+    s = s.join(said, "query_id", "left").join(born, "entity_id", "left")
+    s = s.withColumn("dob", F.coalesce(F.array_max(F.transform("asked", lambda a: X.dob_agreement(a, F.col("dobs")))), F.lit(0.0)))
     return X.fallback_verdict(s).withColumn("score", F.round("score", 4))
 
 
