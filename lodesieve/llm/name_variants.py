@@ -34,6 +34,8 @@ class VariantParams:
     common_block: int = 40  # listed names under a key from which on it is refined
     usual_share: float = 0.001  # share of the listed records from which on a token is a usual given or middle name
     usual_least: int = 8
+    real_share: float = 0.0015  # share of the typed names from which on an unlisted token is a name of its own, not a slip
+    real_least: int = 3
     least_score: float = 0.8
 
 
@@ -153,7 +155,7 @@ def candidate_pairs(typed: DataFrame, listed: DataFrame, usual: int, p: VariantP
     return pairs.select("typed", "listed").distinct()
 
 
-def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: int, p: VariantParams) -> DataFrame:
+def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: int, real: int, p: VariantParams) -> DataFrame:
     """(typed, listed, score) of the pairs of ids that can be one name. The sides bring key and token counts along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,7 +163,7 @@ def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: int,
             out = []
             lists: dict[str, int] = {}
             types: dict[str, int] = {}
-            known = Vocabulary(_Present(lists), types, common=usual)
+            known = Vocabulary(_Present(lists), types, common=usual, real=real)
             names = {k: from_key(k) for k in {*pdf["k1"], *pdf["k2"]}}
             for k, l, t in zip([*pdf["k1"], *pdf["k2"]], [*pdf["l1"], *pdf["l2"]], [*pdf["t1"], *pdf["t2"]], strict=True):
                 for tok, a, b in zip(names[k].core, l, t, strict=False):
@@ -202,7 +204,8 @@ def linked_names(typed: DataFrame, listed: DataFrame, p: VariantParams | None =
     names_t, names_r = t.select("id", "key").distinct(), r.select("id", "key").distinct()
     tc, rc = with_counts(names_t, r)
     tc, rc = cut(names_t.join(tc, "id")), cut(names_r.join(rc, "id"))
-    hits = compared(candidate_pairs(tc, rc, usual, p), tc, rc, usual, p)
+    real = max(p.real_least, int(p.real_share * tc.count()))
+    hits = compared(candidate_pairs(tc, rc, usual, p), tc, rc, usual, real, p)
     by_record = hits.join(r.select("record", F.col("id").alias("listed")), "listed").groupBy("typed", "record").agg(F.max("score").alias("score"))
     return by_record.join(t.select("name", F.col("id").alias("typed")), "typed").select("name", "record", "score")
 
