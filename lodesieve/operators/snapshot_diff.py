@@ -1,15 +1,17 @@
 """What changed between consecutive full snapshots of a table.
 
-Rows are reduced to (delivery, key, content digest). Keys are hashed into leaf buckets; the digests of a bucket add up
-to the digest of its leaf, leaves to inner nodes, and inner nodes to a root per delivery. Two consecutive deliveries
-are compared from the root downward, level by level, and only rows in leaves whose digests differ are compared.
-
-The sums are insensitive to row order and are kept in two 32-bit lanes so that they can't overflow. A row delivered
-twice makes a leaf look different (it is then compared row by row, where repeats don't count); it never hides a change.
-
-Defined results: rows without key or delivery are ignored; a key that stands more than once in a delivery is
-represented by its lowest and highest content digest; a delivery without rows removes every key; an empty table or a
-feed with fewer than two deliveries gives no rows. Other columns of the input, whatever their names, are not read.
+Rows are reduced to (delivery, key, content digest) in one scan. Keys are hashed into leaf buckets. A leaf is a page of a
+few keys with their digests, and carries the sum of the digests; leaves add up to inner nodes, inner nodes to a root per
+delivery. The pages are written once, columnar, so that the comparison reads their digests alone. Two consecutive
+deliveries are compared from the root downward: a level is read only below nodes that differed, and pages are opened only
+where the digests of a leaf differ.
+
+The sums don't depend on the order of rows and are kept in two 32-bit lanes so that they can't overflow. Rows repeated
+within a delivery count once, before anything is summed.
+
+Defined results: rows without key or delivery are ignored; a key that stands more than once in a delivery is represented by
+the set of its contents; a delivery without rows removes every key; an empty table or a feed with fewer than two
+deliveries gives no rows. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 FANOUT_BITS = 4
 
 
@@ -69,59 +73,74 @@ def choose_leaf_bits(rows: int, n_deliveries: int, rows_per_leaf: int = 16) -> i
     return min(32, max(FANOUT_BITS, FANOUT_BITS * math.ceil(bits / FANOUT_BITS)))
 
 
-def merkle_leaves(rows: DataFrame) -> DataFrame:
-    """(source, seq, node, lo, hi, n): leaf digests of every delivery, summed on the map side first."""
-    h = F.xxhash64("record_key", "digest")
-    return rows.groupBy("source", "seq", F.col("leaf").alias("node")).agg(
-        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"), F.sum(F.shiftrightunsigned(h, 32)).alias("hi"), F.count(F.lit(1)).alias("n")
-    )
+def estimated_rows(df: DataFrame, bytes_per_row: int = 256) -> int:
+    """Rows of a table by the size that Spark's statistics give, without reading it. It decides the depth of the tree only."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // bytes_per_row
+
+
+def _lanes(h: Column) -> list[Column]:
+    return [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"), F.sum(F.shiftrightunsigned(h, 32)).alias("hi")]
+
+
+def pages(rows: DataFrame) -> DataFrame:
+    """(source, seq, node, lo, hi, keys): the leaves of every delivery. A key's contents are made distinct and summed on the
+    map side first, so a key or delivery of any frequency is small when it is grouped; a page has a leaf's keys only."""
+    once = rows.select("source", "seq", F.col("leaf").alias("node"), "record_key", "digest").distinct()
+    per_key = once.groupBy("source", "seq", "node", "record_key").agg(*_lanes(F.xxhash64("record_key", "digest")))
+    return per_key.groupBy("source", "seq", "node").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.collect_list(F.struct("record_key", "lo", "hi")).alias("keys"))
 
 
 def _differing(level: DataFrame) -> DataFrame:
     """(source, pair, node) whose digests differ between delivery ``pair`` and the one before it."""
-    signed = level.select("source", "node", F.explode(F.array(F.struct(F.col("seq").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("seq") + 1).alias("pair"), F.lit(-1).alias("sign")))).alias("s"), "lo", "hi", "n")
-    g = signed.groupBy("source", F.col("s.pair").alias("pair"), "node").agg(*[F.sum(F.col(c) * F.col("s.sign")).alias(c) for c in ("lo", "hi", "n")])
+    signed = level.select("source", "node", F.explode(F.array(F.struct(F.col("seq").alias("pair"), F.lit(1).alias("sign")), F.struct((F.col("seq") + 1).alias("pair"), F.lit(-1).alias("sign")))).alias("s"), "lo", "hi")
+    g = signed.groupBy("source", F.col("s.pair").alias("pair"), "node").agg(*[F.sum(F.col(c) * F.col("s.sign")).alias(c) for c in ("lo", "hi")], F.sum("s.sign").alias("n"))
     return g.where("lo <> 0 or hi <> 0 or n <> 0").select("source", "pair", "node")
 
 
 def differing_leaves(leaves: DataFrame, leaf_bits: int) -> DataFrame:
-    """Top-down comparison: from one node per delivery to the leaves, a level only below nodes that differed."""
-    found = None
-    for shift in range(leaf_bits, -1, -FANOUT_BITS):
-        level = leaves if shift == 0 else leaves.groupBy("source", "seq", F.shiftrightunsigned("node", shift).alias("node")).agg(*[F.sum(c).alias(c) for c in ("lo", "hi", "n")])
-        diff = _differing(level)
-        if found is not None:
-            up = found.withColumnRenamed("node", "up")
-            diff = diff.withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).join(up, ["source", "pair", "up"], "left_semi").drop("up")
-        found = diff
+    """Top-down comparison. Each level is summed from the one below it, once; on the way down only nodes under a differing
+    parent are differenced at all."""
+    levels = [leaves.select("source", "seq", "node", "lo", "hi")]
+    for _ in range(FANOUT_BITS, leaf_bits + 1, FANOUT_BITS):
+        up = levels[-1].groupBy("source", "seq", F.shiftrightunsigned("node", FANOUT_BITS).alias("node")).agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+        levels.append(cut(up))
+    found = _differing(levels.pop())
+    while levels:
+        level = levels.pop()
+        under = found.select("source", F.explode(F.array("pair", F.col("pair") - 1)).alias("seq"), F.col("node").alias("up")).distinct()
+        below = level.withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).join(under, ["source", "seq", "up"], "left_semi").drop("up")
+        # a delivery next to a differing pair comes along; its other pair is shut out again by the parents
+        parents = found.withColumnRenamed("node", "up")
+        found = cut(_differing(below).withColumn("up", F.shiftrightunsigned("node", FANOUT_BITS)).join(parents, ["source", "pair", "up"], "left_semi").drop("up"))
     return found
 
 
-def snapshot_changes(runs: DataFrame, feeds: Mapping[str, tuple[DataFrame, str, str, Sequence[str]]], rows_per_leaf: int = 16) -> DataFrame:
+def snapshot_changes(runs: DataFrame, feeds: Mapping[str, tuple[DataFrame, str, str, Sequence[str]]], rows_per_leaf: int = 8) -> DataFrame:
     """(source, ingest_run_id, record_key, change_kind) for every delivery but the first of each source.
 
     ``feeds`` maps a source name to (table, key column, run column, compared columns); sources that share a table share
     its scan. ``change_kind`` is added, removed or changed.
     """
-    seq = deliveries(runs, list(feeds)).cache()
+    seq = cut(deliveries(runs, list(feeds)))
     n_deliveries = seq.count()
     distinct = {id(t): (t, key, run, tuple(cols)) for t, key, run, cols in feeds.values()}
-    total = sum(t.count() for t, *_ in distinct.values())  # answered from file footers
-    bits = choose_leaf_bits(total, n_deliveries, rows_per_leaf)
+    bits = choose_leaf_bits(sum(estimated_rows(t) for t, *_ in distinct.values()), n_deliveries, rows_per_leaf)
     # one row per delivery: a few hundred at most, whatever the size of the tables
     known = F.broadcast(seq) if n_deliveries <= 10_000 else seq
     parts = []
     for t, key, run, cols in distinct.values():
         mine = [s for s, f in feeds.items() if f[0] is t]
         parts.append(keyed_digests(t, key, run, cols, bits).join(known.where(F.col("source").isin(*mine)), "run_id"))
-    rows = reduce(DataFrame.unionByName, parts)
-    dirty = differing_leaves(merkle_leaves(rows), bits)
-    pairs = F.explode(F.array(F.struct(F.col("seq").alias("pair"), F.lit(True).alias("now")), F.struct((F.col("seq") + 1).alias("pair"), F.lit(False).alias("now"))))
-    sided = rows.select("source", "record_key", "digest", F.col("leaf").alias("node"), pairs.alias("p")).select("source", "record_key", "digest", "node", "p.pair", "p.now")
-    # two kinds of pairs don't exist: the first delivery has none before it, the last none after it
-    sided = sided.join(known.select("source", F.col("seq").alias("pair"), F.col("run_id").alias("ingest_run_id")).where("pair > 1"), ["source", "pair"])
-    sided = sided.join(dirty, ["source", "pair", "node"], "left_semi")
-    at = lambda f, now: f(F.when(F.col("now") == F.lit(now), F.col("digest")))
-    g = sided.groupBy("source", "ingest_run_id", "record_key").agg(at(F.min, True).alias("a"), at(F.max, True).alias("b"), at(F.min, False).alias("c"), at(F.max, False).alias("d"))
-    kind = F.when(F.col("c").isNull(), "added").when(F.col("a").isNull(), "removed").when((F.col("a") != F.col("c")) | (F.col("b") != F.col("d")), "changed")
-    return g.withColumn("change_kind", kind).where("change_kind is not null").select("source", "ingest_run_id", "record_key", "change_kind")
+    leaves = cut(pages(reduce(DataFrame.unionByName, parts)))
+    dirty = differing_leaves(leaves, bits)
+    sides = []
+    for now in (True, False):
+        pair = F.col("seq") if now else F.col("seq") + 1
+        page = leaves.select("source", pair.alias("pair"), "node", "keys").join(dirty, ["source", "pair", "node"], "left_semi")
+        sides.append(page.select("source", "pair", F.inline("keys")).withColumn("now", F.lit(now)))
+    at = lambda c, now: F.max(F.when(F.col("now") == F.lit(now), F.col(c)))
+    g = sides[0].unionByName(sides[1]).groupBy("source", "pair", "record_key").agg(*[at(c, now).alias(f"{c}_{n}") for c in ("lo", "hi") for n, now in (("now", True), ("old", False))])
+    kind = F.when(F.col("lo_old").isNull(), "added").when(F.col("lo_now").isNull(), "removed").when((F.col("lo_now") != F.col("lo_old")) | (F.col("hi_now") != F.col("hi_old")), "changed")
+    # the first delivery has none before it, the last none after it
+    later = known.where("seq > 1").select("source", F.col("seq").alias("pair"), F.col("run_id").alias("ingest_run_id"))
+    return g.withColumn("change_kind", kind).where("change_kind is not null").join(later, ["source", "pair"]).select("source", "ingest_run_id", "record_key", "change_kind")

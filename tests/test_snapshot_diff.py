@@ -74,3 +74,10 @@ def test_leaves_grow_with_the_table():
     assert choose_leaf_bits(10, 5) == 4
     assert choose_leaf_bits(10**12, 10) == 32
     assert choose_leaf_bits(10**6, 10) < choose_leaf_bits(10**8, 10)
+
+
+def test_a_key_of_several_contents_of_which_a_middle_one_changes(spark):
+    rs = runs(spark, (1, "a", "ok", 0), (2, "a", "ok", 1))
+    for i in range(6):  # whichever content has the middle digest
+        got = changes(spark, rs, [row("x", 1, f"n{j}") for j in range(6)] + [row("x", 2, "other" if i == j else f"n{j}") for j in range(6)])
+        assert got == [("a", 2, "x", "changed")]
