@@ -4,16 +4,18 @@
    scalar fields. It is aggregated on the executors; only element names and field names (not data) reach the driver.
 2. ``plan_tables`` decides per element: repeated, shared (reached from several elements) or recursive ones get a table,
    singletons are inlined into the nearest table above them as dotted columns.
-3. ``shred`` turns every record into rows of those tables: the path of the element within the record, the path of the
-   nearest enclosing row (the foreign key), and the inlined scalar fields. ``child_table`` gives one table with
-   typed-as-text columns.
+3. ``shred`` turns every record into rows of the plan's tables: the path of the element within the record, the path of the
+   nearest enclosing row (the foreign key), the path of the nearest enclosing list element, and the inlined scalar fields.
+   An element without a table in the plan is inlined, a list of such elements isn't stored. ``child_table`` gives one
+   table with typed-as-text columns, ``list_items`` the rows of all tables that are elements of lists.
 
 Typed columns (structs, arrays of structs) are shredded by Catalyst alone, from the schema (``shred_typed``). JSON text
 is parsed once per row in Arrow batches, since its shape differs from row to row.
 
 Defined results: a null or invalid text gives no rows; empty lists and null elements give no rows, but null elements
 keep their position; JSON text inside a JSON string counts as if it stood there unquoted, if it is an object or a list
-(so ``"5"`` stays a string); an object in place of a list of a known repeated element counts as a list of one. NaN and
+(so ``"5"`` stays a string); an object in place of a list counts as a list of one if the element is documented as a list
+(``known_repeated``), else it is a row of the element's table that is no list element. NaN and
 Infinity aren't JSON. Of repeated names in an object the last counts. Nesting deeper than the parser's limit counts as
 invalid. Repeated records give repeated rows here; ``item_rows`` makes them distinct. A null record key is kept.
 """
@@ -24,12 +26,13 @@ import json
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS = "record_key string, relation string, item_path string, parent_path string, fields map<string,string>"
+ROWS = "record_key string, relation string, item_path string, parent_path string, list_path string, is_item boolean, fields map<string,string>"
 PATHS = "record_key string, item_path string, parent_path string"
 MAX_ELEMENTS = 100_000  # bound on distinct (parent, element) names that reach the driver; data used as names raises
 
@@ -73,9 +76,11 @@ def _unquote(s: str) -> object:
 
 @dataclass
 class TablePlan:
-    """``repeated``: element names that are lists of objects somewhere; ``own_table``: elements that get a table;
-    ``columns``: inlined columns per table; ``parents``: tables from which an element is reached."""
+    """``known``: elements documented as lists; ``repeated``: elements that are lists of objects somewhere in the graph;
+    ``own_table``: elements that get a table; ``columns``: inlined columns per table; ``parents``: tables from which an
+    element is reached."""
 
+    known: frozenset[str] = frozenset()
     repeated: set[str] = field(default_factory=set)
     own_table: set[str] = field(default_factory=set)
     columns: dict[str, set[str]] = field(default_factory=dict)
@@ -132,12 +137,12 @@ def plan_tables(graph: DataFrame, root: str, known_repeated: Collection[str] = (
     edges = graph.limit(MAX_ELEMENTS + 1).collect()
     if len(edges) > MAX_ELEMENTS:
         raise ValueError(f"more than {MAX_ELEMENTS} element names: data seem to be used as names; shred that part as key-value lists instead")
-    p = TablePlan(repeated=set(known_repeated))
+    p = TablePlan(known=frozenset(known_repeated))
     up: dict[str, set[str]] = {}
     for e in edges:
         if e.kind != "field":
             up.setdefault(e.element, set()).add(e.parent)
-            if e.kind == "list":
+            if e.kind == "list" or e.element in p.known:
                 p.repeated.add(e.element)
 
     def recursive(x: str) -> bool:
@@ -169,18 +174,20 @@ def plan_tables(graph: DataFrame, root: str, known_repeated: Collection[str] = (
 
 
 def _shred(v: object, root: str, plan: TablePlan, with_fields: bool) -> list[tuple]:
-    """(relation, path, path of the row above, path of the list element above, fields, is_item) of each row of one record;
+    """(relation, path, path of the row above, path of the list element above, is_item, fields) of each row of one record;
     is_item: an element of a list."""
     rows: list[tuple] = []
-    repeated, own = plan.repeated, plan.own_table
+    known, own = plan.known & plan.repeated, plan.own_table
     top: dict[str, str] = {}
     if isinstance(v, dict):
-        rows.append((root, root, "", "", top, False))
+        rows.append((root, root, "", "", False, top))
     # value, name, path, nearest row above, nearest list element above, fields of that row, prefix within it
     stack = [(v, root, root, root if isinstance(v, dict) else "", "", top, "", False)]
     while stack:
         v, name, path, row, item, fields, prefix, listed = stack.pop()
         if isinstance(v, list):
+            if name not in own:
+                continue
             for i in range(len(v) - 1, -1, -1):
                 x = v[i]
                 if isinstance(x, str):
@@ -190,17 +197,17 @@ def _shred(v: object, root: str, plan: TablePlan, with_fields: bool) -> list[tup
             continue
         if listed:
             fields, prefix = {}, ""
-            rows.append((name, path, row, item, fields, True))
+            rows.append((name, path, row, item, True, fields))
             row = item = path
         for key, x in v.items():
             if isinstance(x, str):
                 x = _unquote(x)
             if isinstance(x, dict):
-                if key in repeated:
+                if key in known:
                     stack.append((x, key, f"{path}.{key}[0]", row, item, fields, "", True))
                 elif key in own:
                     mine: dict[str, str] = {}
-                    rows.append((key, f"{path}.{key}", row, item, mine, False))
+                    rows.append((key, f"{path}.{key}", row, item, False, mine))
                     stack.append((x, key, f"{path}.{key}", f"{path}.{key}", item, mine, "", False))
                 else:
                     stack.append((x, key, f"{path}.{key}", row, item, fields, f"{prefix}{key}.", False))
@@ -213,40 +220,33 @@ def _shred(v: object, root: str, plan: TablePlan, with_fields: bool) -> list[tup
     return rows
 
 
-def shred(df: DataFrame, key_column: str, json_column: str, plan: TablePlan, root: str | None = None) -> DataFrame:
-    """Rows of all tables: record_key, relation, item_path, parent_path (nearest row above; '' for the root), fields."""
+def shred(df: DataFrame, key_column: str, json_column: str, plan: TablePlan, root: str | None = None, with_fields: bool = True) -> DataFrame:
+    """Rows of all tables of the plan: record_key, relation, item_path, parent_path (nearest row above; '' for the root),
+    list_path (nearest list element above; '' for none), is_item, fields (empty unless ``with_fields``)."""
     root = root or json_column
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            keys: list[str | None] = []
+            out: list[tuple] = []
             for k, t in zip(pdf["k"], pdf["j"], strict=True):
                 v = parse(t)
                 if isinstance(v, (dict, list)):
-                    out += [(k, rel, path, up, fields) for rel, path, up, _, fields, _ in _shred(v, root, plan, True)]
-            yield pd.DataFrame(out, columns=["record_key", "relation", "item_path", "parent_path", "fields"])
+                    got = _shred(v, root, plan, with_fields)
+                    out += got
+                    keys += [k] * len(got)
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            made = {c: pd.Series(cols[i], dtype=object) for i, c in enumerate(("relation", "item_path", "parent_path", "list_path"))}
+            yield pd.DataFrame({"record_key": pd.Series(keys, dtype=object), **made, "is_item": np.array(cols[4], bool), "fields": pd.Series(cols[5] if with_fields else [None] * len(keys), dtype=object)})
 
-    return df.select(df[key_column].cast("string").alias("k"), df[json_column].alias("j")).mapInPandas(run, ROWS)
+    return df.select(df[key_column].cast("string").alias("k"), df[json_column].alias("j")).where("j is not null").mapInPandas(run, ROWS)
 
 
-def item_paths(df: DataFrame, key_column: str, json_column: str, plan: TablePlan, root: str | None = None) -> DataFrame:
-    """As ``shred``, but only rows that are elements of lists, linked to the nearest list element above, without fields."""
-    root = root or json_column
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys, paths, ups = [], [], []
-            for k, t in zip(pdf["k"], pdf["j"], strict=True):
-                v = parse(t)
-                if isinstance(v, (dict, list)):
-                    for _, path, _, up, _, listed in _shred(v, root, plan, False):
-                        if listed:
-                            keys.append(k)
-                            paths.append(path)
-                            ups.append(up)
-            yield pd.DataFrame({"record_key": pd.Series(keys, dtype=object), "item_path": pd.Series(paths, dtype=object), "parent_path": pd.Series(ups, dtype=object)})
-
-    return df.select(df[key_column].cast("string").alias("k"), df[json_column].alias("j")).where("j is not null").mapInPandas(run, PATHS)
+def list_items(rows: DataFrame, plan: TablePlan) -> DataFrame:
+    """(record_key, item_path, parent_path): the list elements in the child tables of ``shred``'s rows, linked to the list
+    element they stand in."""
+    tables = sorted(plan.repeated)
+    return rows.where(F.col("is_item") & F.col("relation").isin(tables)).select("record_key", "item_path", F.col("list_path").alias("parent_path"))
 
 
 def child_table(rows: DataFrame, relation: str, plan: TablePlan) -> DataFrame:

@@ -44,8 +44,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, key, column in (("pipeline_verdict", "txn_id", "dossier"), ("opensanctions_target", "id", "raw")):
         df = table(spark, sf_dir, name)
         plan = nested.plan_tables(nested.schema_graph(df, column, column), column, OBJECT_LISTS)
-        plan.repeated = set(OBJECT_LISTS)
-        parts.append(nested.item_paths(df, key, column, plan).withColumn("record_table", F.lit(name)))
+        rows = nested.shred(df, key, column, plan, with_fields=False)
+        parts.append(nested.list_items(rows, plan).withColumn("record_table", F.lit(name)))
     paths = nested.shred_typed(table(spark, sf_dir, "exposure_index"), "node_key", "best_path")
     parts.append(paths.withColumn("record_table", F.lit("exposure_index")))
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])

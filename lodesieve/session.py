@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -52,12 +53,51 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/lodesieve-{sc.applicationId}"
 
 
+_CUT: dict[str, list[str]] = {}  # tables written by ``cut``, by application
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared folder: columnar and compressed, it survives lost executors, and
-    what was computed with chance (task numbers, say) is fixed by it. The folder is per application."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    what was computed with chance (task numbers, say) is fixed by it. ``discard`` deletes one, ``release`` all of them once
+    the results are written; what is left goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _CUT:
+        _CUT[app] = []
+        atexit.register(_remove_quietly, spark, shared_folder(spark))
+    _CUT[app].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    try:
+        _remove(spark, path)
+    except Exception:  # noqa: BLE001, S110 - the session has ended; the folder is the application's own
+        pass
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``cut`` that nothing will read again."""
+    path = getattr(df, "_cut_path", None)
+    if path is not None:
+        _CUT[df.sparkSession.sparkContext.applicationId].remove(path)
+        _remove(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of ``cut``: call it when the results that depend on them are written."""
+    for path in _CUT.get(spark.sparkContext.applicationId, []):
+        _remove(spark, path)
+    _CUT.pop(spark.sparkContext.applicationId, None)
 
 
 def ship_package(spark: SparkSession) -> None:

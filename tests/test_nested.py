@@ -8,7 +8,7 @@ from lodesieve.operators import nested as N
 def paths(spark, texts, repeated=("items",)):
     df = spark.createDataFrame([(str(i), t, "clash") for i, t in enumerate(texts)], "k string, j string, item_path string")
     plan = N.plan_tables(N.schema_graph(df, "j", "j"), "j", repeated)
-    return sorted((r.record_key, r.parent_path, r.item_path) for r in N.item_paths(df, "k", "j", plan).collect())
+    return sorted((r.record_key, r.parent_path, r.item_path) for r in N.list_items(N.shred(df, "k", "j", plan, with_fields=False), plan).collect())
 
 
 def test_paths_parents_nulls_and_quoted_json(spark):
@@ -53,3 +53,25 @@ def test_shared_and_recursive_elements_get_tables(spark):
 def test_typed_columns(spark):
     df = spark.createDataFrame([("1", 0)], "k string, z int").select("k", F.array(F.struct(F.lit(1).alias("a"), F.array(F.struct(F.lit(2).alias("b"))).alias("c")), F.lit(None)).alias("p"))
     assert sorted(tuple(r) for r in N.shred_typed(df, "k", "p").collect()) == [("1", "p[0]", ""), ("1", "p[0].c[0]", "p[0]")]
+
+
+def test_the_schema_graph_decides(spark):
+    """An element that is a list in some record gets a table though nobody named it; where it stands alone it is a row of
+    that table and no list element. Without a plan there are no tables."""
+    texts = [json.dumps({"parts": [{"a": 1}]}), json.dumps({"parts": {"a": 2}, "once": {"b": 1}})]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "k string, j string")
+    plan = N.plan_tables(N.schema_graph(df, "j", "j"), "j", ("items",))
+    assert plan.repeated == {"parts"} and "once" not in plan.own_table
+    rows = N.shred(df, "k", "j", plan)
+    assert sorted((r.record_key, r.item_path, r.a) for r in N.child_table(rows, "parts", plan).collect()) == [("0", "j.parts[0]", "1"), ("1", "j.parts", "2")]
+    assert [(r.record_key, r.item_path, r.parent_path) for r in N.list_items(rows, plan).collect()] == [("0", "j.parts[0]", "")]
+    assert N.list_items(N.shred(df, "k", "j", N.TablePlan()), N.TablePlan()).count() == 0
+
+
+def test_foreign_keys_lead_to_rows(spark):
+    doc = {"a": {"items": [{"x": 1, "who": {"n": 1}, "items": [{"x": 2}]}]}, "b": {"who": {"n": 2}}}
+    df = spark.createDataFrame([("1", json.dumps(doc))], "k string, j string")
+    plan = N.plan_tables(N.schema_graph(df, "j", "j"), "j")
+    rows = N.shred(df, "k", "j", plan).collect()
+    paths = {r.item_path for r in rows}
+    assert {r.parent_path for r in rows} - {""} <= paths and {r.relation for r in rows} == {"j", "items", "who"}
