@@ -114,8 +114,57 @@ from refs left join n on n.k = refs.k left join g on g.k = refs.k
 where refs.k is not null and refs.k <> '' and (n.k is null or n.born > refs.ts)"""
 
 
+# JSON held in a string is read as if it stood there; plain strings stay
+_UNQUOTED = """case when json_type({0}) = 'VARCHAR' and json_valid({0} ->> '$') and json_type(({0} ->> '$')::json) in ('OBJECT', 'ARRAY') then ({0} ->> '$')::json
+  when json_type({0}) = 'VARCHAR' and json_valid({0} ->> '$') and json_type(({0} ->> '$')::json) = 'VARCHAR' and json_valid((({0} ->> '$')::json) ->> '$')
+    and json_type(((({0} ->> '$')::json) ->> '$')::json) in ('OBJECT', 'ARRAY') then ((({0} ->> '$')::json) ->> '$')::json else {0} end"""
+
+# every value below a record: its path, the element that holds it, whether it is an object that counts as a list element,
+# whether it stands in a list itself, and the objects above it
+_P5_WALK = f"""
+with recursive texts as (
+  select 'pipeline_verdict' as record_table, txn_id as record_key, 'dossier' as root, case when json_valid(dossier) then dossier::json end as v from pipeline_verdict
+  union all select 'opensanctions_target', id::varchar, 'raw', case when json_valid(raw) then raw::json end from opensanctions_target),
+walk as (
+  select record_table, record_key, root as above, root as element, root as item_path, false as is_item, false as in_list, [] :: struct(p varchar, e varchar, i boolean)[] as ups, v
+  from (select * replace ({_UNQUOTED.format("v")} as v) from texts where v is not null)
+  union all
+  select w.record_table, w.record_key, case when w.is_list then w.above else w.element end, case when w.is_list then w.element else e.key end,
+    w.item_path || case when w.is_list then '[' || e.key || ']' when e.key in {OBJECT_LISTS} and json_type(e.x) = 'OBJECT' then '.' || e.key || '[0]' else '.' || e.key end,
+    json_type(e.x) = 'OBJECT' and (w.is_list or e.key in {OBJECT_LISTS}), w.is_list,
+    case when w.is_list then w.ups else list_append(w.ups, {{'p': w.item_path, 'e': w.element, 'i': w.is_item}}) end, e.x
+  from (select *, json_type(v) = 'ARRAY' as is_list from walk where json_type(v) in ('OBJECT', 'ARRAY')) w,
+    lateral (select key, {_UNQUOTED.format("value")} as x from json_each(w.v)) e)
+"""
+_P5 = (
+    _P5_WALK
+    + """select distinct record_table, record_key, coalesce(list_filter(ups, lambda u: u.i)[-1].p, '') as parent_path, item_path from walk where is_item
+union
+select distinct 'exposure_index', node_key, '', 'best_path[' || (i - 1) || ']' from (select node_key, best_path, unnest(range(1, len(best_path) + 1)) as i from exposure_index) where best_path[i] is not null"""
+)
+_P5_GRAPH = (
+    _P5_WALK
+    + """select record_table, above as parent, element, case when json_type(v) <> 'OBJECT' then 'field' when in_list then 'list' else 'single' end as kind, count(*) as n
+from walk where item_path not in ('raw', 'dossier') and json_type(v) <> 'ARRAY' and (json_type(v) = 'OBJECT' or not in_list) group by all"""
+)
+
+
+def _p5_child(table_name: str, element: str, columns: tuple[str, ...]) -> str:
+    """Rows of one element; the row above is the nearest list element, root or shared element."""
+    return (
+        _P5_WALK
+        + f""", own as (select list(element) as es from (select element from walk where record_table = '{table_name}' and json_type(v) = 'OBJECT' group by 1 having count(distinct above) > 1 or bool_or(is_item) or bool_or(len(ups) = 0)))
+select distinct record_key, item_path, coalesce(list_filter(ups, lambda u: u.i or list_contains(own.es, u.e))[-1].p, '') as parent_path, {", ".join(f"v ->> '{c}' as {c}" for c in columns)}
+from walk, own where record_table = '{table_name}' and element = '{element}' and is_item"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": _P5,
+        "p5_schema_graph": _P5_GRAPH,
+        "p5_chain_steps": _p5_child("pipeline_verdict", "chain", ("amount", "edge_type", "flow", "label", "node_key", "risk", "step", "type", "via")),
+        "p5_sanction_listings": _p5_child("opensanctions_target", "listings", ("page", "ref")),
         "p2_found": _P2,
         "p2_change_counts": f"select source, ingest_run_id, change_kind, count(*) as n_keys from ({_P2}) group by all",
         "p4_found": _P4,
