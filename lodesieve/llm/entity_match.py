@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .boosting import Boosted
-from .name_variants import _Present, parsed, with_counts, years
+from .name_variants import _Present, parsed, surely, with_counts, years
 from .names import Vocabulary, compare, from_key, lcs_length, mutated, skeleton
 
 # fixed values: countries by code, in the wordings of the lists
@@ -48,7 +48,6 @@ class MatchParams:
     attribute_bands: int = 16
     attribute_rows: int = 3
     usual_share: float = 0.001
-    usual_least: int = 8
     sample_rows: int = 20_000  # weakly labelled pairs fitted and calibrated on, at most
     least_loose: float = 0.55  # pairs of spellings below it aren't kept
     threshold: float = 0.5
@@ -71,7 +70,7 @@ def records(df: DataFrame, key: str, name: str, aliases: str, born: Column, coun
     return spelled, facts
 
 
-def signatures(spelled: DataFrame, usual: int, p: MatchParams) -> DataFrame:
+def signatures(spelled: DataFrame, usual: float, p: MatchParams) -> DataFrame:
     """(id, band) from (id, key, listed, years, codes): band keys of both sets of a spelling.
 
     Rare words enter with all triples of their consonants, usual given names and kinds of business only with one element, so
@@ -116,7 +115,7 @@ def signatures(spelled: DataFrame, usual: int, p: MatchParams) -> DataFrame:
     return spelled.select("id", "key", "listed", "years", "codes").distinct().mapInPandas(run, "id long, band long").distinct()
 
 
-def spelling_features(pairs: DataFrame, left: DataFrame, right: DataFrame, usual: int, p: MatchParams) -> DataFrame:
+def spelling_features(pairs: DataFrame, left: DataFrame, right: DataFrame, usual: float, p: MatchParams) -> DataFrame:
     """(a, b, strict, loose, weakest, grams, length_gap, firm_a, firm_b) per pair of spellings that is near enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,7 +191,7 @@ def match(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame],
     for spelled, facts in (left, right):
         sides.append(cut(parsed(spelled, "name").select("record", "key", F.xxhash64("key").alias("id")).distinct().join(facts, "record", "left")))
     a, b = sides
-    usual = max(p.usual_least, int(p.usual_share * a.select("record").distinct().count()))
+    usual = surely(p.usual_share, a.select("record").distinct().count())
     bc, ac = with_counts(b.select("id", "key").distinct(), a)
     ac, bc = (cut(d.select("id", "key").distinct().join(c, "id")) for d, c in ((a, ac), (b, bc)))
     sketch = lambda d, c: signatures(d.join(c.select("id", "listed"), "id"), usual, p)

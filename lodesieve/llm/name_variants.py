@@ -1,21 +1,25 @@
 """Variant spellings of names: which listed entities does a typed name denote?
 
 Suffix blocking. Names are parsed once per distinct spelling (``names.parse_name``). For every ordered pair of a name's
-tokens (t, u) the index has the suffix of t's consonants together with the first letter of u. A suffix key that more
-than ``common_block`` listed names share is overly common; it isn't dropped but refined with more of the other fields
-(first two letters of u; then all of t and three letters of u, which is used without any limit). Two whole names written
-as one word meet under a key of their own. Candidate pairs are cut by edit distance in the JVM, made distinct, and
-compared by longest-common-subsequence ratio (``names.compare``).
+tokens (t, u) the index has the suffix of t's consonants together with the first letter of u; rare tokens are indexed by
+their first consonants as well, as a slip may stand in the suffix. A key that more than ``common_block`` listed names
+share is overly common; it isn't dropped but refined with more of the other fields, each time by two keys of which one
+slip leaves one intact (the beginning or the end of u's consonants, then with all of t or all of u; these last keys are
+used without any limit). Two whole names written as one word meet under a key of their own. Candidate pairs are cut by
+edit distance in the JVM, made distinct, and compared by longest-common-subsequence ratio (``names.compare``).
 
 How usual a token is comes from all listed and all typed names: (token, listed names, typed names) is aggregated and
 joined to the names, so no vocabulary is broadcast.
 
 Defined results: null, blank or nameless texts match nothing; repeated rows count once; a typed name that two entities
 share gives both, unless years of birth on both sides exclude one; empty tables give no rows. Other columns aren't read.
+Of a name of more than ``all_pairs`` words each word is paired with its neighbours and with the words of smallest hash, which
+are the same in every spelling that has them; so a text of any length is a name like others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .names import Vocabulary, compare, from_key, mutated, parse_name, skeleton
+from .names import SEVERAL, Vocabulary, compare, from_key, mutated, parse_name, skeleton
 
 
 @dataclass(frozen=True)
@@ -33,10 +37,15 @@ class VariantParams:
     suffix: int = 4  # consonants of the suffix; a shorter token counts whole
     common_block: int = 40  # listed names under a key from which on it is refined
     usual_share: float = 0.001  # share of the listed records from which on a token is a usual given or middle name
-    usual_least: int = 8
     real_share: float = 0.0015  # share of the typed names from which on an unlisted token is a name of its own, not a slip
-    real_least: int = 3
     least_score: float = 0.8
+    all_pairs: int = 12  # words up to which all are paired
+
+
+def surely(share: float, n: int) -> float:
+    """The least count c whose lower bound, c less two standard deviations of a Poisson count, reaches a share of n. So few
+    occurrences prove nothing in a small table, and the share alone decides in a large one; there is no fixed floor."""
+    return (1 + math.sqrt(1 + share * n)) ** 2
 
 
 def parsed(names: DataFrame, column: str) -> DataFrame:
@@ -72,10 +81,22 @@ def with_counts(typed: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFra
     return back(typed.select("id", "key").distinct()), back(listed.select("id", "key").distinct())
 
 
-def block_keys(names: DataFrame, usual: int, p: VariantParams) -> DataFrame:
-    """(id, a, b, c, w, t, u, known_t, known_u) from (id, key, listed): for every ordered pair of tokens the suffix key a
-    with its refinements b and c, and w for initials, as 64-bit hashes (0: none); what stands for the tokens when
-    candidates are cut. A usual token with an initial beside it is no key: it could be anybody's."""
+KEYS = ("a", "b1", "b2", "c1", "c2", "c3", "p", "w")
+
+
+def _variants(toks: list[str]) -> Iterator[list[str]]:
+    """The tokens, and with each of those that are short for several names replaced."""
+    yield toks
+    for i, t in enumerate(toks):
+        for full in SEVERAL.get(t, ()):
+            yield [*toks[:i], full, *toks[i + 1 :]]
+
+
+def block_keys(names: DataFrame, usual: float, p: VariantParams) -> DataFrame:
+    """From (id, key, listed) for every ordered pair of tokens (t, u), as 64-bit hashes (0: none): the suffix key a; its
+    refinements b1, b2, then c1, c2, c3; p by the beginning of a rare t; w for initials. And what stands for the tokens when
+    candidates are cut, with the listed names they stand in. A usual token with an initial beside it is no key: it could be
+    anybody's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -84,78 +105,95 @@ def block_keys(names: DataFrame, usual: int, p: VariantParams) -> DataFrame:
             return (xxhash.xxh64_intdigest(f"{kind}{x}|{y}") >> 1) or 1
 
         for pdf in batches:
-            ids, keys, ts, us, kt, ku = [], [], [], [], [], []
+            ids, keys, ts, us, nt, nu = [], [], [], [], [], []
             for i_, key, listed in zip(pdf["id"], pdf["key"], pdf["listed"], strict=True):
                 n = from_key(key)
-                toks = [*n.core, *sorted(n.sector)]
-                sk = [skeleton(x) for x in toks]
-                mu = [mutated(x) for x in toks]
                 m = len(n.core)
-                often = [*(x >= usual for x in (listed if listed is not None else [0] * m)), *[True] * len(n.sector)]
-                known = [*(x > 0 for x in (listed if listed is not None else [0] * m)), *[True] * len(n.sector)]
+                counts = [*(listed if listed is not None else [0] * m), *[1 << 30] * len(n.sector)]
                 seen = set()
-                for i, t in enumerate(toks):
-                    if len(t) < 2:
-                        continue
-                    suffix = sk[i][-p.suffix :]
-                    for j, u in enumerate(toks):
-                        if i != j and (i < m or j < m) and (len(u) > 1 or not often[i]) and (mu[i], mu[j]) not in seen:
-                            seen.add((mu[i], mu[j]))
-                            more = len(u) > 1
-                            ids.append(i_)
-                            keys.append((h("a", suffix, u[0]), h("b", suffix, sk[j][:2]) if more else 0, h("c", mu[i], sk[j][:3]) if more else 0, h("w", mu[i], u[0]) if j < m and not often[i] else 0))
-                            ts.append(mu[i])
-                            us.append(mu[j])
-                            kt.append(known[i])
-                            ku.append(known[j])
+                for toks in _variants([*n.core, *sorted(n.sector)]):
+                    sk = [skeleton(x) for x in toks]
+                    mu = [mutated(x) for x in toks]
+                    chosen = range(len(toks))
+                    if m > p.all_pairs:
+                        least = set(sorted({x: i for i, x in enumerate(mu) if len(x) > 1}.items(), key=lambda e: h("m", e[0], ""))[: p.all_pairs // 2])
+                        chosen = sorted(i for _, i in least)
+                    for i, t in enumerate(toks):
+                        if len(t) < 2:
+                            continue
+                        often = counts[i] >= usual
+                        near = chosen if m <= p.all_pairs else {*chosen, *range(max(0, i - 1), min(len(toks), i + 2))}
+                        for j in near:
+                            u = toks[j]
+                            if i != j and (i < m or j < m) and (len(u) > 1 or not often) and (mu[i], mu[j]) not in seen:
+                                seen.add((mu[i], mu[j]))
+                                begin, end, more = sk[i][:4], sk[i][-p.suffix :], len(u) > 1
+                                ids.append(i_)
+                                keys.append((
+                                    h("a", end, u[0]),
+                                    *((h("b", end, sk[j][:2]), h("B", end, sk[j][-2:]), h("c", mu[i], sk[j][:3]), h("C", mu[i], sk[j][-3:]), h("D", begin, mu[j])) if more else (0, 0, 0, 0, 0)),
+                                    h("p", begin, u[0]) if not often and i < m else 0,
+                                    h("w", mu[i], u[0]) if j < m and not often else 0,
+                                ))
+                                ts.append(mu[i])
+                                us.append(mu[j])
+                                nt.append(counts[i])
+                                nu.append(counts[j])
                 # alone, or several words written as one
-                whole = {mu[0]} if m == 1 else {mutated("".join(n.core)), mutated("".join(reversed(n.core)))} if m <= 3 else ()
+                whole = {mutated(n.core[0])} if m == 1 else {mutated("".join(n.core)), mutated("".join(reversed(n.core)))} if m <= 3 else ()
                 for joined in whole:
                     k = h("=", joined, "")
                     ids.append(i_)
-                    keys.append((k, 0, k, 0))
+                    keys.append((k, 0, 0, k, 0, 0, 0, 0))
                     ts.append("")
                     us.append("")
-                    kt.append(False)
-                    ku.append(False)
-            k = np.array(keys, np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "a": k[:, 0], "b": k[:, 1], "c": k[:, 2], "w": k[:, 3], "t": pd.Series(ts, dtype=object), "u": pd.Series(us, dtype=object), "known_t": np.array(kt, bool), "known_u": np.array(ku, bool)})
+                    nt.append(0)
+                    nu.append(0)
+            k = np.array(keys, np.int64).reshape(-1, len(KEYS))
+            cols = {c: k[:, i] for i, c in enumerate(KEYS)}
+            yield pd.DataFrame({"id": np.array(ids, np.int64), **cols, "t": pd.Series(ts, dtype=object), "u": pd.Series(us, dtype=object), "nt": np.array(nt, np.int32), "nu": np.array(nu, np.int32)})
 
-    return names.select("id", "key", "listed").mapInPandas(run, "id long, a long, b long, c long, w long, t string, u string, known_t boolean, known_u boolean")
+    return names.select("id", "key", "listed").mapInPandas(run, f"id long, {', '.join(f'{c} long' for c in KEYS)}, t string, u string, nt int, nu int")
 
 
-def _overly_common(listed_keys: DataFrame, column: str, p: VariantParams) -> DataFrame:
+def _overly_common(listed_keys: DataFrame, columns: list[str], p: VariantParams) -> DataFrame:
     """Keys under which more than ``common_block`` listed names stand. There are at most rows / common_block of them; the
     side is broadcast only if that is checked to be little."""
-    found = cut(listed_keys.where(F.col(column) != 0).groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.common_block).select(column, F.lit(True).alias(f"common_{column}")))
+    keys = listed_keys.select(F.explode(F.array(*columns)).alias("k")).where("k <> 0")
+    found = cut(keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.common_block).select("k"))
     return F.broadcast(found) if found.count() <= 50_000 else found
 
 
-def candidate_pairs(typed: DataFrame, listed: DataFrame, usual: int, p: VariantParams) -> DataFrame:
+def candidate_pairs(typed: DataFrame, listed: DataFrame, usual: float, p: VariantParams) -> DataFrame:
     """(typed, listed): distinct ids of names that share a block and whose blocked tokens may be the same: a typed token
     that is a listed one must be it, another must be within a few letters."""
     left, right = block_keys(typed, usual, p), cut(block_keys(listed, usual, p))
-    common_a, common_b = _overly_common(right, "a", p), _overly_common(right, "b", p)
+    checked = ["a", "b1", "b2", "p"]
+    common = _overly_common(right, checked, p)
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
-        r = rows.join(common_a, "a", "left").join(common_b, "b", "left")
-        fine = F.when(F.col("common_b").isNull() & (F.col("b") != 0), F.col("b")).otherwise(F.col("c"))
-        known = [F.col("known_t"), F.col("known_u")] if side == "typed" else []
-        keys = F.when(F.col("common_a").isNull(), F.array("a")).otherwise(F.array(fine, F.col("w")))
-        return r.select(F.explode(keys).alias("block"), F.col("id").alias(side), F.col("t").alias(f"t_{side}"), F.col("u").alias(f"u_{side}"), *known).where("block <> 0")
+        r = rows
+        for c in checked:
+            r = r.join(common.select(F.col("k").alias(c), F.lit(True).alias(f"common_{c}")), c, "left")
+        is_common = lambda c: F.col(f"common_{c}").isNotNull()
+        fine = [F.when(is_common(b), F.array(c, "c3")).otherwise(F.array(b)) for b, c in (("b1", "c1"), ("b2", "c2"))]
+        alone = F.col("b1") == 0  # an initial, or a name written as one word
+        keys = F.when(~is_common("a"), F.array("a")).when(alone, F.array("c1", "w")).otherwise(F.concat(*fine, F.array("w")))
+        begun = F.when(~is_common("p"), F.array("p")).otherwise(F.array("c3", "w"))
+        return r.select(F.explode(F.array_distinct(F.concat(keys, begun))).alias("block"), F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("t", "u", "nt", "nu")]).where("block <> 0")
 
     def same(x: str) -> Column:
-        a, b = F.col(f"{x}_typed"), F.col(f"{x}_listed")
-        slack = F.when(F.length(a) >= 8, 3).when(F.length(a) >= 5, 2).otherwise(1)
+        a, b, na, nb = (F.col(f"{c}{x}_{side}") for c, side in (("", "typed"), ("", "listed"), ("n", "typed"), ("n", "listed")))
+        slack = F.when(F.greatest(F.length(a), F.length(b)) >= 8, 3).when(F.greatest(F.length(a), F.length(b)) >= 4, 2).otherwise(1)
         near = F.levenshtein(a, b, 3)
-        return (a == b) | ~F.col(f"known_{x}") & (near >= 0) & (near <= slack)
+        return (a == b) | (na.cast("long") * Vocabulary.rarer <= nb) & (near >= 0) & (near <= slack)
 
     initial = (F.length("u_typed") == 1) | (F.length("u_listed") == 1)
     pairs = keyed(left, "typed").join(keyed(right, "listed"), "block").where(same("t") & (initial | same("u")))
     return pairs.select("typed", "listed").distinct()
 
 
-def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: int, real: int, p: VariantParams) -> DataFrame:
+def compared(pairs: DataFrame, typed: DataFrame, listed: DataFrame, usual: float, real: float, p: VariantParams) -> DataFrame:
     """(typed, listed, score) of the pairs of ids that can be one name. The sides bring key and token counts along."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,11 +238,11 @@ def linked_names(typed: DataFrame, listed: DataFrame, p: VariantParams | None =
     name_id = F.xxhash64("key").alias("id")
     t = cut(parsed(typed.where("name is not null and trim(name) <> ''").select("name").distinct(), "name").select("name", "key", name_id))
     r = cut(parsed(listed.where("name is not null and trim(name) <> '' and record is not null").select("name", "record").distinct(), "name").select("record", "key", name_id).distinct())
-    usual = max(p.usual_least, int(p.usual_share * r.select("record").distinct().count()))
+    usual = surely(p.usual_share, r.select("record").distinct().count())
     names_t, names_r = t.select("id", "key").distinct(), r.select("id", "key").distinct()
     tc, rc = with_counts(names_t, r)
     tc, rc = cut(names_t.join(tc, "id")), cut(names_r.join(rc, "id"))
-    real = max(p.real_least, int(p.real_share * tc.count()))
+    real = surely(p.real_share, tc.count())
     hits = compared(candidate_pairs(tc, rc, usual, p), tc, rc, usual, real, p)
     by_record = hits.join(r.select("record", F.col("id").alias("listed")), "listed").groupBy("typed", "record").agg(F.max("score").alias("score"))
     return by_record.join(t.select("name", F.col("id").alias("typed")), "typed").select("name", "record", "score")

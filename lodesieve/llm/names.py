@@ -18,22 +18,25 @@ _LETTERS = str.maketrans(CYRILLIC | {"ı": "i", "ß": "ss", "ø": "o", "đ": "d"
 # fixed values: titles and remarks that payers add
 NOISE = frozenset("mr mrs ms miss dr prof sir sr jr herr frau mme sheikh sheik haji hajji gen general col colonel capt captain maj major eng attn accounts account acc ref re rent salary consulting fee fees front po box invoice inv payment pmt dept department c o care of the and und et y e de del la von van bin ibn al el da do dos".split())
 REMARK = frozenset("attn accounts account ref rent salary consulting fee fees front po box invoice payment pmt".split())
-# fixed values: nicknames by formal name
-NICKNAMES = {
-    n: full
-    for full, ns in {
-        "joseph": "joe joey", "ignacio": "nacho", "stephen": "steve", "eduardo": "lalo", "rafael": "rafa", "jose": "pepe", "daniel": "dan danny", "guadalupe": "lupe", "frederick": "fred freddy", "mohammed": "hamada mohamed muhammad", "manuel": "manolo",
-        "emmanuel": "manu", "mehmet": "memo", "anthony": "tony", "abdoulaye": "abdou", "samuel": "sam", "ibrahima": "ibou", "enrique": "quique", "roberto": "beto", "benjamin": "ben", "concepcion": "concha", "pavel": "pasha", "thomas": "tom tommy", "elena": "lena",
-        "michael": "mick mike", "ibrahim": "ibo", "robert": "bob rob bobby", "elizabeth": "liz betty beth", "james": "jim jimmy jamie", "katherine": "kathy kate", "antonio": "tono", "edward": "ed", "nikolai": "kolya", "nicholas": "nick", "yuri": "yura",
-        "charles": "charlie chuck", "jennifer": "jen jenny", "mikhail": "misha", "konstantin": "kostya", "richard": "rick dick", "yekaterina": "katya", "natalia": "natasha", "viktor": "vitya", "henry": "harry hank", "theodore": "theo", "irina": "ira",
-        "patricia": "pat trish", "francisco": "paco pancho", "svetlana": "sveta", "anastasia": "nastya", "william": "bill will", "olga": "olya", "margaret": "peggy maggie", "boris": "borya", "vladimir": "volodya vova", "christopher": "kit chris", "sergei": "serge seryozha",
-        "andrei": "andryusha", "dmitri": "mitya dima", "alexander": "alik sasha alex", "tatiana": "tanya", "fatima": "fatoom", "igor": "gosha", "maria": "mary", "alexandra": "sandra", "victoria": "vicky", "gabriel": "gabi", "fyodor": "fedya", "grigori": "grisha",
-        "mustafa": "mustik musti", "yusuf": "yusi", "ahmad": "hamoudi", "hassan": "hassoun", "abdallah": "abboud", "khadija": "dija", "jennifer ": "jenn",
-    }.items()
-    for n in ns.split()
+# fixed values: usual short and pet forms by formal name, in English, Spanish, Russian, Turkish, Arabic and African use
+FORMAL = {
+    "abdallah": "abboud", "abdoulaye": "abdou", "ahmad": "hamoudi", "alexander": "alex alec alik al sandy sasha sanya shura xander", "alexandra": "sandra sasha lexi", "alexei": "alyosha lyosha", "alfred": "alfie fred", "amanda": "mandy", "anastasia": "nastya stasia", "andrei": "andryusha",
+    "andrew": "andy drew", "anna": "anya annie", "anthony": "tony", "antonio": "tono toni", "arthur": "art", "barbara": "barb babs", "benjamin": "ben benny", "boris": "borya", "carlos": "carlitos", "catherine": "cathy", "charles": "charlie chuck chas", "christina": "tina", "christopher": "chris kit topher",
+    "concepcion": "concha", "daniel": "dan danny", "david": "dave davey", "deborah": "deb debbie", "dmitri": "dima mitya", "donald": "don donnie", "dorothy": "dot dottie", "eduardo": "lalo edu", "edward": "ed eddie ned ted teddy", "elena": "lena", "elizabeth": "beth bess betty eliza liz lizzie", "emmanuel": "manu",
+    "enrique": "quique kike", "fatima": "fatoom", "francisco": "paco pancho", "frederick": "fred freddy freddie", "fyodor": "fedya", "gabriel": "gabi gabe", "george": "georgie", "gerald": "gerry", "grigori": "grisha", "gregory": "greg", "guadalupe": "lupe lupita", "harold": "hal harry", "hassan": "hassoun",
+    "henry": "hank harry", "ibrahim": "ibo", "ibrahima": "ibou", "ignacio": "nacho", "igor": "gosha", "irina": "ira", "ivan": "vanya", "james": "jamie jim jimmy", "jennifer": "jen jenn jenny", "jesus": "chucho chuy", "jose": "pepe", "joseph": "joe joey", "john": "johnny jack", "joshua": "josh",
+    "katherine": "kate kathy katie kay", "kenneth": "ken kenny", "khadija": "dija", "konstantin": "kostya", "lawrence": "larry", "leonard": "len lenny", "manuel": "manolo", "margaret": "maggie meg peggy", "maria": "mary masha", "matthew": "matt", "mehmet": "memo", "michael": "mick mickey mike", "mikhail": "misha",
+    "mohammed": "hamada mohamed muhammad", "mustafa": "musti mustik", "nadezhda": "nadya", "natalia": "natasha", "nicholas": "nick nicky", "nikolai": "kolya", "olga": "olya", "patricia": "pat patty trish", "patrick": "pat paddy", "pavel": "pasha", "peter": "pete", "pyotr": "petya", "rafael": "rafa",
+    "raymond": "ray", "richard": "dick rich rick ricky", "robert": "bob bobby rob robbie", "roberto": "beto", "ronald": "ron ronnie", "samuel": "sam sammy", "sergei": "serge seryozha", "sofia": "sonya", "stephen": "steve", "susan": "sue susie", "svetlana": "sveta", "tatiana": "tanya",
+    "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "viktor": "vitya", "virginia": "ginny", "vladimir": "vova volodya", "walter": "walt", "william": "bill billy liam will willy", "yekaterina": "katya", "yevgeny": "zhenya", "yuri": "yura", "yusuf": "yusi",
 }
-# "ted" is short for two names
-TWO_FULL = {"ted": ("edward", "theodore"), "harry": ("henry", "harold"), "pat": ("patricia", "patrick"), "sasha": ("alexander", "alexandra")}
+_FULL: dict[str, list[str]] = {}
+for _full, _short in FORMAL.items():
+    for _n in _short.split():
+        _FULL.setdefault(_n, []).append(_full)
+NICKNAMES = {n: full[0] for n, full in _FULL.items() if len(full) == 1 and n not in FORMAL}
+# short for more than one name: kept as typed, equal to each of them
+SEVERAL = {n: tuple(full) for n, full in _FULL.items() if len(full) > 1 and n not in FORMAL}
 # fixed values: words of firm names by common form. Legal forms are dropped, scope words may be left out by a payer
 LEGAL = frozenset("llc ooo limited ltd company co corp corporation inc incorporated jsc ao pjsc pao oao zao plc gmbh fze as sa ag nv bv liability joint stock public anonim sirketi sociedad anonima societe anonyme free zone establishment gesellschaft mbh mit beschrankter haftung beschraenkter open".split())
 SCOPE = {w: k for k, ws in {"national": "natl", "international": "intl", "general": "gnl gen", "central": "cntrl", "united": "utd", "global": "glob", "group": "gp grp", "first": "st 1st", "marine": "mar"}.items() for w in (k, *ws.split())}
@@ -42,33 +45,38 @@ SECTOR = {
     for k, ws in {
         "machinery": "mach", "holding": "holdings hldg", "industries": "industry ind inds", "foundation": "fdn found", "technologies": "technology tech", "chemicals": "chemical chem", "security": "sec", "petroleum": "petro petr oil", "aviation": "avn air", "shipping": "ship shpg maritime",
         "investment": "investments invest inv", "logistics": "logistic log", "agricultural": "agri agro agriculture", "construction": "constr const", "trading": "trade trad trdg", "metals": "metal", "minerals": "mineral mins", "electronics": "electronic elec electr", "exchange": "exch exchg", "engineering": "eng engg",
+        "association": "assn assoc", "communications": "communication comms", "consulting": "consult consultants", "development": "dev", "enterprises": "enterprise ent", "finance": "financial fin", "insurance": "ins", "laboratories": "laboratory labs lab", "management": "mgmt mgt", "manufacturing": "mfg manuf",
+        "pharmaceuticals": "pharmaceutical pharma", "products": "product prod", "resources": "resource res", "services": "service svc svcs", "systems": "sys", "telecommunications": "telecom telecoms", "textiles": "textile", "transport": "transportation transp", "university": "univ",
     }.items()
     for w in (k, *ws.split())
 }
-_FIRM_ONLY = frozenset("gen eng ind mar first st co as sa ao log sec inv const found air ship oil metal trade and".split())
+_FIRM_ONLY = frozenset("gen eng ind mar first st co as sa ao log sec inv const found air ship oil metal trade and dev ent fin ins lab labs res sys prod service consult assoc consulting product resource".split())
 
 _MARKS = re.compile("[̀-ͯ]+")
 _DOTTED = re.compile(r"\b(?:[^\W\d_]\.){2,}(?:[^\W\d_]\b)?")
 _CAMEL = re.compile(r"(?<=[a-zà-öø-ÿğışçñ])(?=[A-ZÀ-ÖØ-ÞĞİŞÇÑ])")
 _WORD = re.compile(r"[a-z]+")
 _REMARKS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|//.*$|\d+")
-_DIGIT_LETTER = re.compile(r"(?<=[A-Za-z])[0135](?=[A-Za-z])")
+_DIGIT_LETTER = re.compile(r"(?<=[A-Za-z])[013456789](?=[A-Za-z])|(?<=[A-Za-z]{3})[013456789](?![A-Za-z0-9])")
+_GLUED = re.compile(r"(?<=[A-Z])(?=[A-Z][a-z]{3})(?<![A-Za-z][A-Z])")
+_GLUED_AL = re.compile(r"(?<=[a-z]{3})(?=(?:al|el)-[A-Za-z]{3})")
 _PHRASES = re.compile(r"\b(?:p\.? ?o\.? ?box|c/o|a/c|m/s)(?![a-z])|\b(?:front desk|front office|consulting fee)\b", re.I)
 _AL = re.compile(r"\b(?:[Aa]l|[Ee]l|AL|EL)[- ](?=[^\W\d_]{3})|\bAl(?=[A-Z][a-z])|\bEl(?=[A-Z][a-z])")
 
 
 def _mutate(t: str) -> str:
-    """A token without the differences that transliterations make; vowels are kept, as one letter each."""
-    t = _SCH.sub("s", t)
+    """A token without the differences that transliterations and look-alike letters make; vowels are kept, as one letter each."""
+    t = _SCH.sub("s", t).replace("y", "i")
+    t = t.replace("rn", "m").replace("cl", "d")
     t = t.replace("tch", "ch").replace("ph", "f").replace("x", "ks").replace("ou", "u").replace("oo", "u").replace("uu", "u").replace("ie", "i").replace("ee", "i")
     t = _H.sub("", t).translate(_SIMPLE)
     return _RUN.sub(r"\1", t)
 
 
 _SCH = re.compile("sch|sh")
-_H = re.compile("(?<=[bcdgkpqtvwz])h")
+_H = re.compile("(?<=[bcdgkpqtvwz])h|(?<=[aeiou])h$")
 _RUN = re.compile(r"(.)\1+")
-_SIMPLE = str.maketrans({"c": "k", "q": "k", "y": "i", "w": "v", "f": "v", "o": "u"})
+_SIMPLE = str.maketrans({"c": "k", "q": "k", "w": "v", "f": "v", "o": "u"})
 _VOWEL = re.compile("(?<!^)[aeiu]+")
 
 
@@ -107,35 +115,44 @@ def fold(text: str) -> str:
     """Latin letters without accents, case kept."""
     if text.isascii():
         return text
-    low = "".join(_up(c) for c in unicodedata.normalize("NFC", text))
+    text = unicodedata.normalize("NFC", text)
+    low = "".join(_up(c, text[i + 1 : i + 2], text[i - 1 : i] if i else "") for i, c in enumerate(text))
     return _MARKS.sub("", unicodedata.normalize("NFKD", low))
 
 
-def _up(c: str) -> str:
+def _up(c: str, after: str, before: str) -> str:
     if c.isascii():
         return c
     low = c.lower()
     t = low.translate(_LETTERS) if len(low) == 1 else low
-    return (t.capitalize() if len(t) < 2 or c != low else t) if c != low else t
+    if c == low:
+        return t
+    # a letter that becomes several ones is upper case as a whole within an upper-case word
+    return t.upper() if len(t) < 2 or after.isupper() or before.isupper() and not after.islower() else t.capitalize()
+
+
+_DIGITS = {"0": "o", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g"}
 
 
-MOST_WORDS = 60
+def _digit(m: re.Match) -> str:
+    """The letter a digit inside a word stands for; 1 is an l beside a vowel, else an i."""
+    beside = m.string[max(0, m.start() - 1) : m.start()] + m.string[m.end() : m.end() + 1]
+    letter = _DIGITS.get(m[0]) or ("l" if any(c in "aeiouyAEIOUY" for c in beside) else "i")
+    return letter.upper() if beside[-1:].isupper() or len(beside) < 2 and beside.isupper() else letter
 
 
 def parse_name(text: str | None) -> Name | None:
-    """None if no name is left, or if the text has more than MOST_WORDS words: that is a text, not a name."""
+    """None if no name is left."""
     if not text:
         return None
     s = fold(text)
     s = _PHRASES.sub(" ", s)
-    s = _DIGIT_LETTER.sub(lambda m: "oies"["0135".index(m[0])], s)
+    s = _DIGIT_LETTER.sub(_digit, s)
     s = _REMARKS.sub(" ", s.replace("'", "").replace("’", "").replace("`", ""))
     s = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", s)
-    s = _AL.sub(" ", s)
-    s = _CAMEL.sub(" ", s)
+    s = _AL.sub(" ", _GLUED_AL.sub(" ", s))
+    s = _GLUED.sub(" ", _CAMEL.sub(" ", s))
     words = _WORD.findall(s.lower())
-    if len(words) > MOST_WORDS:
-        return None
     legal = [w for w in words if w in LEGAL]
     firm = bool(legal) or sum(w in SECTOR for w in words if w not in _FIRM_ONLY) > 0 or "foundation" in words
     if firm:
@@ -169,24 +186,28 @@ def slips(a: str, b: str) -> int:
     return len(a) + len(b) - 2 * lcs_length(a, b)
 
 
+SHAKY = 0.8  # below it a pair of tokens is near only in view of the rest of the name
+
+
 @lru_cache(maxsize=400_000)
 def similarity(a: str, b: str) -> float:
     """Longest-common-subsequence ratio of two tokens; 1 for the same name, .97 if only the transliteration differs, INITIAL
-    for an initial, 0 if they differ by more than about one slip."""
-    if a == b or b in TWO_FULL.get(a, ()) or a in TWO_FULL.get(b, ()):
+    for an initial, 0 if they differ by more than about one slip beside the transliteration."""
+    if a == b or b in SEVERAL.get(a, ()) or a in SEVERAL.get(b, ()):
         return 1.0
-    if len(a) == 1 or len(b) == 1:
+    n, m = max(len(a), len(b)), min(len(a), len(b))
+    if m == 1:
         return INITIAL if a[0] == b[0] else 0.0
     x, y = mutated(a), mutated(b)
     if x == y:
         return 0.97
-    n = max(len(a), len(b))
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 3:
+    if m < 3 or n - m > 3:
         return 0.0
-    raw = slips(a, b)
-    if raw <= (2 if n >= 5 else 1) or raw <= 3 and n >= 8 and slips(x, y) <= 1:
-        return 1 - raw / (len(a) + len(b))
-    return 0.0
+    if m >= 4 and any(slips(s, t) <= 1 for s, t in [*((a, s) for s in FORMAL.get(b, "").split() if len(s) > 3), *((b, s) for s in FORMAL.get(a, "").split() if len(s) > 3)]):
+        return 0.97  # a pet form, misspelt
+    raw, near = slips(a, b), slips(x, y)
+    same = near <= 1 and raw <= 4 and n >= 6 or skeleton(a) == skeleton(b) and len(skeleton(a)) >= 4 and raw <= 3
+    return 1 - raw / (n + m) if raw <= 1 or raw <= 2 and (n >= 5 or n == m) or same else 0.0
 
 
 @dataclass(frozen=True)
@@ -195,16 +216,22 @@ class Vocabulary:
 
     listed: dict[str, int]
     typed: dict[str, int]
-    common: int = 8  # listed names from which on a token is a usual given or middle name
-    real: int = 3  # typed names from which on an unlisted token is taken for a name of its own, not a slip
+    common: float = 8  # listed names from which on a token is a usual given or middle name
+    real: float = 3  # typed names from which on an unlisted token is taken for a name of its own, not a slip
+    rarer: int = 5  # a listed token that stands in this many times fewer names than another may be a slip of it
 
-    def slip_possible(self, typed: str) -> bool:
-        """A typed token that is a known name is that name, not a misspelling of another."""
-        return typed not in self.listed and self.typed.get(typed, 0) < self.real
+    def slip_possible(self, typed: str, listed: str) -> bool:
+        """A typed token that is a known name is that name, not a misspelling of another, unless that one is far more usual."""
+        n = self.listed.get(typed, 0)
+        return n * self.rarer <= self.listed.get(listed, 0) and (n > 0 or self.typed.get(typed, 0) < self.real)
 
     def usual(self, t: str) -> bool:
         return len(t) == 1 or self.listed.get(t, 0) >= self.common
 
+    def two_names(self, a: str, b: str) -> bool:
+        """Both are usual names, and the vowels tell them apart."""
+        return a != b and self.usual(a) and self.usual(b) and a.replace("o", "u") == b.replace("o", "u")
+
 
 def align(typed: tuple[str, ...], listed: tuple[str, ...], known: Vocabulary) -> tuple[list[tuple[int, int, float]], list[int], list[int]]:
     """Pairs of token positions, best first, and the positions left on either side."""
@@ -212,7 +239,7 @@ def align(typed: tuple[str, ...], listed: tuple[str, ...], known: Vocabulary) ->
     for i, x in enumerate(typed):
         for j, y in enumerate(listed):
             s = similarity(x, y)
-            if s and (s >= 0.97 or s == INITIAL or known.slip_possible(x)):
+            if s and (s == 1 or s >= 0.97 and not known.two_names(x, y) or s == INITIAL or known.slip_possible(x, y)):
                 scored.append((-s, -len(x), i, j))
     used_a: set[int] = set()
     used_b: set[int] = set()
@@ -239,6 +266,9 @@ def compare(typed: Name, listed: Name, known: Vocabulary) -> float:
     if typed.firm != listed.firm and not (typed.core and typed.core == listed.core):
         return 0.0
     a, b = typed.core, listed.core
+    # words without a possible partner speak against it; so long texts are told apart without aligning them
+    if (typed.firm or listed.firm) and abs(len(a) - len(b)) > 1 or any(sum(not known.usual(t) for t in x) > len(y) + 2 for x, y in ((a, b), (b, a))):
+        return 0.0
     pairs, left, right = align(a, b, known)
     score = sum((len(a[i]) + len(b[j])) * s for i, j, s in pairs) / max(1, sum(len(a[i]) + len(b[j]) for i, j, _ in pairs))
     if typed.firm or listed.firm:
@@ -248,6 +278,14 @@ def compare(typed: Name, listed: Name, known: Vocabulary) -> float:
             one, many = ([a[i] for i in left], [b[j] for j in right]) if len(left) == 1 else ([b[j] for j in right], [a[i] for i in left])
             return 0.95 if len(one) == 1 and len(many) == 2 and _joined(one[0], many) else 0.0
         return score
+    shaky = [k for k, (_, _, s) in enumerate(pairs) if s < SHAKY and s != INITIAL]
+    if shaky and (len(shaky) > 1 or len(pairs) < 2 or any(s < 0.97 for k, (_, _, s) in enumerate(pairs) if k not in shaky)):
+        return 0.0
+    # "d" beside a name of several words is short for "de ...", whose other word it doesn't begin with
+    for x, xs, y, ys in ((a, left, b, right), (b, right, a, left)):
+        if len(xs) == 1 and x[xs[0]] == "d" and len(ys) == 1 and known.usual(y[ys[0]]):
+            left, right = [], []
+            break
     if left and right:
         one, many = ([a[i] for i in left], [b[j] for j in right]) if len(left) == 1 else ([b[j] for j in right], [a[i] for i in left])
         return 0.95 if not pairs and len(one) == 1 and 2 <= len(many) <= 3 and _joined(one[0], many) else 0.0
