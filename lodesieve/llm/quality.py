@@ -70,6 +70,7 @@ _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _TERMS = re.compile(r"[^\W_]+")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|[bcdfghjklmnpqrstvwxzy]{6,}")
 _SPOILT = re.compile("Ã.|Â.|â‚.|â€.|�|\x83|[^\\W\\d_][#\\\\{}|<>§¬¦~^_0-9]+[^\\W\\d_]")
+_SUSPECT = re.compile("[ÃÂâ�\x83#\\\\{}|<>§¬¦~^_0-9]")  # without one of these characters nothing of _SPOILT can stand in a text
 _END = (".", "!", "?", ":", ";", "…", '."', ".)", "?”", ".”", ".“")
 UNIT = 300  # characters of a long line judged at a time
 
@@ -84,7 +85,7 @@ def _unit_kind(s: str, words: list[str], letters: int, spoilt: int) -> int:
     """0 prose, 1 list entry, 2 table row, 3 junk, for a line or a part of a long line, without markup."""
     n = len(words)
     bare = s.strip()
-    if n and any(map(_is_navigation, words[:3])) and 10 * sum(map(_is_navigation, words)) > 7 * n or "=" in s and _LOG.search(s) or s[2:3] in (" ", ":") and _HEX.match(s):
+    if n and not _no_navigation(words) and 10 * sum(map(_is_navigation, words)) > 7 * n or "=" in s and _LOG.search(s) or s[2:3] in (" ", ":") and _HEX.match(s):
         return 3
     leaders = ("...." in s or ". . . ." in s or "……" in s) and _LEADERS.search(s) is not None
     row = ("\t" in s or "|" in s or "│" in s or bare[:1] in _FRAME) and _ROW.search(s) is not None
@@ -96,7 +97,7 @@ def _unit_kind(s: str, words: list[str], letters: int, spoilt: int) -> int:
         return 2
     if leaders:
         return 1
-    if len(bare) > 12 * (bare.count(" ") + 1) and (noise := _NOISE.search(s)) and len(noise[0]) > 0.5 * len(bare):
+    if len(bare) > 40 and max(map(len, bare.split())) > 40 and any(len(noise) > 0.5 * len(bare) for noise in _NOISE.findall(s)):
         return 3
     tight = bare.count(";") + bare.count(",")
     spaced = bare.count("; ") + bare.count(", ")
@@ -123,7 +124,7 @@ def _unit_kind(s: str, words: list[str], letters: int, spoilt: int) -> int:
 
 _NO_FRAME = dict.fromkeys(map(ord, "─━═│|┌┐└┘├┤┬┴┼ +-=\t"))
 _FRAME = frozenset("─━═┌┐└┘├┤┬┴┼-=+")
-_is_common, _is_navigation = COMMON.__contains__, NAVIGATION.__contains__
+_is_common, _is_navigation, _no_navigation = COMMON.__contains__, NAVIGATION.__contains__, NAVIGATION.isdisjoint
 
 
 def _digits(s: str) -> int:
@@ -159,7 +160,7 @@ def measure(text: str | None) -> tuple[float, ...] | None:
                 kind = 2
             else:
                 letters = sum(map(len, w))
-                bad = len(_SPOILT.findall(s)) if len(s) - letters - s.count(" ") > 0.04 * len(s) else 0
+                bad = len(_SPOILT.findall(s)) if _SUSPECT.search(s) else 0
                 spoilt += bad
                 kind = _unit_kind(s, w, letters, bad)
             mass[kind] += len(s)

@@ -59,3 +59,26 @@ def test_boosting_learns_and_calibrates():
     p = m.probabilities(x[750:])
     assert (p.argmax(1) == y[750:]).mean() > 0.93 and np.allclose(p.sum(1), 1)
     assert m.probabilities(x[:0]).shape == (0, 2)
+
+
+NAV = "home menu login share search sitemap contact help print next"
+
+
+@pytest.mark.parametrize("at", range(14))
+def test_navigation_is_seen_wherever_it_stands(at):
+    words = (f"orchard {NAV} harbour timber".split() * 2)[at : at + 13]
+    f = dict(zip(FEATURES, measure(" ".join(words)), strict=True))
+    assert f["junk_share"] == 1
+
+
+def test_encoded_noise_is_seen_beside_words():
+    noise = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(50))
+    for text in (noise + " it is on a to of in by at", "it is on a to of in by at " + noise, f"it is on a {noise} to of in by at"):
+        f = dict(zip(FEATURES, measure(text), strict=True))
+        assert f["junk_share"] == 1, text
+
+
+def test_damaged_letters_are_counted_however_few():
+    clean = "The review team asked the bank for originals and nothing further was found in the papers that were sent to the office by the older clerk "
+    f = dict(zip(FEATURES, measure(clean * 2 + "caf\u00c3\u00a9"), strict=True))
+    assert f["spoilt_share"] > 0 and dict(zip(FEATURES, measure(clean * 2), strict=True))["spoilt_share"] == 0
