@@ -5,17 +5,22 @@ word in ``per_change`` changed; words of standard clauses don't count and end a
 
 Search is MinHash containment with size partitions. The test items are the queries: windows of ``min_words`` words as
 sets of word triples. (Two changed words in fifteen leave at least 7 of the 13 triples; sets of longer shingles would
-leave too few for a sketch, so the five words of other stages don't fit here.) The domains are the documents, cut into
-overlapping stretches so that a window always lies whole within one and the sizes stay comparable; triples that no item
-has can't collide and are left out of the sketch. Stretches are put into size classes. For each class the containment
-threshold becomes a Jaccard threshold from the class's upper size, which in turn decides the rows per band. Candidates
-are verified by exact shingle containment, then aligned word by word, in the same pass over the text: no text is
-shuffled, and the index of the items is the only thing broadcast. Its size is checked; beyond the bound the items are
-taken in several blocks, one pass each.
+leave too few for a sketch, so the five words of other stages don't fit here.) The domains are stretches of documents.
+
+1. The corpus is read once, whatever the number of items. Broadcast is a bit table of the items' triples, of at most
+   ``filter_bits`` bits; a triple that isn't in it is in no item. What is left of a text are regions: runs of words with
+   enough known triples (``regions``). A false hit in the table only makes a region longer, it loses nothing.
+2. Equal regions are one row from here on, with the documents that have them beside it; so a standard clause that stands
+   in a third of all documents is sketched and compared once per wording.
+3. Regions are cut into overlapping stretches, so that a window always lies whole within one. A stretch falls into a
+   size class by its known triples. For each class the containment threshold becomes a Jaccard threshold from the class's
+   upper size, and that decides rows per band and number of bands (``size_classes``): small stretches are looked up by
+   three minima at once, large ones by one. Band keys of regions and of item windows meet in a join.
+4. Candidates are verified by exact shingle containment along lines of alignment, then word by word.
 
 Standard clauses are found from the same alignments: item words whose five-word shingle stands in several items and in a
 share of at least ``clause_share`` of the documents, or in one item and in more documents still (each distinct text
-counted once, so a leak that was copied often isn't a clause).
+counted once per place, so a leak that was copied often isn't a clause). Both counts are over all items and documents.
 
 Defined results: null and empty texts and items hold nothing; items with fewer than ``min_words`` words can't leak;
 repeated documents with the same id give one row; a null doc_id or item_id gives no row; extra columns aren't read.
@@ -24,7 +29,7 @@ repeated documents with the same id give one row; a null doc_id or item_id gives
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,155 +41,246 @@ from ..session import cut
 from .wordnorm import plain_words
 
 SHINGLE = 3
-STRIDE = 16  # documents are cut into stretches of two strides
+STRIDE = 16  # regions are cut into stretches of two strides
 MAX_SHIFT = 3  # words inserted or left out within a passage, against its main alignment
+GAP = 25  # places without a known triple that end a region: of a passage over such a gap one side is a passage by itself
 
 
 @dataclass(frozen=True)
 class LeakParams:
     min_words: int = 15
     per_change: int = 7
-    hashes: int = 64
+    hashes: int = 256  # of a sketch, at most
     miss: float = 1e-4  # allowed chance that the sketch misses a passage at the threshold
     clause_share: float = 0.006
     clause_min_docs: int = 3
     own_clause_share: float = 0.018  # the same for words that stand in one item only: a leak may be quoted often
     own_clause_min_docs: int = 30
-    block_words: int = 200_000  # words of items indexed at once: the bound on what is broadcast (about 100 bytes each)
-
-
-class ItemIndex:
-    """Sketches and exact shingles of a block of items, small enough to broadcast."""
-
-    def __init__(self, items: Sequence[tuple[int, str]], p: LeakParams):
-        words = [(i, plain_words(t)) for i, t in items]
-        words = [(i, w) for i, w in words if len(w) >= p.min_words]
-        self.ids = [i for i, _ in words]
-        self.vocab: dict[str, int] = {}
-        for _, w in words:
-            for x in w:
-                self.vocab.setdefault(x, len(self.vocab) + 1)
-        self.words = [np.array([self.vocab[x] for x in w], dtype=np.int64) for _, w in words]
-        self.base = len(self.vocab) + 2
-        codes = [self.encode(w) for w in self.words]
-        self.codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        rng = np.random.default_rng(20_011)
-        self.salts = rng.integers(1, 2**63, size=p.hashes, dtype=np.uint64)
-        self.hashed = self._hash(self.codes)  # (codes, hashes)
-        # for every code, the items and positions that have it
-        where = [np.stack([np.searchsorted(self.codes, c), np.full(len(c), k), np.arange(len(c))]) for k, c in enumerate(codes)]
-        occ = np.concatenate(where, axis=1) if where else np.zeros((3, 0), np.int64)
-        order = np.argsort(occ[0], kind="stable")
-        self.occ_item, self.occ_pos = occ[1][order], occ[2][order]
-        self.occ_from = np.searchsorted(occ[0][order], np.arange(len(self.codes) + 1))
-        self.window_shingles = p.min_words - SHINGLE + 1
-        lost = SHINGLE * (p.min_words // p.per_change)
-        self.least = max(1, self.window_shingles - lost)  # shingles that survive in the worst case
-        # size classes of document stretches: upper size -> rows per band
-        self.classes = []
-        for upper in (8, 16, 2 * STRIDE):
-            t = self.least / self.window_shingles
-            s = min(1.0, t / (upper / self.window_shingles + 1 - t))
-            rows = max([r for r in range(1, 5) if (1 - s**r) ** (p.hashes // r) <= p.miss], default=1)
-            self.classes.append((upper, rows))
-        self.bands = {r: self._band_index(codes, r) for r in {r for _, r in self.classes}}
-
-    def encode(self, w: np.ndarray) -> np.ndarray:
-        """Word triples as numbers; -1 where a word is in no item."""
-        if len(w) < SHINGLE:
-            return np.zeros(0, np.int64)
-        a, b, c = w[:-2], w[1:-1], w[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, -1)
-
-    def _hash(self, codes: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = codes.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) ^ self.salts[None, :]
-            x ^= x >> np.uint64(31)
-            x *= np.uint64(0xBF58476D1CE4E5B9)
-            x ^= x >> np.uint64(29)
-        return x
-
-    def _fold(self, sig: np.ndarray, rows: int) -> np.ndarray:
-        """Band keys (sets, bands): the minima of ``rows`` hashes and the band's number, mixed."""
-        n = sig.shape[1] // rows
-        with np.errstate(over="ignore"):
-            key = np.zeros((sig.shape[0], n), np.uint64) + np.arange(n, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
-            for r in range(rows):
-                key = (key ^ sig[:, r * n : (r + 1) * n]) * np.uint64(0x94D049BB133111EB)
-        return key
-
-    def _band_index(self, codes: Sequence[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct band keys with the items that have a window of that key."""
-        keys, owners = [], []
-        for k, c in enumerate(codes):
-            h = self.hashed[np.searchsorted(self.codes, c)]
-            n = len(c) - self.window_shingles + 1
-            sig = np.lib.stride_tricks.sliding_window_view(h, self.window_shingles, axis=0).min(axis=2) if n > 0 else h[:0]
-            kk = np.unique(self._fold(sig, rows))
-            keys.append(kk)
-            owners.append(np.full(len(kk), k))
-        if not keys:
-            return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64)
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(key, kind="stable")
-        uniq, first = np.unique(key[order], return_index=True)
-        return uniq, np.append(first, len(key)), owner[order]
-
-    def candidates(self, pos: np.ndarray, code_at: np.ndarray) -> set[tuple[int, int]]:
-        """(stretch, item) pairs of which a sketch band agrees. ``pos``: places of known triples; ``code_at``: which."""
-        half = pos // STRIDE
-        stretch = np.concatenate([half, half[half > 0] - 1])
-        at = np.concatenate([code_at, code_at[half > 0]])
-        order = np.argsort(stretch, kind="stable")
-        stretch, at = stretch[order], at[order]
-        ids, first = np.unique(stretch, return_index=True)
-        sizes = np.diff(np.append(first, len(stretch)))
-        out: set[tuple[int, int]] = set()
-        if not len(ids):
-            return out
-        sig = np.minimum.reduceat(self.hashed[at], first, axis=0)
-        lower = 0
-        for upper, rows in self.classes:
-            mine = (sizes > lower) & (sizes <= upper)
-            lower = upper
-            if not mine.any():
-                continue
-            uniq, starts, owner = self.bands[rows]
-            keys = self._fold(sig[mine], rows)
-            j = np.searchsorted(uniq, keys)
-            j[j == len(uniq)] = 0
-            hit = uniq[j] == keys
-            which = np.broadcast_to(ids[mine][:, None], keys.shape)[hit]
-            j = j[hit]
-            n = starts[j + 1] - starts[j]
-            rep = np.repeat(np.arange(len(j)), n)
-            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pairs = np.unique(which[rep].astype(np.int64) * (len(self.ids) + 1) + owner[starts[j][rep] + off])
-            out.update((int(x) // (len(self.ids) + 1), int(x) % (len(self.ids) + 1)) for x in pairs)
-        return out
-
-
-def _aligned(ix: ItemIndex, doc: np.ndarray, item: int, diags: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each place of the document where the item may stand: which of its words are found there, in order."""
-    w, out = ix.words[item], []
-    order = np.argsort(-counts, kind="stable")
+    filter_bits: int = 1 << 28  # bits of the table of item triples, at most: the bound on what is broadcast (32 MB)
+
+    @property
+    def window(self) -> int:
+        """Triples of a passage of min_words words."""
+        return self.min_words - SHINGLE + 1
+
+    @property
+    def least(self) -> int:
+        """Triples of it that survive in the worst case."""
+        return max(1, self.window - SHINGLE * (self.min_words // self.per_change))
+
+
+def size_classes(p: LeakParams) -> list[tuple[int, int, int]]:
+    """(upper size, rows per band, bands): the most selective bands that keep the allowed miss with the allowed hashes."""
+    out = []
+    t = p.least / p.window
+    for upper in (STRIDE // 2, STRIDE, 2 * STRIDE):
+        s = min(0.999, t / (upper / p.window + 1 - t))
+        bands = {r: math.ceil(math.log(p.miss) / math.log(1 - s**r)) for r in (1, 2, 3, 4)}
+        rows = max([r for r, b in bands.items() if r * b <= p.hashes], default=1)
+        out.append((upper, rows, bands[rows]))
+    return out
+
+
+class _Codes(dict):
+    """64-bit hashes of words, each computed once; emptied when it has grown large."""
+
+    def __missing__(self, w: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w) >> 1
+        return h
+
+
+def _words(text: str | None, codes: _Codes) -> np.ndarray:
+    return np.array([codes[x] for x in plain_words(text)], dtype=np.int64)
+
+
+def _triples(w: np.ndarray) -> np.ndarray:
+    """Word triples as 64-bit numbers."""
+    if len(w) < SHINGLE:
+        return np.zeros(0, np.uint64)
+    x = w.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        y = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) + x[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + x[2:]
+        y ^= y >> np.uint64(29)
+        y *= np.uint64(0xBF58476D1CE4E5B9)
+        return y ^ y >> np.uint64(32)
+
+
+class _Table:
+    """A set of numbers as bits: never a miss, sometimes a false hit."""
+
+    def __init__(self, power: int, words: np.ndarray):
+        self.shift, self.words = np.uint64(64 - power), words
+
+
+    def known(self, codes: np.ndarray) -> np.ndarray:
+        slot = codes >> self.shift
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def item_words(items: DataFrame, p: LeakParams) -> DataFrame:
+    """(item_id, item, words): one row per text of an item that can leak at all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _Codes()
+        for pdf in batches:
+            pdf["words"] = pd.Series([_words(t, codes) for t in pdf["text"]], dtype=object)
+            yield pdf.loc[pdf["words"].map(len) >= p.min_words, ["item_id", "item", "words"]]
+
+    known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
+    return known.withColumn("item", F.xxhash64("item_id", "text")).mapInPandas(run, "item_id long, item long, words array<long>")
+
+
+def _bit_table(words: DataFrame, p: LeakParams) -> _Table:
+    """The items' triples as a table of bits, sixteen to a triple as long as that is within filter_bits. It is put together
+    on the executors; the driver gets its filled words, at most filter_bits / 64."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [_triples(np.asarray(w)) for w in pdf["words"]]
+            yield pd.DataFrame({"code": np.unique(np.concatenate(got)).view(np.int64) if got else np.zeros(0, np.int64)})
+
+    n = words.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    power = max(6, min(p.filter_bits.bit_length() - 1, max(16, (16 * n).bit_length())))
+    slot = F.shiftrightunsigned("code", 64 - power)
+    rows = words.select("words").mapInPandas(run, "code long").groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(code, {64 - power}) & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(1 << (power - 6), np.uint64)
+    table[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return _Table(power, table)
+
+
+def regions(documents: DataFrame, table: _Table, p: LeakParams, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, text_hash, region, words): the runs of words that may hold a passage; ``region`` is the same for equal ones."""
+    shared = documents.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        t, codes = shared.value, _Codes()
+        pad = SHINGLE * (p.min_words // p.per_change)  # words of a passage that may lie beyond its last known triple
+        for pdf in batches:
+            rows = []
+            for doc_id, text_hash, text in zip(pdf["d"], pdf["h"], pdf["t"], strict=True):
+                w = _words(text, codes)
+                pos = np.flatnonzero(t.known(_triples(w)))
+                if len(pos) < p.least:
+                    continue
+                for run_ in np.split(pos, np.flatnonzero(np.diff(pos) >= GAP) + 1):
+                    # somewhere as many known triples lie together as a passage keeps
+                    if len(run_) >= p.least and (run_[p.least - 1 :] - run_[: len(run_) - p.least + 1]).min() < p.window + MAX_SHIFT:
+                        part = w[max(0, run_[0] - pad) : run_[-1] + SHINGLE + pad]
+                        rows.append((doc_id, text_hash, xxhash.xxh64_intdigest(part.tobytes()) >> 1, part))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "region", "words"])
+
+    d = documents.select(F.col(id_column).cast("bigint").alias("d"), F.xxhash64(text_column).alias("h"), F.col(text_column).alias("t"))
+    return d.where("d is not null and t is not null and length(t) > 0").mapInPandas(run, "doc_id long, text_hash long, region long, words array<long>")
+
+
+def _minima(codes: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = codes[:, None] ^ salts[None, :]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(31)
+    return x
+
+
+def _fold(sig: np.ndarray, rows: int, bands: int, upper: int) -> np.ndarray:
+    """Band keys (sets, bands): the minima of ``rows`` hashes, the band and the class, mixed."""
+    with np.errstate(over="ignore"):
+        key = np.zeros((sig.shape[0], bands), np.uint64) + (np.arange(bands, dtype=np.uint64) + np.uint64(1_000 * upper))[None, :] * np.uint64(0xD6E8FEB86659FD93)
+        for r in range(rows):
+            key = (key ^ sig[:, r * bands : (r + 1) * bands]) * np.uint64(0x94D049BB133111EB)
+            key ^= key >> np.uint64(32)
+    return key
+
+
+def _salts(p: LeakParams) -> np.ndarray:
+    return np.random.default_rng(20_011).integers(1, 2**63, size=p.hashes, dtype=np.uint64)
+
+
+def item_bands(words: DataFrame, p: LeakParams) -> DataFrame:
+    """(band, item): the band keys, in every size class, of all windows of the items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salts, classes = _salts(p), size_classes(p)
+        for pdf in batches:
+            for item, w in zip(pdf["item"], pdf["words"], strict=True):
+                h = _minima(_triples(np.asarray(w)), salts)
+                sig = np.lib.stride_tricks.sliding_window_view(h, p.window, axis=0).min(axis=2)
+                for upper, rows, bands in classes:
+                    keys = np.unique(_fold(sig, rows, bands, upper)).view(np.int64)
+                    yield pd.DataFrame({"band": keys, "item": np.full(len(keys), item)})
+
+    return words.select("item", "words").mapInPandas(run, "band long, item long")
+
+
+def region_bands(distinct: DataFrame, table: _Table, p: LeakParams) -> DataFrame:
+    """(band, region): the band keys of the stretches of each region, of the class of each stretch only."""
+    shared = distinct.sparkSession.sparkContext.broadcast(table)
+
+    def sketch(codes: list[np.ndarray], owners: list[int], salts: np.ndarray, rows: int, bands: int, upper: int) -> pd.DataFrame:
+        first = np.cumsum([0, *map(len, codes[:-1])])
+        sig = np.minimum.reduceat(_minima(np.concatenate(codes), salts[: rows * bands]), first, axis=0)
+        return pd.DataFrame({"band": _fold(sig, rows, bands, upper).view(np.int64).ravel(), "region": np.repeat(np.array(owners, np.int64), bands)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, salts, classes = shared.value, _salts(p), size_classes(p)
+        for pdf in batches:
+            waiting: list[tuple[list, list]] = [([], []) for _ in classes]
+            for region, w in zip(pdf["region"], pdf["words"], strict=True):
+                code = _triples(np.asarray(w))
+                pos = np.flatnonzero(t.known(code))
+                for start in range(0, max(1, pos[-1] // STRIDE if len(pos) else 0), 1) if len(pos) else ():
+                    mine = np.unique(code[pos[(pos >= start * STRIDE) & (pos < (start + 2) * STRIDE)]])
+                    if len(mine) < p.least:
+                        continue
+                    k = next(i for i, (upper, _, _) in enumerate(classes) if len(mine) <= upper)
+                    waiting[k][0].append(mine)
+                    waiting[k][1].append(region)
+                    if len(waiting[k][0]) >= 500:
+                        upper, rows, bands = classes[k]
+                        yield sketch(*waiting[k], salts, rows, bands, upper)
+                        waiting[k] = ([], [])
+            for (codes, owners), (upper, rows, bands) in zip(waiting, classes, strict=True):
+                if codes:
+                    yield sketch(codes, owners, salts, rows, bands, upper)
+
+    return distinct.select("region", "words").mapInPandas(run, "band long, region long")
+
+
+def _aligned(doc: np.ndarray, w: np.ndarray, p: LeakParams) -> list[np.ndarray]:
+    """For each place of ``doc`` where the item ``w`` may stand: which of its words are found there, in order. A place is a
+    line of alignment that shares enough triples."""
+    a, b = _triples(doc), _triples(w)
+    order = np.argsort(b, kind="stable")
+    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    n = hi - lo
+    if n.sum() < p.least:
+        return []
+    at = np.repeat(np.arange(len(a)), n)
+    occ = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    diags, counts = np.unique(at - order[occ], return_counts=True)
+    out = []
     used = np.zeros(len(diags), bool)
-    for o in order:
+    for o in np.argsort(-counts, kind="stable"):
         if used[o]:
             continue
         near = np.abs(diags - diags[o]) <= MAX_SHIFT
         used |= near
-        if counts[near].sum() < ix.least:
+        if counts[near].sum() < p.least:
             continue
         found = np.zeros(len(w), bool)
         for d in diags[near]:
-            lo, hi = max(0, -d), min(len(w), len(doc) - d)
-            if lo < hi:
-                same = w[lo:hi] == doc[lo + d : hi + d]
+            lo_, hi_ = max(0, -d), min(len(w), len(doc) - d)
+            if lo_ < hi_:
+                same = w[lo_:hi_] == doc[lo_ + d : hi_ + d]
                 if d != diags[o]:  # on a shifted line only runs of three count, not single common words
                     run = np.convolve(same, np.ones(3), "same") >= 3
                     same = same & (run | np.append(run[1:], False) | np.insert(run[:-1], 0, False))
-                found[lo:hi] |= same
+                found[lo_:hi_] |= same
         out.append(found)
     return out
 
@@ -206,95 +302,55 @@ def has_passage(found: np.ndarray, counted: np.ndarray | None, p: LeakParams) ->
     return False
 
 
-def alignments(documents: DataFrame, index: ItemIndex, p: LeakParams, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, text_hash, item, found): candidates of the containment search that hold a passage, clauses not yet left
-    aside; ``found`` has a character per word of the item."""
-    shared = documents.sparkSession.sparkContext.broadcast(index)
+def alignments(pairs: DataFrame, distinct: DataFrame, words: DataFrame, p: LeakParams) -> DataFrame:
+    """(region, item_id, item, found) of the candidate pairs that hold a passage, clauses not yet left aside; ``found`` has
+    a character per word of the item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ix = shared.value
-        get = ix.vocab.get
         for pdf in batches:
             rows = []
-            for doc_id, text_hash, text in zip(pdf["d"], pdf["h"], pdf["t"], strict=True):
-                doc = np.array([get(x, 0) for x in plain_words(text)], dtype=np.int64)
-                code = ix.encode(doc)
-                pos = np.flatnonzero(code >= 0)
-                if len(pos) < ix.least:
-                    continue
-                j = np.searchsorted(ix.codes, code[pos])
-                j[j == len(ix.codes)] = 0
-                known = ix.codes[j] == code[pos]
-                pos, j = pos[known], j[known]
-                if len(pos) < ix.least:
-                    continue
-                items = {i for _, i in ix.candidates(pos, j)}
-                if not items:
-                    continue
-                # exact containment: shared triples of each candidate by line of alignment
-                n = ix.occ_from[j + 1] - ix.occ_from[j]
-                at = np.repeat(np.arange(len(j)), n)
-                occ = np.repeat(ix.occ_from[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                item, diag = ix.occ_item[occ], pos[at] - ix.occ_pos[occ]
-                for i in items:
-                    mine = item == i
-                    if mine.sum() < ix.least:
-                        continue
-                    for found in _aligned(ix, doc, i, *np.unique(diag[mine], return_counts=True)):
-                        if has_passage(found, None, p):
-                            rows.append((doc_id, text_hash, ix.ids[i], "".join("1" if x else "0" for x in found)))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "item_id", "found"])
+            for region, item_id, item, doc, w in zip(pdf["region"], pdf["item_id"], pdf["item"], pdf["words"], pdf["w"], strict=True):
+                for found in _aligned(np.asarray(doc), np.asarray(w), p):
+                    if has_passage(found, None, p):
+                        rows.append((region, item_id, item, "".join("1" if x else "0" for x in found)))
+            yield pd.DataFrame(rows, columns=["region", "item_id", "item", "found"])
 
-    d = documents.select(F.col(id_column).cast("bigint").alias("d"), F.xxhash64(text_column).alias("h"), F.col(text_column).alias("t"))
-    return d.where("d is not null and t is not null and length(t) > 0").mapInPandas(run, "doc_id long, text_hash long, item_id long, found string")
+    sides = pairs.join(distinct, "region").join(words.withColumnRenamed("words", "w"), "item")
+    return sides.mapInPandas(run, "region long, item_id long, item long, found string")
 
 
-def _shared_starts(index: ItemIndex) -> list[tuple[int, list[int]]]:
-    """Per item the positions (from 1) at which five words start that another item has as well."""
-    owners: dict[bytes, set[int]] = {}
-    for i, w in zip(index.ids, index.words, strict=True):
-        for k in range(len(w) - 4):
-            owners.setdefault(w[k : k + 5].tobytes(), set()).add(i)
-    return [(i, [k + 1 for k in range(len(w) - 4) if len(owners[w[k : k + 5].tobytes()]) > 1]) for i, w in zip(index.ids, index.words, strict=True)]
+def shared_starts(words: DataFrame) -> DataFrame:
+    """(item, k): positions (from 1) at which five words start that another item has as well; counted over all items."""
+    grams = F.transform(F.sequence(F.lit(1), F.size("words") - 4), lambda k: F.struct(k.alias("k"), F.xxhash64(F.slice("words", k, 5)).alias("gram")))
+    each = words.select("item_id", "item", F.inline(grams))
+    several = each.select("gram", "item_id").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    return each.join(several, "gram", "left_semi").select("item", "k")
 
 
-def _clause_words(aligned: DataFrame, n_documents: int, index: ItemIndex, p: LeakParams) -> DataFrame:
-    """(item_id, clause): the word positions of each item that belong to standard clauses. At most a row per item."""
-    once = aligned.select("text_hash", "item_id", "found").distinct()
+def clause_words(hits: DataFrame, texts: DataFrame, words: DataFrame, n_documents: int, p: LeakParams) -> DataFrame:
+    """(item, clause): the word positions of each item that belong to standard clauses. ``texts`` has region and n_texts.
+    Regions are weighted with their texts, so nothing is expanded per document."""
     starts = F.filter(F.sequence(F.lit(1), F.length("found") - 4), lambda k: F.substring(F.col("found"), k, F.lit(5)) == "11111")
-    df = once.where("length(found) >= 5").select("text_hash", "item_id", F.explode(starts).alias("k")).distinct().groupBy("item_id", "k").count()
-    shared = aligned.sparkSession.createDataFrame(_shared_starts(index), "item_id long, shared array<int>")  # a row per item of the block
-    least = F.when(F.array_contains("shared", F.col("k")), max(p.clause_min_docs, math.ceil(p.clause_share * n_documents))).otherwise(max(p.own_clause_min_docs, math.ceil(p.own_clause_share * n_documents)))
-    words = F.flatten(F.collect_list(F.sequence(F.col("k"), F.col("k") + 4)))  # bounded by five times the item's length
-    return df.join(shared, "item_id").where(F.col("count") >= least).groupBy("item_id").agg(F.array_sort(F.array_distinct(words)).alias("clause"))
+    at = hits.select("region", "item", F.explode(starts).alias("k")).distinct()
+    df = at.join(texts, "region").groupBy("item", "k").agg(F.sum("n_texts").alias("n_texts"))
+    df = df.join(shared_starts(words).withColumn("shared", F.lit(True)), ["item", "k"], "left")
+    least = F.when(F.col("shared"), max(p.clause_min_docs, math.ceil(p.clause_share * n_documents))).otherwise(max(p.own_clause_min_docs, math.ceil(p.own_clause_share * n_documents)))
+    positions = F.flatten(F.collect_list(F.sequence(F.col("k"), F.col("k") + 4)))  # bounded by five times the item's length
+    return df.where(F.col("n_texts") >= least).groupBy("item").agg(F.array_sort(F.array_distinct(positions)).alias("clause"))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, p: LeakParams | None = None) -> DataFrame:
     """(doc_id, item_id), one row per document and item of which it holds a passage."""
     p = p or LeakParams()
-    known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct()
-    # items in blocks of bounded size: the running word count decides the block, so that every broadcast is bounded
-    sizes = known.select("item_id", F.length("text").alias("n")).orderBy("item_id").toLocalIterator()
-    blocks: list[list[int]] = [[]]
-    room = p.block_words * 6
-    for r in sizes:
-        if blocks[-1] and room < r.n:
-            blocks.append([])
-            room = p.block_words * 6
-        if not blocks[-1] or blocks[-1][-1] != r.item_id:
-            blocks[-1].append(r.item_id)
-        room -= r.n
-    n = documents.count()
-    out = None
-    for b in blocks:
-        mine = known.where(F.col("item_id").between(b[0], b[-1])) if b else known
-        index = ItemIndex([(r.item_id, r.text) for r in mine.collect()], p)
-        found = cut(alignments(documents, index, p))  # a row per alignment; read twice below
-        clauses = _clause_words(found, n, index, p)
-        joined = found.join(clauses, "item_id", "left")
-        got = joined.mapInPandas(_final(p), "doc_id long, item_id long")
-        out = got if out is None else out.unionByName(got)
-    return out.distinct()
+    words = cut(item_words(items, p))
+    table = _bit_table(words, p)
+    placed = cut(regions(documents, table, p))
+    distinct = cut(placed.groupBy("region").agg(F.first("words").alias("words"), F.count_distinct("text_hash").alias("n_texts")))
+    pairs = region_bands(distinct, table, p).join(item_bands(words, p), "band").select("region", "item").distinct()
+    hits = cut(alignments(pairs, distinct.select("region", "words"), words, p))
+    clauses = clause_words(hits, distinct.select("region", "n_texts"), words, documents.count(), p)
+    final = hits.join(clauses, "item", "left").mapInPandas(_final(p), "region long, item_id long").distinct()
+    return placed.select("doc_id", "region").join(final, "region").select("doc_id", "item_id").distinct()
 
 
 def _final(p: LeakParams):
@@ -307,6 +363,6 @@ def _final(p: LeakParams):
                 if clause is not None:
                     use[np.asarray(clause, dtype=np.int64) - 1] = False
                 keep.append(has_passage(f, use, p))
-            yield pdf.loc[np.array(keep, dtype=bool), ["doc_id", "item_id"]]
+            yield pdf.loc[np.array(keep, dtype=bool), ["region", "item_id"]]
 
     return run

@@ -1,6 +1,8 @@
+import random
+
 import numpy as np
 
-from lodesieve.llm.leaks import LeakParams, has_passage, leaked_items
+from lodesieve.llm.leaks import LeakParams, has_passage, leaked_items, size_classes
 from lodesieve.llm.wordnorm import plain_words
 
 ITEM = "via some bearer programme ninety one perishable warranties reach quartz archipelago once licences rotate weekly whose exposure least explains a prompt escalation"
@@ -35,10 +37,39 @@ def test_empty_tables(spark):
     assert found(spark, [], [(1, ITEM)]) == set() and found(spark, [(1, ITEM)], []) == set()
 
 
-def test_items_in_blocks(spark):
+def test_the_size_of_the_table_changes_no_row(spark):
+    """The bound on what is broadcast decides work, never results: a table so small that most triples hit it by chance
+    gives the rows of the exact one, and clauses are counted over all items."""
     items = [(i, f"{ITEM} number{i} suffix{i} tail{i} last{i} word{i} more{i} any{i} each{i} one{i} two{i} three{i} four{i} five{i} six{i} seven{i}") for i in range(6)]
-    docs = [(1, items[5][1]), (2, FILL)]
-    assert {(1, 5)} <= found(spark, docs, items, LeakParams(block_words=30))
+    items += [(10, f"{CLAUSE} {FILL} ten"), (11, f"{FILL} eleven {CLAUSE}")]
+    docs = [(1, items[5][1]), (2, FILL), (3, f"{FILL} three {ITEM}")] + [(20 + i, f"note {i} {CLAUSE} and {i * 3} again") for i in range(40)]
+    want = found(spark, docs, items)
+    assert {(1, 5), (3, 0), (3, 5)} <= want and not any(d >= 20 for d, _ in want)
+    assert found(spark, docs, items, LeakParams(filter_bits=1 << 16)) == want == found(spark, docs, items, LeakParams(filter_bits=1 << 7))
+
+
+def test_size_classes_differ():
+    got = size_classes(LeakParams())
+    assert len({rows for _, rows, _ in got}) == 3 and all(r * b <= LeakParams().hashes for _, r, b in got)
+
+
+def test_against_brute_force(spark):
+    """Windows of the items, as written and with up to two words changed, in texts of every length."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    items = [(i, [rng.choice(words) for _ in range(60)]) for i in range(12)]
+    docs, want = [], set()
+    for d in range(240):
+        i, n = rng.randrange(12), rng.choice([8, 11, 15, 16, 22, 40])
+        at = rng.randrange(60 - n)
+        part = items[i][1][at : at + n]
+        changed = rng.choice([0, 0, 1, 2]) if n >= 15 else 0
+        for k in rng.sample(range(1, n - 1), changed):
+            part[k] = "other"
+        docs.append((d, " ".join([*(rng.choice(words) for _ in range(rng.randrange(30))), *part, *(rng.choice(words) for _ in range(rng.randrange(30)))])))
+        if n >= 15:
+            want.add((d, i))
+    assert found(spark, docs, [(i, " ".join(w)) for i, w in items], LeakParams(clause_share=1, own_clause_share=1)) == want
 
 
 def test_passage_rule():
