@@ -302,9 +302,20 @@ def has_passage(found: np.ndarray, counted: np.ndarray | None, p: LeakParams) ->
     return False
 
 
-def alignments(pairs: DataFrame, distinct: DataFrame, words: DataFrame, p: LeakParams) -> DataFrame:
-    """(region, item_id, item, found) of the candidate pairs that hold a passage, clauses not yet left aside; ``found`` has
-    a character per word of the item."""
+def contained(pairs: DataFrame, distinct: DataFrame, words: DataFrame, p: LeakParams, small: int = 2_000_000) -> DataFrame:
+    """(region, item, words, item_id, w): candidates that share as many triples as a passage keeps, by exact shingle
+    containment. The items are broadcast if they are counted to have at most ``small`` words, else joined."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("words") - (SHINGLE - 1)), lambda k: F.xxhash64(F.slice("words", k, SHINGLE))))
+    items = words.select("item", "item_id", F.col("words").alias("w"), grams.alias("of_item"))
+    if words.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= small:
+        items = F.broadcast(items)
+    sides = pairs.join(distinct.select("region", "words", grams.alias("of_region")), "region").join(items, "item")
+    return sides.where(F.size(F.array_intersect("of_region", "of_item")) >= p.least).drop("of_region", "of_item")
+
+
+def alignments(candidates: DataFrame, p: LeakParams) -> DataFrame:
+    """(region, item_id, item, found) of the candidates that hold a passage, clauses not yet left aside; ``found`` has a
+    character per word of the item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -315,8 +326,7 @@ def alignments(pairs: DataFrame, distinct: DataFrame, words: DataFrame, p: LeakP
                         rows.append((region, item_id, item, "".join("1" if x else "0" for x in found)))
             yield pd.DataFrame(rows, columns=["region", "item_id", "item", "found"])
 
-    sides = pairs.join(distinct, "region").join(words.withColumnRenamed("words", "w"), "item")
-    return sides.mapInPandas(run, "region long, item_id long, item long, found string")
+    return candidates.select("region", "item_id", "item", "words", "w").mapInPandas(run, "region long, item_id long, item long, found string")
 
 
 def shared_starts(words: DataFrame) -> DataFrame:
@@ -347,7 +357,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, p: LeakParams | None =
     placed = cut(regions(documents, table, p))
     distinct = cut(placed.groupBy("region").agg(F.first("words").alias("words"), F.count_distinct("text_hash").alias("n_texts")))
     pairs = region_bands(distinct, table, p).join(item_bands(words, p), "band").select("region", "item").distinct()
-    hits = cut(alignments(pairs, distinct.select("region", "words"), words, p))
+    hits = cut(alignments(contained(pairs, distinct, words, p), p))
     clauses = clause_words(hits, distinct.select("region", "n_texts"), words, documents.count(), p)
     final = hits.join(clauses, "item", "left").mapInPandas(_final(p), "region long, item_id long").distinct()
     return placed.select("doc_id", "region").join(final, "region").select("doc_id", "item_id").distinct()
