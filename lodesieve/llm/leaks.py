@@ -94,7 +94,8 @@ class _Codes(dict):
 
 
 def _words(text: str | None, codes: _Codes) -> np.ndarray:
-    return np.array([codes[x] for x in plain_words(text)], dtype=np.int64)
+    w = plain_words(text)
+    return np.fromiter(map(codes.__getitem__, w), np.int64, len(w))
 
 
 def _triples(w: np.ndarray) -> np.ndarray:

@@ -16,10 +16,12 @@ LOOK_ALIKES = str.maketrans(
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _NUMBERING = re.compile(r"\(\w{1,3}\)|\[\w{1,3}\]|^[ \t]*(?:\d{1,3}|[a-z])[.)][ \t]", re.M)
-_IN_NUMBER = re.compile(r"(?<=\d)[.,'’](?=\d)")
-_WRAPPED = re.compile(r"(?<=\w)[-‐]\r?\n[ \t]*(?=\w)")
+_IN_NUMBER = re.compile(r"[.,'’](?<=\d.)(?=\d)")
+_WRAPPED = re.compile(r"[-‐](?<=\w.)\r?\n[ \t]*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ]+")
+_LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKES))}]")
+_SPACED = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))  # ASCII letters and digits, the rest blank
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -33,9 +35,12 @@ def plain_words(text: str | None) -> list[str]:
     if "(" in text or "[" in text or ")" in text or "." in text:
         text = _NUMBERING.sub(" ", text)
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))).lower().translate(LOOK_ALIKES)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))).lower()
+        if _LOOKS.search(text):
+            text = text.translate(LOOK_ALIKES)
     else:
         text = text.lower()
-    if "-" in text:
+    if "-\n" in text or "-\r\n" in text or "\u2010" in text:
         text = _WRAPPED.sub("", text)
-    return _WORD.findall(_IN_NUMBER.sub("", text))
+    text = _IN_NUMBER.sub("", text)
+    return text.encode().translate(_SPACED).decode().split() if text.isascii() else _WORD.findall(text)
