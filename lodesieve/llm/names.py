@@ -54,12 +54,12 @@ _FIRM_ONLY = frozenset("gen eng ind mar first st co as sa ao log sec inv const f
 
 _MARKS = re.compile("[̀-ͯ]+")
 _DOTTED = re.compile(r"\b(?:[^\W\d_]\.){2,}(?:[^\W\d_]\b)?")
-_CAMEL = re.compile(r"(?<=[a-zà-öø-ÿğışçñ])(?=[A-ZÀ-ÖØ-ÞĞİŞÇÑ])")
+_CAMEL = re.compile(r"(?<=[a-zà-öø-ÿğışçñ])(?=[A-ZÀ-ÖØ-ÞĞİŞÇÑ]\w{2})")
 _WORD = re.compile(r"[a-z]+")
 _REMARKS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|//.*$|\d+")
 _DIGIT_LETTER = re.compile(r"(?<=[A-Za-z])[013456789](?=[A-Za-z])|(?<=[A-Za-z]{3})[013456789](?![A-Za-z0-9])")
 _GLUED = re.compile(r"(?<=[A-Z])(?=[A-Z][a-z]{3})(?<![A-Za-z][A-Z])")
-_GLUED_AL = re.compile(r"(?<=[a-z]{3})(?=(?:al|el)-[A-Za-z]{3})")
+_GLUED_AL = re.compile(r"(?<=[a-z]{3})(?=(?:al|el)-[a-z]{3})")
 _PHRASES = re.compile(r"\b(?:p\.? ?o\.? ?box|c/o|a/c|m/s)(?![a-z])|\b(?:front desk|front office|consulting fee)\b", re.I)
 _AL = re.compile(r"\b(?:[Aa]l|[Ee]l|AL|EL)[- ](?=[^\W\d_]{3})|\bAl(?=[A-Z][a-z])|\bEl(?=[A-Z][a-z])")
 

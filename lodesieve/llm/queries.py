@@ -23,7 +23,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = entity_match.match_lists(table(spark, sf_dir, "opensanctions_target"), table(spark, sf_dir, "un_entity"))
-    return pairs.where(F.col("confidence") >= entity_match.MatchParams().threshold)
+    return pairs.where(F.col("confidence") >= entity_match.MatchParams().threshold).drop("dated")
+
+
+def p3_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = entity_match.match_lists(table(spark, sf_dir, "opensanctions_target"), table(spark, sf_dir, "un_entity"))
+    return entity_match.reliability(pairs.withColumnRenamed("un_id", "b_record"))
 
 
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p3_found, p3_matches, p6_packing, p7_found, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p3_found, p3_matches, p3_reliability, p6_packing, p7_found, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,5 +33,23 @@ def test_confidence_separates_on_the_tables(spark, sf):
 def test_weak_labels_abstain():
     import numpy as np
 
-    x = np.array([[1, 1, 1, 1, 0, 1, 0, 1, 0], [1, 1, 1, 1, 0, 0, 0, 1, 0], [1, 1, 1, 1, 0, -1, 1, 1, 0], [0, 0.7, 0.5, 0.2, 3, 1, 1, 1, 0]], float)
+    x = np.array([[1, 1, 1, 1, 0, 1, 0, 1, 0], [0.95, 1, 1, 1, 0, 0, 0, 1, 0], [1, 1, 1, 1, 0, -1, 1, 1, 0], [0, 0.7, 0.5, 0.2, 3, 1, 1, 1, 0]], float)
     assert weak_match(x).tolist() == [1, -1, 0, 0]
+
+
+def test_countries(spark):
+    from lodesieve.llm.countries import bare, country_table, plain
+
+    t = country_table(spark, {"Ruritania": "XR"})
+    code = lambda x: t.get(plain(x)) or t.get(bare(x))
+    assert [code(x) for x in ("Türkiye", "TUR", "tr", "Islamic Republic of Iran", "Democratic People's Republic of Korea", "Republic of Korea", "The Sudan", "UK", "Deutschland", "Russian Federation", "Ruritania", "Nowhere", "Brasil")] == ["tr", "tr", "tr", "ir", "kp", "kr", "sd", "gb", "de", "ru", "xr", None, "br"]
+    assert len(set(t.values())) >= 240
+
+
+def test_whole_dates(spark):
+    from pyspark.sql import functions as F
+
+    from lodesieve.llm.entity_match import full_dates
+
+    rows = spark.createDataFrame([("1965-02-03",), ("DOB 3/2/1965; about",), ("1965",), (None,), ("",)], "t string").select(full_dates(F.col("t")).alias("d")).collect()
+    assert [set(r.d) for r in rows] == [{"1965-02-03", "1965-03-02"}, {"1965-02-03", "1965-03-02"}, set(), set(), set()]

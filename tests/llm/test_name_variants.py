@@ -14,7 +14,7 @@ def same(a, b):
     ("PEAMEATBERG, Joseph", "Joseph Peameatberg"), ("Joe Peàmeatberg", "Joseph Peameatberg"), ("mr J. Peameatberg (salary)", "Joseph Peameatberg"), ("Joseph Peameatbreg", "Joseph Peameatberg"), ("JosephPeameatberg", "Joseph Peameatberg"),
     ("Rafael Molaz", "Rafael Tomás Molaz"), ("Rafael T. Molaz", "Rafael Tomás Molaz"), ("Levidor Nat'l Exch. + Mach. Sociedad Anonima", "Levidor National Exchange & Machinery S.A."), ("Рафаэл Молаз", "Rafael Molaz"), ("J0seph Peameatberg REF 55", "Joseph Peameatberg"),
     ("РАФАЭЛ МОЛАЗ", "Rafael Molaz"), ("ЩЕДРИН РАФАЭЛ", "Shchedrin Rafael"), ("Joseqh Peameatberg", "Joseph Peameatberg"), ("PEAMEATBERG Joesph", "Joseph Peameatberg"), ("Jng Molaz", "Jong Molaz"), ("J0ng MO1AZ", "Jong Molaz"), ("SMolaz", "S. Molaz"),
-    ("Joseph Peameatberq", "Joseph Peameatberg"), ("Joseph Pearneatberg", "Joseph Peameatberg"), ("Rafael d. Molaz", "Rafael de Tomas Molaz"), ("Harry Peameatberg", "Harold Peameatberg"), ("Pat Peameatberg", "Patrick Peameatberg"), ("Sasha Peameatberg", "Alexandra Peameatberg"),
+    ("Joseph Peameatberq", "Joseph Peameatberg"), ("Joseph Pearneatberg", "Joseph Peameatberg"), ("Rafael d. Molaz", "Rafael de Tomas Molaz"), ("Harry Peameatberg", "Harold Peameatberg"), ("Pat Peameatberg", "Patrick Peameatberg"), ("Sasha Peameatberg", "Alexandra Peameatberg"), ("Fafomal-Gedelix Gnl Foundation Ltd.", "Fafomal Gedelix General Foundation Limited"), ("Levidor Trade GmbH", "LEVIDOR TRADING GMBH"),
 ])
 def test_variants_are_one_name(typed, listed):
     assert same(typed, listed)
