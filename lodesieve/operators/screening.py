@@ -89,11 +89,12 @@ def pair_features(best: DataFrame) -> DataFrame:
 
 
 def rare_token_overlap(pairs: DataFrame, idf: DataFrame, default_idf: float, least: float = 0.85) -> DataFrame:
-    """(query_id, entity_id, overlap): idf share of the query tokens that have a near partner (Jaro-Winkler) in the variant."""
+    """(query_id, entity_id, overlap): idf share of the query tokens that have a near partner in the variant, each weighted
+    with its Jaro-Winkler similarity."""
     q = pairs.select("query_id", "entity_id", "variant_norm", F.explode(F.array_distinct(text.tokens(F.col("query_norm")))).alias("token")).join(idf.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(default_idf)))
     j = q.withColumn("other", F.explode_outer(F.array_distinct(text.tokens(F.col("variant_norm")))))
     best = j.withColumn("jw", F.coalesce(sim.jaro_winkler("token", "other"), F.lit(0.0))).groupBy("query_id", "entity_id", "token").agg(F.max("jw").alias("jw"), F.first("idf").alias("idf"))
-    return best.groupBy("query_id", "entity_id").agg((F.sum(F.when(F.col("jw") >= least, F.col("idf")).otherwise(0.0)) / F.coalesce(F.nullif(F.sum("idf"), F.lit(0.0)), F.lit(1.0))).alias("overlap"))
+    return best.groupBy("query_id", "entity_id").agg((F.sum(F.when(F.col("jw") >= least, F.col("idf") * F.col("jw")).otherwise(0.0)) / F.coalesce(F.nullif(F.sum("idf"), F.lit(0.0)), F.lit(1.0))).alias("overlap"))
 
 
 def fallback_verdict(scored: DataFrame, high: float = 0.92, low: float = 0.80) -> DataFrame:

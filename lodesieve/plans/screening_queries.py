@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text
 from ..operators import index as I
+from ..operators import payment_screening as P
 from ..operators import screening as X
 from ..session import cut, table
 
@@ -166,6 +167,34 @@ def fallback_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fallback_verdict(s).withColumn("score", F.round("score", 4))
 
 
+def screen_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fiat payments through all stages, by the blended score: the reference's behaviour without a trained model."""
+    return P.screen(table(spark, sf_dir, "txn_event"), _persons(spark, sf_dir)).select("txn_id", "verdict", "status", "stage", F.round("score", 4).alias("score"), "entity_id", "matched_name", "risk", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def payment_exact_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments decided before any model: a listed identity number, or a listed name of rare words."""
+    import math
+
+    e = _persons(spark, sf_dir)
+    vs = cut(I.variants(e))
+    n = max(1, vs.select("entity_id").distinct().count())
+    pays = cut(P.prepared(table(spark, sf_dir, "txn_event")))
+    q = P.query_side(pays.select("query_norm").where("query_norm <> ''").distinct(), I.token_idf(vs, n), math.log1p(n))
+    exact = P.exact_stage(pays, I.identifiers(e), I.exact_names(vs, e.select("entity_id", "ord")), q)
+    return pays.join(exact, "unit").select("txn_id", "stage", "entity_id").distinct()
+
+
+def query_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How rare the words of every typed name are among the listed names: 1 if no list has them."""
+    import math
+
+    vs = cut(_variants(spark, sf_dir))
+    n = max(1, vs.select("entity_id").distinct().count())
+    norms = P.prepared(table(spark, sf_dir, "txn_event")).select("query_norm").where("query_norm <> ''").distinct()
+    return P.query_side(norms, I.token_idf(vs, n), math.log1p(n)).select("query_norm", F.round("rarity", 6).alias("rarity"), F.size("tokens").alias("n_tokens"))
+
+
 def payment_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "txn_event").where("txn_id is not null")
     return t.select("txn_id", X.payment_risk(F.col("amount"), F.col("currency"), F.col("rail"), F.col("orig_country")).alias("risk"), F.array_join(X.risk_factors(F.col("amount"), F.col("currency"), F.col("rail"), F.col("orig_country")), ",").alias("factors")).distinct()
@@ -223,7 +252,7 @@ def best_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     norm_text, name_tokens, norm_ids, clean_cells, multi_values, latest_entities, variant_explode, token_df, token_idf, exact_name_map, identifier_map, wallet_map, index_size, phonetic_postings,
-    recall_candidates, recall_phonetic, best_variants, pair_features, jaro_winkler_pairs, token_ratios, fallback_screening, payment_risk, risk_thresholds, exact_screening, attribute_agreement, id_screening,
+    recall_candidates, recall_phonetic, best_variants, pair_features, jaro_winkler_pairs, token_ratios, fallback_screening, screen_payments, payment_exact_stage, query_rarity, payment_risk, risk_thresholds, exact_screening, attribute_agreement, id_screening,
     wallet_screening, payment_routing, best_by_query,
 )
 
@@ -270,6 +299,11 @@ _IDS = f"{_ENT}, ids as (select {_ID.format(c='raw')} as identifier, entity_id f
 _WAL = f"{_ENT}, wal as (select lower(trim(raw)) as wallet, entity_id from (select entity_id, ord, unnest(list_concat([name], coalesce(aliases, []))) as raw from ent where entity_schema = 'CryptoWallet') where trim(raw) <> '' qualify row_number() over (partition by lower(trim(raw)) order by ord desc, entity_id desc) = 1)"
 _HITS = f"{_EXACT}, hit as (select distinct t.txn_id, t.bene_country, t.bene_dob, t.bene_passport, t.bene_national_id, {_norm('t.bene_name')} as variant_norm from txn_event t where txn_id is not null and bene_name <> ''), hx as (select hit.*, e.* from hit join ex using (variant_norm) join ent e using (entity_id))"
 
+_PAYS = f"pays as (select distinct txn_id, coalesce({_norm('bene_name')}, '') as query_norm, bene_passport as i1, bene_national_id as i2 from txn_event where txn_id is not null and channel = 'fiat')"
+_RARE = f"""{_DF}, {_PAYS}, qtk as (select query_norm, unnest(list_distinct({_tokens('query_norm')})) as token from (select distinct query_norm from pays where query_norm <> '')),
+rare as (select query_norm, avg(coalesce(idf, ln(1 + n.n::double))) / any_value(ln(1 + n.n::double)) as rarity, count(*)::int as n_tokens from qtk left join idf using (token), n group by 1)"""
+_IDS_ONLY = "ids as (select identifier, entity_id from (select entity_id, ord, " + _ID.format(c="raw") + " as identifier from (select entity_id, ord, unnest(identifiers) as raw from ent where entity_schema <> 'CryptoWallet')) where length(identifier) >= 5 qualify row_number() over (partition by identifier order by ord, entity_id) = 1)"
+
 
 def oracle_sql() -> dict[str, str]:
     clean = lambda c: f"nullif(nullif(trim({c}), ''), '-0-')"
@@ -291,6 +325,12 @@ def oracle_sql() -> dict[str, str]:
         "recall_candidates": f"with {_RECALL} select query_id, entity_id, round(mass, 4) as mass, rank from rc where rank <= 150",
         "best_by_query": f"with {_RECALL} select query_id, entity_id, round(mass, 4) as mass from rc where rank <= 150 qualify row_number() over (partition by query_id order by round(mass, 4) desc, entity_id) = 1",
         "jaro_winkler_pairs": f"with {_RECALL} select rc.query_id, rc.entity_id, round(jaro_winkler_similarity({_norm('q.query')}, v.variant_norm), 4) as jw from rc join q using (query_id) join var v on v.entity_id = rc.entity_id and v.is_primary where rank <= 20",
+        "query_rarity": f"with {_RARE} select query_norm, round(rarity, 6) as rarity, n_tokens from rare",
+        "payment_exact_stage": f"""with {_RARE}, {_IDS_ONLY}, given as (select txn_id, query_norm, {_ID.format(c='i1')} as i1, {_ID.format(c='i2')} as i2 from pays),
+  byid as (select g.*, coalesce(a.entity_id, b.entity_id) as entity_id from given g left join ids a on a.identifier = g.i1 left join ids b on b.identifier = g.i2),
+  exn as (select variant_norm, entity_id from var qualify row_number() over (partition by variant_norm order by ord, variant_ord) = 1)
+select distinct txn_id, 'identity' as stage, entity_id from byid where entity_id is not null
+union select distinct b.txn_id, 'name', exn.entity_id from byid b join exn on exn.variant_norm = b.query_norm join rare r on r.query_norm = b.query_norm where b.entity_id is null and r.rarity >= 0.6""",
         "payment_risk": _PAY,
         "risk_thresholds": f"select distinct risk, round(greatest(0, 0.92 - 0.15 * greatest(0, least(1, risk))), 6) as tau_high, round(greatest(0, 0.80 - 0.15 * greatest(0, least(1, risk))), 6) as tau_low from ({_PAY})",
         "exact_screening": f"with {_HITS} select distinct txn_id, variant_norm, entity_id from hx",
