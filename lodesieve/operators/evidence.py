@@ -21,6 +21,10 @@ Rules = Sequence[tuple[str, str, float]]
 LADDER: Rules = (
     ("direct and level = 'SANCTIONED'", "DIRECT_SANCTIONS_MATCH", 1.0),
     ("n_hops = 0", "", 0.0),
+    ("derived and suppressed", "DERIVED_RISK_PROPAGATION_SUPPRESSED", 0.08),
+    ("derived and derived_score >= 0.70", "UPSTREAM_FUNDING_OF_DERIVED_SANCTIONS_PROXY", 0.46),
+    ("derived and derived_score >= 0.55", "UPSTREAM_FUNDING_OF_DERIVED_SANCTIONS_PROXY", 0.38),
+    ("derived", "UPSTREAM_FUNDING_OF_DERIVED_SANCTIONS_PROXY", 0.24),
     ("old_tiny", "OLD_EXPOSURE_DISCOUNTED", 0.05),
     ("reaches_sanctioned and all_outbound and n_hops <= 1", "OUTBOUND_1_HOP_TO_SANCTIONED", 0.82),
     ("reaches_sanctioned and all_outbound", "OUTBOUND_2_HOP_TO_SANCTIONED", 0.62),
@@ -32,7 +36,9 @@ LADDER: Rules = (
     ("true", "HIGH_RISK_CORRIDOR", 0.34),
 )
 ADDITIONS: Rules = (
-    ("code in ('OUTBOUND_1_HOP_TO_SANCTIONED', 'OUTBOUND_2_HOP_TO_SANCTIONED', 'INBOUND_FROM_SANCTIONED', 'PROXY_ACCOUNT_BEHAVIOR') and source_level = 'SANCTIONED' and not hub and not old", "DERIVED_RISK_ANCHOR", 0.04),
+    ("derived and not suppressed", "PROXY_CHAIN_FUNDING", 0.08),
+    ("derived and not suppressed", "DERIVED_RISK_ANCHOR", 0.04),
+    ("not derived and code in ('OUTBOUND_1_HOP_TO_SANCTIONED', 'OUTBOUND_2_HOP_TO_SANCTIONED', 'INBOUND_FROM_SANCTIONED', 'PROXY_ACCOUNT_BEHAVIOR') and source_level = 'SANCTIONED' and not hub and not old", "DERIVED_RISK_ANCHOR", 0.04),
     ("code <> 'PROXY_ACCOUNT_BEHAVIOR' and (proxy or structuring or dense)", "PROXY_ACCOUNT_BEHAVIOR", 0.10),
     ("code <> 'ABNORMAL_VALUE_TO_NEW_COUNTERPARTY' and abnormal", "ABNORMAL_VALUE_TO_NEW_COUNTERPARTY", 0.08),
     ("code <> 'HIGH_RISK_CORRIDOR' and corridor", "HIGH_RISK_CORRIDOR", 0.06),
@@ -42,7 +48,9 @@ ADDITIONS: Rules = (
 
 
 def path_facts(exposure: DataFrame, as_of: Column) -> DataFrame:
-    """(node_key, source, n_hops, ... booleans) of every stored path; null elements are left out first."""
+    """(node_key, source, n_hops, ... booleans) of every stored path; null elements are left out first. ``derived``: the
+    second element is a derived anchor, where the paths have such marks at all."""
+    marks = exposure.schema["best_path"].dataType.elementType.names
     x = exposure.select("node_key", plain_key(F.col("source_risk_node")).alias("source"), F.filter(F.coalesce("best_path", F.array().cast(exposure.schema["best_path"].dataType)), lambda s: s.isNotNull()).alias("p"))
     x = x.withColumn("h", F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).withColumn("mid", F.slice("p", 2, F.greatest(F.size("p") - 2, F.lit(0))))
     up = lambda c: F.coalesce(F.upper(c), F.lit(""))
@@ -56,8 +64,12 @@ def path_facts(exposure: DataFrame, as_of: Column) -> DataFrame:
     tiny = ~meaning & (F.size(sent) > 0) & F.forall(sent, lambda s: (amount(s) < 100) & (F.coalesce(age(s), F.lit(9999)) > 180))
     new_large = F.exists("h", lambda s: F.coalesce((F.datediff(as_of, day(s["first_seen"])) <= 30) & (F.datediff(day(s["last_seen"]), day(s["first_seen"])) <= 7) & (amount(s) >= 10_000) & (F.coalesce(s["transaction_count"], F.lit(0)) <= 3), F.lit(False)))
     hub = F.exists("h", lambda s: up(s["edge_type"]) == "SHARED_IDENTIFIER") | F.exists("mid", lambda s: up(s["node_type"]) == "BANK")
+    second = F.get("p", F.lit(1))
+    derived = F.coalesce(second["derived_anchor"].cast("boolean"), F.lit(False)) if "derived_anchor" in marks else F.lit(False)
+    score = F.coalesce(second["derived_anchor_score"].cast("double"), F.lit(0.0)) if "derived_anchor_score" in marks else F.lit(0.0)
+    suppressed = F.coalesce(second["derived_suppression_reason"] != "", F.lit(False)) if "derived_suppression_reason" in marks else F.lit(False)
     return x.select(
-        "node_key", "source", F.size("h").alias("n_hops"), F.exists("p", lambda s: up(s["risk_level"]) == "SANCTIONED").alias("reaches_sanctioned"), flow("outbound_to_anchor").alias("all_outbound"), flow("inbound_from_anchor").alias("all_inbound"),
+        "node_key", "source", derived.alias("derived"), score.alias("derived_score"), suppressed.alias("suppressed"), F.size("h").alias("n_hops"), F.exists("p", lambda s: up(s["risk_level"]) == "SANCTIONED").alias("reaches_sanctioned"), flow("outbound_to_anchor").alias("all_outbound"), flow("inbound_from_anchor").alias("all_inbound"),
         tiny.alias("old_tiny"), new_large.alias("abnormal"), ((F.size("p") >= 4) | control).alias("proxy"), hub.alias("hub"), F.exists("h", lambda s: F.coalesce(age(s) > 180, F.lit(False))).alias("old"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..session import cut
+from ..session import cut, discard
 from .orphan_refs import plain_key
 
 
@@ -83,18 +83,18 @@ def top_edges(adj: DataFrame, k: int) -> DataFrame:
     return best.join(degree, "node")
 
 
-def propagate(nodes: DataFrame, adj: DataFrame, max_depth: int = 2, top_k: int = 20, min_score: float = 0.03, hub_degree: int = 200, max_rounds: int = 12) -> DataFrame:
+def propagate(nodes: DataFrame, adj: DataFrame, max_depth: int = 2, top_k: int = 20, min_score: float = 0.03, hub_degree: int = 200, max_rounds: int = 50) -> DataFrame:
     """(node_key, score, depth, source, path, edges): the best label of every node that risk reaches.
 
     Every round recomputes all labels from the anchors and the labels of the round before (a label that a better one
     replaced takes what it had produced back with it), until a fingerprint of the labels stays the same. Truncation to
     the top k comes before weak edges are dropped; hubs receive but don't expand; labels below ``min_score`` stay but
-    don't expand. Lineage is cut by a table per round.
+    don't expand. A round is one join and one aggregation that keeps a row per node on the map side; its table cuts the
+    lineage, and the table of the round before is deleted. Labels that aren't stable after ``max_rounds`` raise an error.
     """
     risk = S.source_risk(F.col("risk_level"))
     start = nodes.select(plain_key(F.col("node_key")).alias("node_key"), risk.alias("score")).where("node_key is not null and score > 0").groupBy("node_key").agg(F.max("score").alias("score"))
-    step = F.struct("edge_type", "amount", "transaction_count", "confidence", "direction", "override_allowed", "flow", "multiplier", "first_seen", "last_seen", "outgoing_concentration", "incoming_concentration", "flow_concentration", "flow_materiality")
-    useful = cut(top_edges(adj, top_k).where((F.col("degree") <= hub_degree) & ~F.col("weak")).select("node", "neighbor", "edge_score", "multiplier", step.alias("step")))
+    useful = cut(top_edges(adj, top_k).where((F.col("degree") <= hub_degree) & ~F.col("weak")).select("node", "neighbor", "edge_score", "multiplier", _step().alias("step")))
     no_steps = F.array().cast(f"array<{useful.schema['step'].dataType.simpleString()}>")
     anchors = cut(start.select("node_key", "score", F.lit(0).alias("depth"), F.col("node_key").alias("source"), F.array("node_key").alias("path"), no_steps.alias("edges")))
     labels, seen = anchors, None
@@ -105,17 +105,71 @@ def propagate(nodes: DataFrame, adj: DataFrame, max_depth: int = 2, top_k: int =
             F.col("neighbor").alias("node_key"), (F.col("score") * F.col("edge_score") * F.col("multiplier") * S.hop_decay(F.col("depth") + 1)).alias("score"), (F.col("depth") + 1).alias("depth"), "source",
             F.concat("path", F.array("neighbor")).alias("path"), F.concat("edges", F.array("step")).alias("edges"),
         )
-        pool = anchors.unionByName(reached)
-        # max_by keeps one row per node with map-side combine; ties: the smaller source and path win
-        tie = F.concat_ws(">", "source", F.array_join("path", ">"))
-        best = pool.groupBy("node_key").agg(F.max(F.struct(F.round("score", 12).alias("s"), (-F.col("depth")).alias("d"))).alias("top")).select("node_key", "top.s", "top.d")
-        tied = pool.join(best, "node_key").where((F.round("score", 12) == F.col("s")) & (-F.col("depth") == F.col("d")))
-        labels = cut(tied.groupBy("node_key").agg(F.min_by(F.struct("score", "depth", "source", "path", "edges"), tie).alias("x")).select("node_key", "x.*"))
+        # the greatest score, then the least depth; ties: the smaller source and path win
+        order = F.struct((-F.round("score", 12)).alias("s"), "depth", F.concat_ws(">", "source", F.array_join("path", ">")).alias("tie"))
+        before = labels
+        labels = cut(anchors.unionByName(reached).groupBy("node_key").agg(F.min_by(F.struct("score", "depth", "source", "path", "edges"), order).alias("x")).select("node_key", "x.*"))
+        if before is not anchors:
+            discard(before)
         mark = labels.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(node_key, round(score, 12), source, path))")).first()
         if mark == seen:
-            break
+            return labels
         seen = mark
-    return labels
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+
+def _step() -> Column:
+    """An edge as a step of a path."""
+    return F.struct("edge_type", "amount", "transaction_count", "confidence", "direction", "override_allowed", "flow", "multiplier", "first_seen", "last_seen", "outgoing_concentration", "incoming_concentration", "flow_concentration", "flow_materiality")
+
+
+def _element(key: Column, before: Column, step: Column) -> list[Column]:
+    """A node of a path with the edge that leads to it from the node before, seen from the account."""
+    back = step["direction"] == "reverse"
+    text_of = lambda c: step[c].cast("string").alias(c)
+    same = [step[c].alias(c) for c in ("edge_type", "amount", "transaction_count", "confidence", "override_allowed", "outgoing_concentration", "incoming_concentration", "flow_concentration")]
+    return [
+        key.alias("node_key"), *same, F.when(back, before).otherwise(key).alias("edge_from"), F.when(back, key).otherwise(before).alias("edge_to"), step["direction"].alias("edge_direction"), step["flow"].alias("semantic_flow"),
+        step["multiplier"].alias("directional_multiplier"), step["flow_materiality"].alias("flow_materiality_weight"), text_of("first_seen"), text_of("last_seen"),
+    ]
+
+
+def label_paths(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_key, source_risk_node, exposure_score, best_depth, best_path): labels as exposure rows, the path from the account
+    to the source with the edge, kind and risk of every element. Paths have few elements; they are exploded to look up kinds."""
+    x = labels.select("node_key", "source", "score", "depth", F.reverse("path").alias("p"), F.reverse("edges").alias("e"))
+    x = x.select("node_key", "source", "score", "depth", "e", "p", F.posexplode("p").alias("i", "key"))
+    step = F.get("e", F.col("i") - 1)
+    x = x.select(F.col("node_key").alias("account"), "source", "score", "depth", "i", *_element(F.col("key"), F.get("p", F.col("i") - 1), step))
+    meta = nodes.select(plain_key(F.col("node_key")).alias("node_key"), F.upper("node_type").alias("node_type"), F.upper("risk_level").alias("risk_level")).dropDuplicates(["node_key"])
+    x = x.join(meta, "node_key", "left")
+    fields = ["node_key", "node_type", *[c for c in x.columns if c not in ("account", "source", "score", "depth", "i", "node_key", "node_type")]]
+    # as many elements as a path has: depth + 1
+    g = x.groupBy(F.col("account").alias("node_key"), F.col("source").alias("source_risk_node"), F.col("score").alias("exposure_score"), F.col("depth").alias("best_depth")).agg(F.array_sort(F.collect_list(F.struct("i", F.struct(*fields).alias("s")))).alias("s"))
+    return g.select("node_key", "source_risk_node", "exposure_score", "best_depth", F.col("s.s").alias("best_path"))
+
+
+def stitched_paths(derived: DataFrame, paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Exposure rows of derived exposure: the funder, the derived anchor with the funding edge and what makes it an anchor,
+    then the anchor's own path to the source. ``derived`` with its steps; ``paths``: ``label_paths`` of the anchors."""
+    meta = nodes.select(plain_key(F.col("node_key")).alias("node_key"), F.upper("node_type").alias("funder_type")).dropDuplicates(["node_key"])
+    own = paths.select(F.col("node_key").alias("anchor"), "source_risk_node", "best_path", F.col("exposure_score").alias("original"))
+    x = derived.join(own, "anchor").join(meta, "node_key", "left")
+    first = F.get("best_path", F.lit(0))
+    mark = [F.lit(True).alias("derived_anchor"), F.round("weight", 4).alias("derived_anchor_score"), F.col("code").alias("derived_anchor_reason_code"), F.round("original", 4).alias("derived_anchor_original_score"), F.col("anchor").alias("derived_anchor_node"), F.col("suppressed").alias("derived_suppression_reason")]
+    no_mark = [F.lit(None).cast(t).alias(n) for n, t in (("derived_anchor", "boolean"), ("derived_anchor_score", "double"), ("derived_anchor_reason_code", "string"), ("derived_anchor_original_score", "double"), ("derived_anchor_node", "string"), ("derived_suppression_reason", "string"))]
+    fields = [f.name for f in paths.schema["best_path"].dataType.elementType.fields]
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in paths.schema["best_path"].dataType.elementType.fields}
+
+    def row(**known: Column) -> list[Column]:
+        return [known.get(n, blank[n]).cast(blank_type).alias(n) for n, blank_type in ((f.name, f.dataType) for f in paths.schema["best_path"].dataType.elementType.fields)]
+
+    start = F.struct(*row(node_key=F.col("node_key"), node_type=F.col("funder_type")), *no_mark)
+    step = F.struct(*_element(F.col("anchor"), F.col("node_key"), F.col("step")))
+    edge = {n: step[n] for n in fields if n not in ("node_type", "risk_level")}
+    second = F.struct(*row(**edge, node_type=first["node_type"], risk_level=first["risk_level"]), *mark)
+    rest = F.transform(F.slice("best_path", 2, F.greatest(F.size("best_path") - 1, F.lit(0))), lambda s: F.struct(*[s[n].alias(n) for n in fields], *no_mark))
+    return x.select("node_key", "source_risk_node", F.col("score").alias("exposure_score"), F.col("depth").alias("best_depth"), F.concat(F.array(start, second), rest).alias("best_path"))
 
 
 def derived_anchors(labels: DataFrame, nodes: DataFrame, degrees: DataFrame, as_of: Column, hub_degree: int = 200) -> DataFrame:
@@ -136,10 +190,10 @@ def derived_anchors(labels: DataFrame, nodes: DataFrame, degrees: DataFrame, as_
     return x.where(fits).withColumn("k", kind).where("k is not null").select("node_key", "k.code", "k.weight", "source", "path", "depth")
 
 
-def derived_exposure(anchors: DataFrame, adj: DataFrame, nodes: DataFrame, degrees: DataFrame, as_of: Column, hub_degree: int = 200) -> DataFrame:
-    """(node_key, score, depth, source, anchor, code, suppressed): direct funders of derived anchors. The first reason
+def derived_exposure(anchors: DataFrame, adj: DataFrame, nodes: DataFrame, degrees: DataFrame, as_of: Column, hub_degree: int = 200, with_steps: bool = False) -> DataFrame:
+    """(node_key, score, depth, source, anchor, code, suppressed[, weight, step]): direct funders of derived anchors. The first reason
     that applies suppresses a row, whose score is then at most .029."""
-    back = adj.where("edge_type = 'SENT_TO' and direction = 'reverse'").select(F.col("node").alias("anchor"), F.col("neighbor").alias("funder"), "amount", "transaction_count", "last_seen", "incoming_concentration", "edge_score", "multiplier")
+    back = adj.where("edge_type = 'SENT_TO' and direction = 'reverse'").select(F.col("node").alias("anchor"), F.col("neighbor").alias("funder"), "amount", "transaction_count", "last_seen", "incoming_concentration", "edge_score", "multiplier", _step().alias("step"))
     meta = nodes.select(plain_key(F.col("node_key")).alias("funder"), F.upper("node_type").alias("funder_type")).dropDuplicates(["funder"])
     x = anchors.withColumnRenamed("node_key", "anchor").join(back, "anchor").where(~F.array_contains("path", F.col("funder"))).join(meta, "funder").join(degrees.withColumnRenamed("node", "funder"), "funder", "left")
     why = (
@@ -151,7 +205,8 @@ def derived_exposure(anchors: DataFrame, adj: DataFrame, nodes: DataFrame, degre
     )
     raw = F.col("weight") * F.col("edge_score") * F.col("multiplier") * 0.7
     x = x.withColumn("suppressed", why).withColumn("score", F.when(why.isNull(), raw).otherwise(F.least(raw, F.lit(0.029))))
-    best = F.min_by(F.struct("score", (F.size("path")).alias("depth"), "source", "anchor", "code", "suppressed"), F.struct(-F.round("score", 12), "anchor")).alias("b")
+    more = ("weight", "step") if with_steps else ()
+    best = F.min_by(F.struct("score", (F.size("path")).alias("depth"), "source", "anchor", "code", "suppressed", *more), F.struct(-F.round("score", 12), "anchor")).alias("b")
     return x.groupBy(F.col("funder").alias("node_key")).agg(best).select("node_key", "b.*")
 
 

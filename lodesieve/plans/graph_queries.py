@@ -78,6 +78,26 @@ def merged_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merge_exposure(labels, d, nodes).withColumn("score", F.round("score", 13))
 
 
+def derived_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure rows of the second pass, with stitched paths: funder, derived anchor, then the anchor's path."""
+    nodes, adj, degrees, labels = _labels(spark, sf_dir)
+    d = G.derived_exposure(G.derived_anchors(labels, nodes, degrees, _day()), adj, nodes, degrees, _day(), with_steps=True)
+    return G.stitched_paths(d, G.label_paths(labels, nodes), nodes)
+
+
+def derived_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reasons, risk and verdict of the accounts that fund a derived anchor."""
+    facts = V.path_facts(derived_paths(spark, sf_dir), _day())
+    return V.judge(V.with_context(facts, table(spark, sf_dir, "graph_nodes"), G.pattern_flags(G.behavior_profile(_rolled(spark, sf_dir)))))
+
+
+def derived_path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys along every stitched path, with what marks the anchor."""
+    x = derived_paths(spark, sf_dir)
+    a = F.get("best_path", F.lit(1))
+    return x.select("node_key", "source_risk_node", F.round("exposure_score", 13).alias("score"), F.array_join(F.col("best_path.node_key"), ">").alias("path"), a["derived_anchor_score"].alias("weight"), a["derived_anchor_reason_code"].alias("code"), a["derived_suppression_reason"].alias("suppressed"), F.round(a["amount"], 2).alias("amount"))
+
+
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of the search: entries, truncated and weak ones, hubs, anchors."""
     nodes = table(spark, sf_dir, "graph_nodes")
@@ -193,7 +213,7 @@ def payment_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    edge_rollup, node_flow_totals, flow_concentration, edge_score, adjacency_entries, top_k_edges, exposure_two_hop, derived_anchor, derived_exposure, merged_exposure, search_stats,
+    edge_rollup, node_flow_totals, flow_concentration, edge_score, adjacency_entries, top_k_edges, exposure_two_hop, derived_anchor, derived_exposure, merged_exposure, derived_path_keys, derived_evidence, search_stats,
     behavior_profile, pattern_flags, top_counterparties, node_degree, degree_histogram, node_control, path_steps, path_predicates, path_facts, account_evidence, verdict_by_depth, related_edges, account_metrics, exposed_by_depth, direct_accounts, payment_exposure,
 )
 
@@ -272,6 +292,7 @@ _DERIVED = f"""{_ANCHORS}, dx as (select b.neighbor as node_key, dw.node_key as
   from dw join adj b on b.node = dw.node_key and b.edge_type = 'SENT_TO' and b.direction = 'reverse' join nm fm on fm.node_key = b.neighbor left join g fg on fg.node = b.neighbor where not list_contains(dw.path, b.neighbor)),
 d as (select node_key, case when suppressed is null then raw else least(raw, 0.029) end as score, depth, source, anchor, code, suppressed from dx
       qualify row_number() over (partition by node_key order by round(case when suppressed is null then raw else least(raw, 0.029) end, 12) desc, anchor) = 1)"""
+_STITCHED = _DERIVED.replace("b.neighbor as node_key, dw", "b.neighbor as node_key, dw.path as apath, weight as w, b.amount as amt, dw").replace("d as (select node_key, case", "d as (select node_key, apath, w, amt, case")
 _INC = "i as (select src as node, dst as other, true as is_from, f.* exclude (src, dst) from f union all select dst, src, false, f.* exclude (src, dst) from f)"
 _PROFILE = f"""{_BASE}, {_INC}, p as (select node as node_key,
   coalesce(sum(amount) filter (edge_type = 'SENT_TO' and is_from), 0) as total_outgoing, coalesce(sum(amount) filter (edge_type = 'SENT_TO' and not is_from), 0) as total_incoming,
@@ -292,7 +313,7 @@ _ALL = lambda l, c: f"len(list_filter({l}, lambda s: not coalesce({c}, false)))
 _CONTROL = _ANY("h", "upper(s.edge_type) in ('OWNS', 'USES_ACCOUNT')")
 _FACTS = f"""x as (select node_key, {_key("source_risk_node")} as source, list_filter(coalesce(best_path, []), lambda s: s is not null) as p from exposure_index),
 y as (select *, p[2:] as h, p[2:len(p) - 1] as mid from x), z as (select *, list_filter(h, lambda s: coalesce(upper(s.edge_type) = 'SENT_TO', false)) as sent from y),
-pf as (select node_key, source, len(h) as n_hops, {_ANY("p", "upper(s.risk_level) = 'SANCTIONED'")} as reaches_sanctioned,
+pf as (select node_key, source, coalesce(p[2].derived_anchor, false)::boolean as derived, 0.0::double as derived_score, false as suppressed, len(h) as n_hops, {_ANY("p", "upper(s.risk_level) = 'SANCTIONED'")} as reaches_sanctioned,
   len(h) > 0 and {_ALL("h", "s.semantic_flow = 'outbound_to_anchor'")} as all_outbound, len(h) > 0 and {_ALL("h", "s.semantic_flow = 'inbound_from_anchor'")} as all_inbound,
   not ({_CONTROL} or {_ANY("h", f"coalesce(s.amount, 0) >= 1000 or coalesce(s.amount, 0) >= 100 and coalesce({_AGE}, 9999) <= 180")}) and len(sent) > 0 and {_ALL("sent", f"coalesce(s.amount, 0) < 100 and coalesce({_AGE}, 9999) > 180")} as old_tiny,
   {_ANY("h", f"datediff('day', try_cast(s.first_seen as date), date '{AS_OF}') <= 30 and datediff('day', try_cast(s.first_seen as date), try_cast(s.last_seen as date)) <= 7 and coalesce(s.amount, 0) >= 10000 and coalesce(s.transaction_count, 0) <= 3")} as abnormal,
@@ -313,7 +334,7 @@ jd as (select node_key, nullif(code, '') as code, base, array_to_string(list_tra
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "path_facts": f"with {_FACTS} select node_key, source, n_hops, reaches_sanctioned, all_outbound, all_inbound, old_tiny, abnormal, proxy, hub, old from pf",
+        "path_facts": f"with {_FACTS} select node_key, source, derived, derived_score, suppressed, n_hops, reaches_sanctioned, all_outbound, all_inbound, old_tiny, abnormal, proxy, hub, old from pf",
         "path_predicates": f"with {_FACTS} select node_key, n_hops, reaches_sanctioned, all_outbound, control_hop, shared_hop, oldest_days from pf where n_nodes > 0",
         "account_evidence": f"with {_JUDGED} select node_key, code, base, further, round(risk, 4) as risk, case when base >= 0.9 then 'CRITICAL' when base >= 0.55 then 'HIGH' when base >= 0.3 then 'MEDIUM' else 'LOW' end as severity, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict from jd",
         "verdict_by_depth": f"with {_JUDGED} select x.best_depth, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict, count(*) as n, round(avg(round(risk, 4)), 6) as avg_risk from exposure_index x join jd using (node_key) group by 1, 2",
@@ -330,6 +351,7 @@ def oracle_sql() -> dict[str, str]:
   from l full join d on l.node_key = d.node_key left join nm z on z.node_key = l.source),
 w as (select *, ls is not null and (ds is null or ld <= 2 and coalesce(lv, '') = 'SANCTIONED' or ls >= ds) as keep from j)
 select node_key, round(case when keep then ls else ds end, 13) as score, case when keep then ld else dd end as depth, case when keep then lo else do_ end as source, case when keep then 'primary' else 'derived' end as origin from w""",
+        "derived_path_keys": f"with {_STITCHED} select node_key, source as source_risk_node, round(score, 13) as score, node_key || '>' || array_to_string(list_reverse(apath), '>') as path, w as weight, code, suppressed, round(amt, 2) as amount from d",
         "search_stats": f"with {_ADJ}, per as (select node, degree, count(*) as kept, count(*) filter (weak) as weak from k group by all) select sum(degree)::bigint as entries, sum(degree - kept)::bigint as truncated, sum(weak)::bigint as weak_kept, count(*) filter (degree > 200) as hubs, (select count(*) from graph_nodes where upper(risk_level) in ('SANCTIONED', 'SUSPICIOUS')) as anchors from per",
         "behavior_profile": f"""with {_PROFILE} select node_key, round(total_outgoing, 2) as total_outgoing, round(total_incoming, 2) as total_incoming, outgoing_tx, incoming_tx, outgoing_counterparties, incoming_counterparties,
   round(largest_outgoing, 2) as largest_outgoing, round(largest_incoming, 2) as largest_incoming, round(max_outgoing_concentration, 6) as max_outgoing_concentration, round(max_incoming_concentration, 6) as max_incoming_concentration,
