@@ -66,10 +66,12 @@ def bootstrap(rows: DataFrame, id_column: str, replicates: int = 300) -> DataFra
     u = (F.pmod(F.xxhash64(id_column, "replicate"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     times = F.lit(0)
     bound, term = 0.0, 0.36787944117144233
-    for k in range(8):
+    k = 0
+    while bound + term < 1 - 0.25 / (1 << 30):  # as many steps as a draw of 30 bits can tell apart
         bound += term
         times = times + F.when(u > bound, 1).otherwise(0)
-        term /= k + 1
+        k += 1
+        term /= k
     c = x.withColumn("times", times).groupBy("replicate", "verdict", "listed").agg(F.sum("times").alias("n"))
     at = lambda c_: F.sum(F.when(c_, F.col("n")).otherwise(0))
     block, bad = F.col("verdict") == "MATCH", F.col("listed")

@@ -230,6 +230,14 @@ def id_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("txn_id", text.norm_id(F.col("raw")).alias("identifier")).join(ids, "identifier").distinct()
 
 
+def id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity numbers as somebody may type them (lower case, cut by hyphens) looked up among the listed ones."""
+    ids = I.identifiers(entities(spark, sf_dir))
+    t = table(spark, sf_dir, "opensanctions_target").select(F.explode("identifiers").alias("raw")).where("raw is not null").distinct()
+    typed = F.lower(F.regexp_replace("raw", "(.{3})", "$1-"))
+    return t.select(typed.alias("typed"), text.norm_id(typed).alias("identifier")).join(ids, "identifier").distinct()
+
+
 def wallet_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "txn_event").where("txn_id is not null").select("txn_id", "wallet").distinct()
     return X.wallet_verdict(t, I.wallets(entities(spark, sf_dir)), table(spark, sf_dir, "exposure_index"))
@@ -252,7 +260,7 @@ def best_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     norm_text, name_tokens, norm_ids, clean_cells, multi_values, latest_entities, variant_explode, token_df, token_idf, exact_name_map, identifier_map, wallet_map, index_size, phonetic_postings,
-    recall_candidates, recall_phonetic, best_variants, pair_features, jaro_winkler_pairs, token_ratios, fallback_screening, screen_payments, payment_exact_stage, query_rarity, payment_risk, risk_thresholds, exact_screening, attribute_agreement, id_screening,
+    recall_candidates, recall_phonetic, best_variants, pair_features, jaro_winkler_pairs, token_ratios, fallback_screening, screen_payments, payment_exact_stage, query_rarity, payment_risk, risk_thresholds, exact_screening, attribute_agreement, id_screening, id_lookup,
     wallet_screening, payment_routing, best_by_query,
 )
 
@@ -339,6 +347,7 @@ union select distinct b.txn_id, 'name', exn.entity_id from byid b join exn on ex
 select distinct txn_id, entity_id, case when qc is null or qc = '' or len(coalesce(countries, [])) = 0 then 0 when list_contains(list_transform(countries, lambda x: lower(trim(x))), qc) then 1 else -1 end as country,
   case when qd is null or length(qd) < 4 or len(ds) = 0 then 0.0 when list_contains(ds, qd) then 1.0 when list_contains(list_transform(ds, lambda d: substring(d, 1, 4)), substring(qd, 1, 4)) then 0.6 else -1.0 end::double as dob, list_has_any(qi, ei)::int as id from z""",
         "id_screening": f"with {_IDS}, t as (select txn_id, {_ID.format(c='raw')} as identifier from (select txn_id, unnest([bene_passport, bene_national_id]) as raw from txn_event where txn_id is not null) where raw <> '') select distinct identifier, txn_id, entity_id from t join ids using (identifier)",
+        "id_lookup": f"with {_IDS}, t as (select distinct lower(regexp_replace(raw, '(.{{3}})', '\\1-', 'g')) as typed from (select unnest(identifiers) as raw from opensanctions_target) where raw is not null) select distinct typed, {_ID.format(c='typed')} as identifier, entity_id from t join ids on ids.identifier = {_ID.format(c='typed')}",
         "wallet_screening": f"""with {_WAL}, t as (select distinct txn_id, wallet as w from txn_event where txn_id is not null and trim(wallet) <> '')
 select txn_id, lower(trim(w)) as wallet, wal.entity_id, x.exposure_score::double as score, case when wal.entity_id is not null or x.best_depth = 0 then 'MATCH' when x.exposure_score::double >= 0.08 then 'REVIEW' else 'NO_MATCH' end as verdict
 from t left join wal on wal.wallet = lower(trim(t.w)) left join exposure_index x on x.node_key = trim(t.w)""",

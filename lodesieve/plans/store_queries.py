@@ -233,6 +233,8 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+_DOSSIER = "v as (select txn_id, case when json_valid(dossier) then dossier::json end as d from pipeline_verdict)"
+_LINES = (("verdict", "d ->> 'combined_verdict'"), ("status", "d ->> 'status'"), ("currency", "d -> 'txn' ->> 'currency'"), ("rail", "d -> 'txn' ->> 'rail'"), ("name", "d -> 'name_result' ->> 'verdict'"), ("exposure", "d -> 'exposure_result' ->> 'verdict'"), ("reasons", "why"))
 _TS = "strftime(({c}) at time zone 'UTC', '%Y-%m-%d %H:%M:%S')"
 _LATEST = "lv as (select txn_id, decided_at, combined_verdict, status, channel, amount from pipeline_verdict where txn_id is not null qualify row_number() over (partition by txn_id order by decided_at desc nulls last, combined_verdict desc nulls last) = 1)"
 _DEC = "dec as (select t.node_key, max(case when v.status = 'blocked' then 2 else 1 end) as d from (select distinct txn_id, trim(bene_account) as node_key from txn_event where trim(bene_account) <> '') t join pipeline_verdict v using (txn_id) where v.status in ('blocked', 'review') group by 1)"
@@ -278,6 +280,16 @@ s as (select unnest(generate_series(min(month), max(month), interval 1 month))::
         "screen_metrics": f"with {_LAB} select channel, round({share('listed', block)}, 4) as block_precision, round({share(block, 'listed')}, 4) as recall, round({share(flag, 'listed')}, 4) as flag_recall, round(100 * {share(block, 'not listed')}, 4) as over_block_rate, round(100 * avg((verdict = 'REVIEW')::int), 4) as review_rate, count(*) as n_rows from lab group by 1",
         "verdict_confusion": f"""with {_LAB} select listed, count(*) filter (verdict = 'MATCH') as "MATCH", count(*) filter (verdict = 'REVIEW') as "REVIEW", count(*) filter (verdict = 'NO_MATCH') as "NO_MATCH" from lab group by 1""",
         "amount_percentiles": "with s as (select channel, list_sort(list(amount)) as l from txn_event where channel is not null and amount is not null group by 1), p as (select unnest([0.5, 0.95, 0.99])::double as p) select channel, p, rule, case when rule = 'floor_n' then l[least(len(l) - 1, floor(len(l) * p))::int + 1] else l[floor((len(l) - 1) * p)::int + 1] end as value from s, p, (select unnest(['floor_n_minus_1', 'floor_n']) as rule)",
+        "calibration_curve": """with p as (select exposure_score::double as prob, contains(reason, 'sanctioned') as listed from exposure_index where exposure_score is not null and reason is not null),
+c as (select quantile_cont(prob, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as cuts from p)
+select len(list_filter(cuts, lambda x: x < prob))::int as bin, round(avg(prob), 6) as mean_prob, round(avg(listed::int), 6) as share_listed, count(*) as n from p, c group by 1""",
+        "combine_verdict": f"""with {_DOSSIER}, m as (select distinct txn_id, module, r ->> 'verdict' as verdict, coalesce((r ->> 'applicable')::boolean, false) as ok, case when json_type(r -> 'reasons') = 'ARRAY' then (r -> 'reasons')::varchar[] else [] end as reasons
+  from (select txn_id, unnest(['exposure', 'name']) as module, unnest([d -> 'exposure_result', d -> 'name_result']) as r from v where txn_id is not null) where json_type(r) = 'OBJECT' and r ->> 'verdict' is not null),
+g as (select txn_id, coalesce(max(case verdict when 'MATCH' then 2 when 'REVIEW' then 1 else 0 end) filter (ok), 0) as k,
+  flatten(list(list_transform(case when ok then reasons else [] end, lambda x: '[' || module || '] ' || x) order by module, list_transform(case when ok then reasons else [] end, lambda x: '[' || module || '] ' || x))) as reasons from m group by 1)
+select txn_id, ['NO_MATCH', 'REVIEW', 'MATCH'][k + 1] as verdict, ['allowed', 'review', 'blocked'][k + 1] as status, array_to_string(reasons, '; ') as reasons from g""",
+        "dossier_context": f"""with {_DOSSIER}, o as (select txn_id, d, case when json_type(d -> 'reasons') = 'ARRAY' then array_to_string((d -> 'reasons')::varchar[], '; ') end as why from v where d ->> 'combined_verdict' is not null)
+select distinct txn_id, array_to_string(list_filter([{", ".join(f"'{label}: ' || nullif({c}, '')" for label, c in _LINES)}], lambda x: x is not null), chr(10)) as context from o""",
         "precision_recall": f"with {_PR} select threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(flagged_share, 6) as flagged_share from cu",
         "choose_thresholds": f"""with {_PR}, h as (select coalesce((select threshold from cu where precision >= 0.95 order by recall desc, threshold desc limit 1), (select threshold from cu order by 1.25 * precision * recall / (0.25 * precision + recall + 1e-9) desc, threshold desc limit 1)) as hi,
   coalesce((select max(threshold) from cu where recall >= 0.93), 0) as safe, coalesce((select min(threshold) from cu where flagged_share <= 0.10), (select max(threshold) from cu) + 1e-9) as queue), l as (select hi, least(greatest(safe, queue), hi) as low from h)

@@ -50,7 +50,7 @@ def stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = I.exact_names(_variants(spark, sf_dir), _persons(spark, sf_dir).select("entity_id", "ord"))
     own = fanin.named(t).select("txn_id", F.lit("txn").alias("module"), F.lit("NO_MATCH").alias("verdict"), F.lit(False).alias("applicable"), F.array().cast("array<string>").alias("reasons"), F.col("received_at").alias("at"))
     parts = own.unionByName(fanin.name_results(_stream(spark, sf_dir, "txn_event"), exact)).unionByName(fanin.exposure_results(_stream(spark, sf_dir, "txn_event"), table(spark, sf_dir, "exposure_index")))
-    return fanin.drain(fanin.fan_in(parts, "60 seconds"), *_place(spark)).select("txn_id", "n_results", "timed_out")
+    return fanin.drain(fanin.fan_in(parts, "60 seconds"), *_place(spark)).select("txn_id", "verdict", "status", "n_results", "timed_out")
 
 
 def stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_first_deliveries": "select channel, count(distinct txn_id) as n_payments from (select txn_id, channel from txn_event where txn_id is not null and trim(txn_id) <> '' qualify row_number() over (partition by txn_id order by received_at) = 1) group by 1",
         "stream_name_results": f"with {_EXACT} select distinct txn_id, 'name' as module, case when ex.entity_id is not null then 'REVIEW' else 'NO_MATCH' end as verdict, coalesce(bene_name, '') <> '' as applicable from txn_event t left join ex on ex.variant_norm = {_norm('t.bene_name')} where txn_id is not null and trim(txn_id) <> ''",
         "stream_exposure_results": f"select distinct txn_id, 'exposure' as module, case when x.best_depth = 0 then 'MATCH' when x.exposure_score::double >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict, {key} is not null as applicable from txn_event t left join exposure_index x on x.node_key = {key} where txn_id is not null and trim(txn_id) <> ''",
-        "stream_fan_in": "select distinct txn_id, 2 as n_results, false as timed_out from txn_event where txn_id is not null and trim(txn_id) <> ''",
+        "stream_fan_in": f"""with {_EXACT}, t as (select * from txn_event where txn_id is not null and trim(txn_id) <> ''),
+r as (select txn_id, 'name' as m, case when ex.entity_id is not null then 1 else 0 end as v, coalesce(bene_name, '') <> '' as ok, received_at from t left join ex on ex.variant_norm = {_norm('t.bene_name')}
+  union all select txn_id, 'exposure', case when x.best_depth = 0 then 2 when x.exposure_score::double >= 0.30 then 1 else 0 end, {key} is not null, received_at from t left join exposure_index x on x.node_key = {key}),
+one as (select * from r qualify row_number() over (partition by txn_id, m order by received_at nulls last, ['NO_MATCH', 'REVIEW', 'MATCH'][v + 1], ok) = 1),
+w as (select txn_id, coalesce(max(v) filter (ok), 0) as v from one group by 1)
+select txn_id, ['NO_MATCH', 'REVIEW', 'MATCH'][v + 1] as verdict, ['allowed', 'review', 'blocked'][v + 1] as status, 2 as n_results, false as timed_out from w""",
         "stream_status_counts": "select status, count(*) as n from pipeline_verdict group by 1",
         "feed_targets": f"select distinct dataset, entity_id, entity_schema, nullif(trim(name), '') as name, nullif(trim(birth_date), '') as birth_date, {n('aliases')}, {n('countries')}, {n('sanctions')}, first_seen from opensanctions_target where entity_id is not null and dataset = 'sanctions'",
         "feed_wallets": "select distinct trim(name) as address, identifiers[1] as currency, entity_id as entity_ref, dataset from opensanctions_target where dataset = 'crypto' and entity_schema = 'CryptoWallet' and name is not null",

@@ -74,7 +74,8 @@ def _verdict(got: dict[str, tuple[str, bool]], timed_out: bool, on_timeout: str)
 
 
 def fan_in(parts: DataFrame, timeout: str = "5 seconds", late: str = "1 hour", on_timeout: str = "allow") -> DataFrame:
-    """Module results (schema RESULT, module 'txn' for the payment itself) joined per payment; emits once."""
+    """Module results (schema RESULT, module 'txn' for the payment itself) joined per payment; emits once. Of several
+    results of a module the earliest counts among those that arrive together, else the one that came first."""
     ms = int(float(timeout.split()[0]) * 1000)
 
     def step(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -94,10 +95,10 @@ def fan_in(parts: DataFrame, timeout: str = "5 seconds", late: str = "1 hour", o
             state.setTimeoutDuration(ms * 10)
             yield pd.DataFrame([(txn, v, s, len(results), True)], columns=["txn_id", "verdict", "status", "n_results", "timed_out"])
             return
-        for pdf in batches:
-            for m, v, ok in zip(pdf["module"], pdf["verdict"], pdf["applicable"], strict=True):
-                if m is not None and m not in got:
-                    got[m] = (v or "NO_MATCH", bool(ok))
+        new = [r for pdf in batches for r in zip(pdf["at"], pdf["verdict"], pdf["applicable"], pdf["module"], strict=True) if r[3] is not None]
+        for _, v, ok, m in sorted(new, key=lambda r: (pd.isna(r[0]), r[0] if not pd.isna(r[0]) else 0, r[1] or "NO_MATCH", bool(r[2]))):
+            if m not in got:
+                got[m] = (v or "NO_MATCH", bool(ok))
         if done:
             state.setTimeoutDuration(ms * 10)
             return
