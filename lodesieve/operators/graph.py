@@ -279,3 +279,35 @@ def related_edges(rolled: DataFrame, targets: DataFrame, k: int = 12) -> DataFra
     found = near.join(e.select("node", "a", "b", "edge_type", "amount"), "node").select("target", "a", "b", "edge_type", "amount").distinct()
     w = W.partitionBy("target").orderBy(F.col("amount").desc(), "edge_type", "a", "b")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", F.col("a").alias("src"), F.col("b").alias("dst"), "edge_type", "amount")
+
+
+def edge_math(exposure: DataFrame, as_of: Column) -> DataFrame:
+    """(node_key, step, edge_type, flow, amount, materiality, concentration, time_decay, multiplier) of every edge of a stored path."""
+    x = exposure.select("node_key", F.posexplode("best_path").alias("step", "s")).where("step > 0 and s is not null")
+    four = lambda c, otherwise=0.0: F.round(F.coalesce(c.cast("double"), F.lit(otherwise)), 4)
+    seen = F.col("s.last_seen").cast("string").try_cast("date")
+    multiplier = F.coalesce(F.nullif(F.col("s.directional_multiplier").cast("double"), F.lit(0.0)), F.lit(1.0))
+    return x.select(
+        "node_key", "step", F.col("s.edge_type").alias("edge_type"), F.col("s.semantic_flow").alias("flow"), four(F.col("s.amount")).alias("amount"), four(F.col("s.flow_materiality_weight")).alias("materiality"),
+        four(F.col("s.flow_concentration")).alias("concentration"), F.round(S.time_decay(seen, as_of), 4).alias("time_decay"), four(multiplier).alias("multiplier"),
+    )
+
+
+def reason_of(exposure: DataFrame, nodes: DataFrame, review: float = 0.30) -> DataFrame:
+    """(node_key, reason): why an account is exposed, in words, from its score, source and path."""
+    level = nodes.select(plain_key(F.col("node_key")).alias("k"), F.lower("risk_level").alias("level")).dropDuplicates(["k"])
+    x = exposure.withColumn("k", plain_key(F.col("source_risk_node"))).join(level, "k", "left")
+    score = F.col("exposure_score").cast("double")
+    kind = F.coalesce("level", F.lit("unknown"))
+    hops = F.coalesce(F.array_join(F.transform(F.filter(F.slice("best_path", 2, F.greatest(F.size("best_path") - 1, F.lit(0))), lambda s: s.isNotNull()), lambda s: s["edge_type"]), " -> "), F.lit(""))
+    far = F.concat(F.when(score >= review, "REVIEW").otherwise("NO_MATCH"), F.lit(" exposure from "), kind, F.lit(" anchor "), F.coalesce("k", F.lit("")), F.lit(" at depth "), F.col("best_depth").cast("string"), F.lit(" via "), F.when(hops == "", "anchor").otherwise(hops), F.lit(" (score "), F.format_number(F.round(score, 3), 3), F.lit(")"))
+    return x.where("exposure_score is not null and best_depth is not null").select("node_key", F.when((F.col("best_depth") == 0) & (kind == "sanctioned"), F.lit("direct sanctioned account anchor")).when(F.col("best_depth") == 0, F.concat(kind, F.lit(" anchor node"))).otherwise(far).alias("reason"))
+
+
+def account_pool(exposure: DataFrame, nodes: DataFrame, per_depth: int = 4000) -> DataFrame:
+    """(node_key, depth, rank): the accounts most exposed to a sanctioned source, up to ``per_depth`` of each depth: the pool
+    that payments are drawn from. Ranks come from a window that Spark cuts to the limit before the shuffle."""
+    level = nodes.select(plain_key(F.col("node_key")).alias("k"), F.upper("risk_level").alias("level")).where("level = 'SANCTIONED'").select("k").distinct()
+    x = exposure.withColumn("k", plain_key(F.col("source_risk_node"))).join(level, "k", "left_semi").select("node_key", F.col("best_depth").alias("depth"), F.col("exposure_score").cast("double").alias("score"))
+    w = W.partitionBy("depth").orderBy(F.col("score").desc(), "node_key")
+    return x.where("depth is not null and score is not null").distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_depth).select("node_key", "depth", "rank")

@@ -22,6 +22,22 @@ def screening_metrics(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def dangerous_misses(rows: DataFrame, *by: str) -> DataFrame:
+    """Of listed rows the percentage that is let through, beside precision over all blocks and recall by blocks alone."""
+    block, bad, free = F.col("verdict") == "MATCH", F.col("listed"), F.col("verdict") == "NO_MATCH"
+    return rows.groupBy(*by).agg(share(bad, block).alias("block_precision"), share(block, bad).alias("recall_autoblock"), (100 * share(free, bad)).alias("dangerous_miss_pct"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def against_expected(rows: DataFrame, by: str) -> DataFrame:
+    """Accuracy, misses of what should be stopped, friction for what shouldn't, and reviews, per value of ``by`` and over all
+    (``by`` null). ``rows``: (expected, predicted)."""
+    e, p = F.col("expected"), F.col("predicted")
+    risky, clean = e.isin("MATCH", "REVIEW"), e == "NO_MATCH"
+    return rows.rollup(by).agg(
+        F.avg((e == p).cast("double")).alias("accuracy"), share(p == "NO_MATCH", risky).alias("dangerous_miss_rate"), share(p != "NO_MATCH", clean).alias("friction_rate"), F.avg((p == "REVIEW").cast("double")).alias("review_rate"), F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
 def confusion(rows: DataFrame, actual: str, predicted: str, values: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(actual).pivot(predicted, list(values)).count().fillna(0, list(values))
 

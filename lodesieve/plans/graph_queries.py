@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..operators import evidence as V
 from ..operators import graph as G
+from ..operators import metrics as M
 from ..operators.orphan_refs import plain_key
 from ..session import cut, table
 
@@ -98,6 +99,34 @@ def derived_path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("node_key", "source_risk_node", F.round("exposure_score", 13).alias("score"), F.array_join(F.col("best_path.node_key"), ">").alias("path"), a["derived_anchor_score"].alias("weight"), a["derived_anchor_reason_code"].alias("code"), a["derived_suppression_reason"].alias("suppressed"), F.round(a["amount"], 2).alias("amount"))
 
 
+def edge_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.edge_math(table(spark, sf_dir, "exposure_index"), _day()).distinct()
+
+
+def exposure_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.reason_of(table(spark, sf_dir, "exposure_index"), table(spark, sf_dir, "graph_nodes")).distinct()
+
+
+def account_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.account_pool(table(spark, sf_dir, "exposure_index"), table(spark, sf_dir, "graph_nodes"))
+
+
+def trigger_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reason codes of an account, the primary one first, each once, in order."""
+    v = account_evidence(spark, sf_dir)
+    codes = F.array_distinct(F.filter(F.concat(F.array("code"), F.split("further", ",")), lambda c: c.isNotNull() & (c != "")))
+    return v.select("node_key", F.array_join(codes, ">").alias("codes"), F.size(codes).alias("n_codes"))
+
+
+def accuracy_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts from evidence against what the stored score alone would give, per depth and over all."""
+    v = account_evidence(spark, sf_dir).select("node_key", F.col("verdict").alias("predicted"))
+    x = table(spark, sf_dir, "exposure_index").where("exposure_score is not null and best_depth is not null")
+    want = F.when(F.col("best_depth") == 0, "MATCH").when(F.col("exposure_score").cast("double") >= 0.30, "REVIEW").otherwise("NO_MATCH")
+    m = M.against_expected(x.select("node_key", F.col("best_depth").alias("depth"), want.alias("expected")).join(v, "node_key"), "depth")
+    return m.withColumns({c: F.round(c, 6) for c in ("accuracy", "dangerous_miss_rate", "friction_rate", "review_rate")})
+
+
 def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of the search: entries, truncated and weak ones, hubs, anchors."""
     nodes = table(spark, sf_dir, "graph_nodes")
@@ -213,7 +242,7 @@ def payment_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    edge_rollup, node_flow_totals, flow_concentration, edge_score, adjacency_entries, top_k_edges, exposure_two_hop, derived_anchor, derived_exposure, merged_exposure, derived_path_keys, derived_evidence, search_stats,
+    edge_rollup, node_flow_totals, flow_concentration, edge_score, adjacency_entries, top_k_edges, exposure_two_hop, derived_anchor, derived_exposure, merged_exposure, derived_path_keys, derived_evidence, edge_math, exposure_reason, account_pool, trigger_codes, accuracy_by_depth, search_stats,
     behavior_profile, pattern_flags, top_counterparties, node_degree, degree_histogram, node_control, path_steps, path_predicates, path_facts, account_evidence, verdict_by_depth, related_edges, account_metrics, exposed_by_depth, direct_accounts, payment_exposure,
 )
 
@@ -336,6 +365,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "path_facts": f"with {_FACTS} select node_key, source, derived, derived_score, suppressed, n_hops, reaches_sanctioned, all_outbound, all_inbound, old_tiny, abnormal, proxy, hub, old from pf",
         "path_predicates": f"with {_FACTS} select node_key, n_hops, reaches_sanctioned, all_outbound, control_hop, shared_hop, oldest_days from pf where n_nodes > 0",
+        "trigger_codes": f"""with {_JUDGED}, tc as (select node_key, case when code = '' then null else code end as code, string_split(further, ',') as more from jd),
+tu as (select node_key, list_filter(list_concat([code], more), lambda c: c is not null and c <> '') as l from tc),
+td as (select node_key, list_filter(l, lambda c, i: list_position(l, c) = i) as l from tu)
+select node_key, array_to_string(l, '>') as codes, len(l)::int as n_codes from td""",
+        "accuracy_by_depth": f"""with {_JUDGED}, ae as (select x.best_depth as depth, case when x.best_depth = 0 then 'MATCH' when x.exposure_score::double >= 0.30 then 'REVIEW' else 'NO_MATCH' end as e, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as p
+  from exposure_index x join jd using (node_key) where x.exposure_score is not null and x.best_depth is not null)
+select depth, round(avg((e = p)::int), 6) as accuracy, round(coalesce(avg((p = 'NO_MATCH')::int) filter (e <> 'NO_MATCH'), 0), 6) as dangerous_miss_rate, round(coalesce(avg((p <> 'NO_MATCH')::int) filter (e = 'NO_MATCH'), 0), 6) as friction_rate, round(avg((p = 'REVIEW')::int), 6) as review_rate, count(*) as n_rows
+from ae group by rollup (depth)""",
         "account_evidence": f"with {_JUDGED} select node_key, code, base, further, round(risk, 4) as risk, case when base >= 0.9 then 'CRITICAL' when base >= 0.55 then 'HIGH' when base >= 0.3 then 'MEDIUM' else 'LOW' end as severity, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict from jd",
         "verdict_by_depth": f"with {_JUDGED} select x.best_depth, case when direct then 'MATCH' when round(risk, 9) >= 0.30 then 'REVIEW' else 'NO_MATCH' end as verdict, count(*) as n, round(avg(round(risk, 4)), 6) as avg_risk from exposure_index x join jd using (node_key) group by 1, 2",
         "edge_rollup": f"with {_BASE} select src, dst, edge_type, round(amount, 2) as amount, transaction_count, first_seen::varchar as first_seen, last_seen::varchar as last_seen, round(confidence, 4) as confidence from r",
@@ -352,6 +389,16 @@ def oracle_sql() -> dict[str, str]:
 w as (select *, ls is not null and (ds is null or ld <= 2 and coalesce(lv, '') = 'SANCTIONED' or ls >= ds) as keep from j)
 select node_key, round(case when keep then ls else ds end, 13) as score, case when keep then ld else dd end as depth, case when keep then lo else do_ end as source, case when keep then 'primary' else 'derived' end as origin from w""",
         "derived_path_keys": f"with {_STITCHED} select node_key, source as source_risk_node, round(score, 13) as score, node_key || '>' || array_to_string(list_reverse(apath), '>') as path, w as weight, code, suppressed, round(amt, 2) as amount from d",
+        "edge_math": f"""with x as (select node_key, unnest(best_path) as s, unnest(range(len(best_path))) as step from exposure_index)
+select distinct node_key, step::int as step, s.edge_type as edge_type, s.semantic_flow as flow, round(coalesce(s.amount::double, 0), 4) as amount, round(coalesce(s.flow_materiality_weight::double, 0), 4) as materiality, round(coalesce(s.flow_concentration::double, 0), 4) as concentration,
+  round({_DECAY.format(c="try_cast(s.last_seen as date)")}, 4) as time_decay, round(coalesce(nullif(s.directional_multiplier::double, 0), 1), 4) as multiplier from x where step > 0 and s is not null""",
+        "exposure_reason": f"""with n as (select {_key("node_key")} as k, any_value(lower(risk_level)) as level from graph_nodes group by 1),
+x as (select e.*, {_key("source_risk_node")} as k, array_to_string(list_transform(list_filter(coalesce(best_path, [])[2:], lambda s: s is not null), lambda s: s.edge_type), ' -> ') as hops from exposure_index e where exposure_score is not null and best_depth is not null)
+select distinct node_key, case when best_depth = 0 and coalesce(level, 'unknown') = 'sanctioned' then 'direct sanctioned account anchor' when best_depth = 0 then coalesce(level, 'unknown') || ' anchor node'
+  else case when exposure_score::double >= 0.30 then 'REVIEW' else 'NO_MATCH' end || ' exposure from ' || coalesce(level, 'unknown') || ' anchor ' || coalesce(x.k, '') || ' at depth ' || best_depth || ' via ' || case when hops = '' then 'anchor' else hops end || ' (score ' || printf('%.3f', round(exposure_score::double, 3)) || ')' end as reason
+from x left join n on n.k = x.k""",
+        "account_pool": f"""with n as (select distinct {_key("node_key")} as k from graph_nodes where upper(risk_level) = 'SANCTIONED')
+select node_key, depth, row_number() over (partition by depth order by score desc, node_key) as rank from (select distinct node_key, best_depth as depth, exposure_score::double as score from exposure_index where {_key("source_risk_node")} in (select k from n) and best_depth is not null and exposure_score is not null) qualify rank <= 4000""",
         "search_stats": f"with {_ADJ}, per as (select node, degree, count(*) as kept, count(*) filter (weak) as weak from k group by all) select sum(degree)::bigint as entries, sum(degree - kept)::bigint as truncated, sum(weak)::bigint as weak_kept, count(*) filter (degree > 200) as hubs, (select count(*) from graph_nodes where upper(risk_level) in ('SANCTIONED', 'SUSPICIOUS')) as anchors from per",
         "behavior_profile": f"""with {_PROFILE} select node_key, round(total_outgoing, 2) as total_outgoing, round(total_incoming, 2) as total_incoming, outgoing_tx, incoming_tx, outgoing_counterparties, incoming_counterparties,
   round(largest_outgoing, 2) as largest_outgoing, round(largest_incoming, 2) as largest_incoming, round(max_outgoing_concentration, 6) as max_outgoing_concentration, round(max_incoming_concentration, 6) as max_incoming_concentration,

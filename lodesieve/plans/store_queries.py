@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import screening as X
 from ..operators import store as S
-from ..session import table
+from ..session import shared_folder, table
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +225,68 @@ def dossier_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("txn_id", F.concat_ws("\n", line("verdict", F.col("d.combined_verdict")), line("status", F.col("d.status")), line("currency", F.col("d.txn.currency")), line("rail", F.col("d.txn.rail")), line("name", F.col("d.name_result.verdict")), line("exposure", F.col("d.exposure_result.verdict")), line("reasons", F.array_join("d.reasons", "; "))).alias("context")).distinct()
 
 
+def miss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.dangerous_misses(_labelled(spark, sf_dir), "channel")
+    return m.withColumns({c: F.round(c, 4) for c in ("block_precision", "recall_autoblock", "dangerous_miss_pct")})
+
+
+def decision_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysts' decisions on reviewed payments: an earlier one per payment, replaced where a second look came later."""
+    v = S.latest_per_key(_verdicts(spark, sf_dir).select("txn_id", "decided_at", "status", "amount"), "txn_id", ["decided_at", "status", "amount"]).where("status = 'review'")
+    row = lambda hours, decision, who: v.select("txn_id", decision.alias("decision"), F.lit(who).alias("analyst"), (F.col("decided_at") + F.expr(f"interval {hours} hours")).alias("at"))
+    first = row(1, F.lit("escalate"), "desk1")
+    again = row(5, F.when(F.col("amount") >= 1000, "block").otherwise("release"), "desk2").where("pmod(length(txn_id) + ascii(substr(txn_id, -1)), 2) = 0")
+    return S.upsert(first, again, "txn_id", ["at"]).withColumn("at", _stamp("at"))
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> str:
+    """A store in which every dataset was loaded in part, then in full, and a third load of one failed half-way."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    t = table(spark, sf_dir, "opensanctions_target").where("entity_id is not null")
+    rows = t.select("dataset", "entity_id", F.trim("name").alias("name"), "entity_schema").distinct()
+    keys = t.select("dataset", "entity_id").distinct()
+
+    def broken() -> DataFrame:
+        raise ValueError("the feed ended early")
+
+    for d in ("sanctions", "peps", "crypto"):
+        mine, ks = rows.where(F.col("dataset") == d), keys.where(F.col("dataset") == d)
+        L.run(spark, root, d, {"entities": lambda m=mine: m.limit(10), "entity_keys": lambda k=ks: k.limit(10)})
+        L.run(spark, root, d, {"entities": lambda m=mine: m, "entity_keys": lambda k=ks: k})
+    try:
+        L.run(spark, root, "peps", {"entities": lambda: rows.limit(1), "entity_keys": broken})
+    except ValueError:
+        pass
+    return root
+
+
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers see after loads of several tables of which one failed: the last whole one of each source."""
+    root = _ledger(spark, sf_dir)
+    e = L.read(spark, root, "entities").select("source", "entity_id", "name", "entity_schema", "ingest_run_id")
+    k = L.read(spark, root, "entity_keys").select("source", "entity_id", F.col("ingest_run_id").alias("k_run"))
+    return e.join(k, ["source", "entity_id"]).select("source", "entity_id", "name", "entity_schema", (F.col("ingest_run_id") == F.col("k_run")).alias("one_run"))
+
+
+def ledger_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log of the same loads: runs, outcomes, rows written and errors per source."""
+    g = L.log(spark, _ledger(spark, sf_dir)).groupBy("source")
+    return g.agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "fail").alias("n_failed"), F.max("row_count").alias("most_rows"), F.max("error").alias("error"))
+
+
+def exposure_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure rows written in two loads, the second over the first, through the store."""
+    root = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    x = table(spark, sf_dir, "exposure_index").where("node_key is not null").select("node_key", F.col("exposure_score").cast("double").alias("score"), "best_depth", "computed_at")
+    order = ["computed_at", "score", "best_depth"]
+    L.run(spark, root, "exposure", {"exposure": lambda: L.upsert_load(None, x.where("best_depth <= 1"), "node_key", order, reset=True)})
+    new = x.where("best_depth >= 1").withColumn("score", F.col("score") / 2)
+    L.run(spark, root, "exposure", {"exposure": lambda: L.upsert_load(L.read(spark, root, "exposure"), new, "node_key", order)})
+    return L.read(spark, root, "exposure").select("node_key", F.round("score", 6).alias("score"), "best_depth")
+
+
 QUERIES = (
-    latest_verdict, verdict_upsert, status_counts, channel_verdict_counts, review_queue, verdict_page, node_risk_upsert, flagged_count, scoped_refresh, ingest_audit, ingest_totals, rows_per_run, entity_load, wallet_load,
+    miss_metrics, decision_upsert, ledger_rows, ledger_audit, exposure_upsert, latest_verdict, verdict_upsert, status_counts, channel_verdict_counts, review_queue, verdict_page, node_risk_upsert, flagged_count, scoped_refresh, ingest_audit, ingest_totals, rows_per_run, entity_load, wallet_load,
     all_entities, wallet_currencies, schema_counts, country_counts, name_token_counts, alias_share, most_aliased, first_seen_monthly, name_profile, screen_metrics, verdict_confusion, bootstrap_ci, amount_percentiles,
     precision_recall, choose_thresholds, calibration_curve, combine_verdict, dossier_context,
 )
@@ -280,6 +343,17 @@ s as (select unnest(generate_series(min(month), max(month), interval 1 month))::
         "screen_metrics": f"with {_LAB} select channel, round({share('listed', block)}, 4) as block_precision, round({share(block, 'listed')}, 4) as recall, round({share(flag, 'listed')}, 4) as flag_recall, round(100 * {share(block, 'not listed')}, 4) as over_block_rate, round(100 * avg((verdict = 'REVIEW')::int), 4) as review_rate, count(*) as n_rows from lab group by 1",
         "verdict_confusion": f"""with {_LAB} select listed, count(*) filter (verdict = 'MATCH') as "MATCH", count(*) filter (verdict = 'REVIEW') as "REVIEW", count(*) filter (verdict = 'NO_MATCH') as "NO_MATCH" from lab group by 1""",
         "amount_percentiles": "with s as (select channel, list_sort(list(amount)) as l from txn_event where channel is not null and amount is not null group by 1), p as (select unnest([0.5, 0.95, 0.99])::double as p) select channel, p, rule, case when rule = 'floor_n' then l[least(len(l) - 1, floor(len(l) * p))::int + 1] else l[floor((len(l) - 1) * p)::int + 1] end as value from s, p, (select unnest(['floor_n_minus_1', 'floor_n']) as rule)",
+        "miss_metrics": f"with {_LAB} select channel, round({share('listed', block)}, 4) as block_precision, round({share(block, 'listed')}, 4) as recall_autoblock, round(100 * {share("verdict = 'NO_MATCH'", 'listed')}, 4) as dangerous_miss_pct, count(*) as n_rows from lab group by 1",
+        "decision_upsert": f"""with v as (select txn_id, decided_at, status, amount from pipeline_verdict where txn_id is not null qualify row_number() over (partition by txn_id order by decided_at desc nulls last, status desc nulls last, amount desc nulls last) = 1)
+select txn_id, case when twice then case when amount >= 1000 then 'block' else 'release' end else 'escalate' end as decision, case when twice then 'desk2' else 'desk1' end as analyst, {_TS.format(c="decided_at + case when twice then interval 5 hours else interval 1 hour end")} as at
+from (select *, (length(txn_id) + ascii(right(txn_id, 1))) % 2 = 0 as twice from v where status = 'review')""",
+        "ledger_rows": "select distinct dataset as source, entity_id, trim(name) as name, entity_schema, true as one_run from opensanctions_target where entity_id is not null and dataset in ('sanctions', 'peps', 'crypto')",
+        "ledger_audit": """with r as (select dataset, count(*) as n from (select distinct dataset, entity_id, trim(name), entity_schema from opensanctions_target where entity_id is not null) group by 1), k as (select dataset, count(distinct entity_id) as n from opensanctions_target group by 1)
+select dataset as source, case when dataset = 'peps' then 3 else 2 end as n_runs, 2 as n_ok, case when dataset = 'peps' then 1 else 0 end as n_failed, greatest(r.n + k.n, least(r.n, 10) + least(k.n, 10)) as most_rows, case when dataset = 'peps' then 'the feed ended early' end as error from r join k using (dataset) where dataset in ('sanctions', 'peps', 'crypto')""",
+        "exposure_upsert": """with x as (select node_key, exposure_score::double as score, best_depth, computed_at from exposure_index where node_key is not null),
+a as (select * from x where best_depth <= 1 qualify row_number() over (partition by node_key order by computed_at desc nulls last, score desc nulls last, best_depth desc nulls last) = 1),
+b as (select node_key, score / 2 as score, best_depth from x where best_depth >= 1 qualify row_number() over (partition by node_key order by computed_at desc nulls last, score desc nulls last, best_depth desc nulls last) = 1)
+select coalesce(b.node_key, a.node_key) as node_key, round(case when b.node_key is not null then b.score else a.score end, 6) as score, case when b.node_key is not null then b.best_depth else a.best_depth end as best_depth from a full join b on a.node_key = b.node_key""",
         "calibration_curve": """with p as (select exposure_score::double as prob, contains(reason, 'sanctioned') as listed from exposure_index where exposure_score is not null and reason is not null),
 c as (select quantile_cont(prob, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as cuts from p)
 select len(list_filter(cuts, lambda x: x < prob))::int as bin, round(avg(prob), 6) as mean_prob, round(avg(listed::int), 6) as share_listed, count(*) as n from p, c group by 1""",
