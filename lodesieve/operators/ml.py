@@ -6,11 +6,12 @@ import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
@@ -67,11 +68,14 @@ def with_features(pairs: DataFrame) -> DataFrame:
 
 
 def fit(train: DataFrame, kind: str = "logistic", columns: Sequence[str] = FEATURES) -> PipelineModel:
-    """Scaled, class-balanced logistic regression, or boosted trees."""
+    """Scaled, class-balanced logistic regression, boosted trees, or a forest."""
     share = train.agg(F.avg("label").alias("p")).first().p or 0.5
     weighted = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
     stages = [VectorAssembler(inputCols=list(columns), outputCol="raw_features", handleInvalid="keep"), StandardScaler(inputCol="raw_features", outputCol="features")]
-    last = LogisticRegression(labelCol="label", weightCol="weight", maxIter=30) if kind == "logistic" else GBTClassifier(labelCol="label", weightCol="weight", maxIter=15, maxDepth=4, seed=7)
+    last = {
+        "logistic": lambda: LogisticRegression(labelCol="label", weightCol="weight", maxIter=30), "trees": lambda: GBTClassifier(labelCol="label", weightCol="weight", maxIter=15, maxDepth=4, seed=7),
+        "forest": lambda: RandomForestClassifier(labelCol="label", weightCol="weight", numTrees=30, maxDepth=6, seed=7),
+    }[kind]()
     return Pipeline(stages=[*stages, last]).fit(weighted)
 
 
@@ -97,3 +101,71 @@ def save(model: PipelineModel, path: str, facts: dict) -> None:
 
 def load(spark, path: str) -> tuple[PipelineModel, dict]:
     return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/facts").first().value)
+
+
+# ---- training of the payment model on all features of a pair
+
+
+def training_queries(vs: DataFrame, entities: DataFrame, df: DataFrame, seed: int = 7) -> DataFrame:
+    """(owner, kind, query_norm, country): what payers might type.
+
+    ``alias``: an alias of the owner; ``slip``: a misspelt variant of it; ``bait``: two usual words of different names, which
+    collide with many entities and denote none; ``clean``: the first word of one name with the last of another. Countries
+    are the owner's for part of the positives, anything or nothing for the rest, so that a country is no gate. Everything is
+    chosen by hashes of the keys, so a repetition gives the same rows."""
+    h = lambda *s: F.pmod(F.xxhash64("entity_id", *[F.lit(x) for x in s], F.lit(seed)), F.lit(1000))
+    own = entities.select("entity_id", F.try_element_at(F.coalesce("countries", F.array().cast("array<string>")), F.lit(1)).alias("own"))
+    pool = F.array(*[F.lit(c) for c in ("us", "gb", "de", "fr", "ng", "in", "br", "jp", "ae", "sg", "za", "mx")])
+    any_ = F.element_at(pool, (F.pmod(F.xxhash64("entity_id", F.lit("c"), F.lit(seed)), F.lit(12)) + 1).cast("int"))
+    country = F.when(F.col("own").isNotNull() & (h("p") < 450), F.col("own")).when(h("p") < 850, any_).otherwise(F.lit(""))
+    pick = lambda where, salt: vs.where(where).groupBy("entity_id").agg(F.min_by("variant_norm", F.xxhash64("variant_norm", F.lit(salt), F.lit(seed))).alias("v"))
+    alias = pick("not is_primary", "a").select("entity_id", F.lit("alias").alias("kind"), F.col("v").alias("query_norm"))
+    slip = pick("true", "s").select("entity_id", F.lit("slip").alias("kind"), noisy("v", seed, "entity_id").alias("query_norm"))
+    pos = alias.unionByName(slip).join(own, "entity_id").select(F.col("entity_id").alias("owner"), "kind", "query_norm", country.alias("country"))
+    # thirty usual words, each beside another: a bounded list
+    usual = df.orderBy(F.col("df").desc(), "token").limit(30).withColumn("i", F.row_number().over(W.orderBy(F.col("df").desc(), "token")))
+    other = usual.select(F.col("token").alias("second"), (F.pmod(F.col("i") * 7 + 3, F.lit(30)) + 1).alias("i"))
+    bait = usual.join(other, "i").where("token <> second").select(F.lit(None).cast("string").alias("owner"), F.lit("bait").alias("kind"), F.concat_ws(" ", "token", "second").alias("query_norm"), F.lit("us").alias("country"))
+    names = vs.where("is_primary").select("entity_id", F.split("variant_norm", " ").alias("w")).where("size(w) > 1")
+    n = max(1, names.count())
+    slot = lambda s: F.pmod(F.xxhash64("entity_id", F.lit(s), F.lit(seed)), F.lit(n))
+    a = names.where(h("e") < 400).select(F.col("entity_id").alias("x"), F.element_at("w", 1).alias("first"), slot("l").alias("slot"))
+    b = names.select(F.col("entity_id").alias("y"), F.element_at("w", -1).alias("last"), slot("r").alias("slot"))
+    clean = a.join(b, "slot").where("x <> y").select(F.lit(None).cast("string").alias("owner"), F.lit("clean").alias("kind"), F.concat_ws(" ", "first", "last").alias("query_norm"), F.lit("de").alias("country"))
+    return pos.unionByName(bait).unionByName(clean).where("query_norm <> ''").distinct()
+
+
+def labelled(queries: DataFrame, hits: DataFrame, seed: int = 7) -> DataFrame:
+    """(owner, kind, query_norm, country, entity_id, rank, label): the owner as positive; of the entities recalled for the same
+    spelling the first other one as hard negative, the first six for bait, and one of the first four for clean names."""
+    j = queries.join(hits, "query_norm")
+    hard = j.where("owner is not null and kind = 'slip' and entity_id <> owner").groupBy("owner", "kind", "query_norm", "country").agg(F.min_by(F.struct("entity_id", "rank"), "rank").alias("b")).select("owner", "kind", "query_norm", "country", "b.*")
+    bait = j.where("kind = 'bait' and rank <= 6").select(*hard.columns)
+    clean = j.where("kind = 'clean' and rank <= 4").groupBy("owner", "kind", "query_norm", "country").agg(F.min_by(F.struct("entity_id", "rank"), F.xxhash64("entity_id", F.lit(seed))).alias("b")).select("owner", "kind", "query_norm", "country", "b.*")
+    pos = queries.where("owner is not null").select("owner", "kind", "query_norm", "country", F.col("owner").alias("entity_id"), F.lit(1).alias("rank"), F.lit(1).alias("label"))
+    return pos.unionByName(hard.unionByName(bait).unionByName(clean).withColumn("label", F.lit(0)))
+
+
+MEMBERS = ("logistic", "trees", "forest")
+
+
+def fit_members(rows: DataFrame, columns: Sequence[str]) -> dict:
+    """Three members, each fitted on three parts of the keys and calibrated on the fourth. ``rows``: columns, label, part."""
+    train, held = rows.where("part > 0"), rows.where("part = 0")
+    out = {}
+    for kind in MEMBERS:
+        model = fit(train, kind, columns)
+        out[kind] = (model, calibrator(scores(model, held, kind), kind))
+    return out
+
+
+def vote_with(members: dict):
+    """A function that adds ``prob``, the mean of the calibrated members."""
+
+    def vote(rows: DataFrame) -> DataFrame:
+        out = rows
+        for kind, (model, cal) in members.items():
+            out = cal.transform(scores(model, out, kind))
+        return soft_vote(out, [f"{k}_calibrated" for k in members]).drop(*members, *[f"{k}_calibrated" for k in members])
+
+    return vote

@@ -46,7 +46,7 @@ def test_stages(spark):
 
 
 def test_risk_lowers_the_thresholds(spark):
-    name = "Josef Peamettburg"
+    name = "Josif Peamettburg"
     calm, risky = (screened(spark, pay("t", name, amount=a, rail=r))["t"] for a, r in ((10.0, "card"), (900_000.0, "SWIFT")))
     assert calm.score == risky.score and risky.risk > calm.risk and calm.verdict == "NO_MATCH" and risky.verdict == "REVIEW"
 
