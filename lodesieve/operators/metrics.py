@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole of counted rows, 0 if there is no whole."""
@@ -42,25 +46,50 @@ def confusion(rows: DataFrame, actual: str, predicted: str, values: tuple[str, .
     return rows.groupBy(actual).pivot(predicted, list(values)).count().fillna(0, list(values))
 
 
+def running_sums(rows: DataFrame, values: Sequence[str], order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """rows plus ``upto_<value>``: sums over all rows before and including a row in the order, within ``by``.
+
+    No window over everything: rows are partitioned by ranges of (by, order), summed within each range, and the sums of the
+    ranges before are added. One row per range is what is joined back; the table fixes the ranges."""
+    keys = [F.col(c) for c in by] + list(order)
+    r = cut(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    inside = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(*(by or (F.lit(1),))).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = r.groupBy("_range", *by).agg(*[F.sum(v).alias(f"_{v}") for v in values])  # one row per range and group
+    offsets = sums.select("_range", *by, *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    out = r.withColumns({f"upto_{v}": F.sum(v).over(inside) for v in values}).join(offsets, ["_range", *by])
+    return out.select(*rows.columns, *[(F.col(f"upto_{v}") + F.col(f"_{v}")).alias(f"upto_{v}") for v in values])
+
+
 def index_percentile(values: DataFrame, column: str, p: float, by: str, rule: str = "floor_n_minus_1") -> DataFrame:
     """(by, value): the element at int((n - 1) p), or with rule ``floor_n`` at min(n - 1, int(n p)), in sorted order.
 
-    Found by ranks from counts per distinct value, so a group is never collected."""
+    Found by ranks from counts per distinct value, so a group is never collected nor sorted in one task."""
     c = values.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(by).orderBy("v")
-    r = c.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy(by)))
+    r = running_sums(c, ["n"], [F.col("v")], [by]).join(c.groupBy(by).agg(F.sum("n").alias("total")), by)
     at = F.floor((F.col("total") - 1) * p) if rule == "floor_n_minus_1" else F.least(F.col("total") - 1, F.floor(F.col("total") * p))
-    return r.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select(by, F.col("v").alias("value"))
+    return r.where((F.col("upto_n") > at) & (F.col("upto_n") - F.col("n") <= at)).select(by, F.col("v").alias("value"))
+
+
+def quantiles(values: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row with the array ``cuts``: exact quantiles, interpolated between neighbours, from running counts per value."""
+    c = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    r = running_sums(c, ["n"], [F.col("v")]).crossJoin(F.broadcast(c.agg(F.sum("n").alias("total"))))  # one row
+
+    def at(s: float) -> Column:
+        place = (F.col("total") - 1) * s
+        low, high = (F.min(F.when(F.col("upto_n") > f(place), F.col("v"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return r.agg(F.array(*[at(s) for s in shares]).alias("cuts"))
 
 
 def precision_recall(rows: DataFrame) -> DataFrame:
-    """(threshold, precision, recall, flagged_share) at every distinct probability. Rows are first counted per value, so
-    the running sums see one row per distinct probability."""
+    """(threshold, precision, recall, flagged_share) at every distinct probability, from running counts per value."""
     c = rows.groupBy(F.col("prob").alias("threshold")).agg(F.count(F.lit(1)).alias("n"), F.count_if("listed").alias("tp"))
-    w = W.orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0)
     whole = c.agg(F.sum("n").alias("all_n"), F.sum("tp").alias("all_tp"))
-    r = c.select("threshold", F.sum("n").over(w).alias("n"), F.sum("tp").over(w).alias("tp")).crossJoin(F.broadcast(whole))  # one row
-    return r.select("threshold", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.greatest("all_tp", F.lit(1))).alias("recall"), (F.col("n") / F.col("all_n")).alias("flagged_share"))
+    r = running_sums(c, ["n", "tp"], [F.col("threshold").desc()]).crossJoin(F.broadcast(whole))  # one row
+    return r.select("threshold", (F.col("upto_tp") / F.col("upto_n")).alias("precision"), (F.col("upto_tp") / F.greatest("all_tp", F.lit(1))).alias("recall"), (F.col("upto_n") / F.col("all_n")).alias("flagged_share"))
 
 
 def choose_thresholds(curve: DataFrame, precision: float = 0.95, recall: float = 0.93, budget: float = 0.10) -> DataFrame:
@@ -99,7 +128,7 @@ def interval(replicates: DataFrame, metric: str) -> DataFrame:
 
 
 def calibration_curve(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """(bin, mean_prob, share_listed, n) over equally filled bins; bounds come from exact percentiles, not from a global sort."""
-    cuts = rows.agg(F.percentile("prob", F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("cuts"))
+    """(bin, mean_prob, share_listed, n) over equally filled bins; their bounds are exact quantiles."""
+    cuts = quantiles(rows, "prob", [i / bins for i in range(1, bins)])
     x = rows.crossJoin(F.broadcast(cuts)).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("prob"))))  # one row of cuts
     return x.groupBy("bin").agg(F.avg("prob").alias("mean_prob"), F.avg(F.col("listed").cast("double")).alias("share_listed"), F.count(F.lit(1)).alias("n"))
