@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sim
 from ..functions import text
-from ..session import cut
+from ..session import cut, spread
 from . import index as I
 from . import screening as X
 
@@ -85,7 +85,8 @@ def string_features(pairs: DataFrame, queries: DataFrame, listed: DataFrame, def
                 ))
             yield pd.DataFrame(out, columns=[f.split()[0] for f in _STRINGS.split(", ")]).astype({"variant_ord": "Int32"})
 
-    sides = pairs.select("query_norm", "entity_id").join(queries, "query_norm").join(listed.select("entity_id", "variants", "raws"), "entity_id")
+    pairs = cut(pairs.select("query_norm", "entity_id"))
+    sides = spread(pairs.join(queries, "query_norm").join(listed.select("entity_id", "variants", "raws"), "entity_id"), pairs.count())
     return sides.select("query_norm", "entity_id", "tokens", "idf", "variants", "raws").mapInPandas(run, _STRINGS)
 
 

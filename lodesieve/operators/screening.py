@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import similarity as sim
 from ..functions import text
 from ..functions.scoring import clamp, lookup
 
@@ -62,41 +61,6 @@ def shifted(threshold: Column, risk: Column, most: float = 0.15) -> Column:
     return F.greatest(F.lit(0.0), threshold - most * clamp(F.coalesce(risk, F.lit(0.0))))
 
 
-def blended(a: Column, b: Column) -> Column:
-    return 0.55 * sim.token_sort_ratio(a, b) + 0.45 * sim.weighted_ratio(a, b)
-
-
-def best_variant(pairs: DataFrame, variants: DataFrame) -> DataFrame:
-    """(query_id, entity_id, variant_ord, variant_norm, wratio): per pair the variant with the best weighted ratio, the
-    first on ties. ``pairs``: (query_id, query_norm, entity_id). max_by combines on the map side."""
-    j = pairs.join(variants, "entity_id").select("query_id", "query_norm", "entity_id", "variant_ord", "variant_norm", "is_primary")
-    j = j.withColumn("wratio", sim.weighted_ratio("query_norm", "variant_norm"))
-    best = F.max_by(F.struct("query_norm", "variant_ord", "variant_norm", "is_primary", "wratio"), F.struct(F.round("wratio", 9), -F.col("variant_ord"))).alias("b")
-    return j.groupBy("query_id", "entity_id").agg(best).select("query_id", "entity_id", "b.*")
-
-
-def pair_features(best: DataFrame) -> DataFrame:
-    """Similarities of the chosen variant alone: token sort and set, weighted, Jaro-Winkler, coverage, lengths, counts."""
-    q, v = text.tokens(F.col("query_norm")), text.tokens(F.col("variant_norm"))
-    qs, vs = F.array_distinct(q), F.array_distinct(v)
-    n = F.greatest(F.size(qs), F.lit(1))
-    ln = F.length("query_norm"), F.length("variant_norm")
-    return best.select(
-        "query_id", "entity_id", "variant_norm", "is_primary", "wratio", sim.token_sort_ratio("query_norm", "variant_norm").alias("token_sort"), sim.token_set_ratio("query_norm", "variant_norm").alias("token_set"),
-        (100 * sim.jaro_winkler("query_norm", "variant_norm")).alias("jaro_winkler"), (F.size(F.array_intersect(qs, vs)) / n).alias("token_coverage"),
-        (F.least(*ln) / F.greatest(*ln, F.lit(1))).alias("len_ratio"), F.size(q).alias("n_query_tokens"), F.size(vs).alias("n_cand_tokens"),
-    )
-
-
-def rare_token_overlap(pairs: DataFrame, idf: DataFrame, default_idf: float, least: float = 0.85) -> DataFrame:
-    """(query_id, entity_id, overlap): idf share of the query tokens that have a near partner in the variant, each weighted
-    with its Jaro-Winkler similarity."""
-    q = pairs.select("query_id", "entity_id", "variant_norm", F.explode(F.array_distinct(text.tokens(F.col("query_norm")))).alias("token")).join(idf.select("token", "idf"), "token", "left").withColumn("idf", F.coalesce("idf", F.lit(default_idf)))
-    j = q.withColumn("other", F.explode_outer(F.array_distinct(text.tokens(F.col("variant_norm")))))
-    best = j.withColumn("jw", F.coalesce(sim.jaro_winkler("token", "other"), F.lit(0.0))).groupBy("query_id", "entity_id", "token").agg(F.max("jw").alias("jw"), F.first("idf").alias("idf"))
-    return best.groupBy("query_id", "entity_id").agg((F.sum(F.when(F.col("jw") >= least, F.col("idf") * F.col("jw")).otherwise(0.0)) / F.coalesce(F.nullif(F.sum("idf"), F.lit(0.0)), F.lit(1.0))).alias("overlap"))
-
-
 def fallback_verdict(scored: DataFrame, high: float = 0.92, low: float = 0.80) -> DataFrame:
     """(query_id, entity_id, score, verdict): the best candidate per query by blended score against risk-shifted
     thresholds. ``scored``: (query_id, entity_id, score 0..1, rank, risk, dob)."""

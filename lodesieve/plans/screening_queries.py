@@ -118,16 +118,22 @@ def _pairs(spark: SparkSession, sf_dir: str, top: int = 150) -> tuple[DataFrame,
     return p, vs, idf, default, q
 
 
+def _string_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recalled pairs (query_id, entity_id, rank) with the best variant and all string features."""
+    p, vs, idf, default, _ = _pairs(spark, sf_dir)
+    p, listed = cut(p), cut(P.listed_side(vs, _persons(spark, sf_dir)))
+    f = P.string_features(p.select("query_norm", "entity_id").distinct(), P.query_side(p.select("query_norm").distinct(), idf, default), listed, default)
+    return p.join(f, ["query_norm", "entity_id"]).join(listed.select("entity_id", "variants"), "entity_id").withColumn("variant_norm", F.get("variants", "variant_ord")).drop("variants")
+
+
 def best_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, vs, *_ = _pairs(spark, sf_dir)
-    return X.best_variant(p, vs).select("query_id", "entity_id", "variant_ord", "variant_norm", F.round("wratio", 4).alias("wratio"))
+    return _string_pairs(spark, sf_dir).select("query_id", "entity_id", "variant_ord", "variant_norm", F.round("wratio", 4).alias("wratio"))
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, vs, idf, default, _ = _pairs(spark, sf_dir)
-    best = cut(X.best_variant(p, vs))
-    f = X.pair_features(best).join(X.rare_token_overlap(best, idf, default), ["query_id", "entity_id"], "left")
-    return f.withColumns({c: F.round(c, 4) for c in ("wratio", "token_sort", "token_set", "jaro_winkler", "token_coverage", "len_ratio", "overlap")})
+    """The string features of every recalled pair."""
+    scores = ("wratio", "token_sort", "token_set", "jaro_winkler", "phonetic_agreement", "token_coverage", "rare_token_overlap", "query_rarity", "len_ratio")
+    return _string_pairs(spark, sf_dir).select("query_id", "entity_id", "variant_norm", (F.col("variant_ord") == 0).alias("is_primary"), *[F.round(c, 4).alias(c) for c in scores], "n_query_tokens", "n_cand_tokens")
 
 
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +163,7 @@ def stated_births(comments: Column) -> Column:
 def fallback_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the other list screened without a model: best blended score against the thresholds. A name of a list is
     no payment, so its risk is 0; dates of birth are those of the entity against those that the comments tell."""
-    p, vs, *_ = _pairs(spark, sf_dir)
-    b = X.best_variant(p, vs).join(p.select("query_id", "entity_id", "rank"), ["query_id", "entity_id"])
-    s = b.withColumn("score", X.blended(F.col("query_norm"), F.col("variant_norm")) / 100).withColumn("risk", F.lit(0.0))
+    s = _string_pairs(spark, sf_dir).withColumn("score", (0.55 * F.col("token_sort") + 0.45 * F.col("wratio")) / 100).withColumn("risk", F.lit(0.0))
     said = table(spark, sf_dir, "un_entity").where("un_id is not null and name is not null").groupBy(F.col("un_id").alias("query_id")).agg(F.max_by(F.struct("comments"), F.struct("created_at", "id")).alias("r")).select("query_id", stated_births(F.col("r.comments")).alias("asked"))
     born = entities(spark, sf_dir).select("entity_id", text.split_multi(F.col("birth_date")).alias("dobs"))
     s = s.join(said, "query_id", "left").join(born, "entity_id", "left")

@@ -73,6 +73,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, rows: int, rows_per_task: int = 4_000) -> DataFrame:
+    """df in as many partitions as its ``rows`` are worth when each costs much CPU time and few bytes: partitions sized by
+    bytes would put thousands of such rows into one task. At most 64 tasks per core."""
+    n = -(-rows // rows_per_task)
+    return df.repartition(max(1, min(n, 64 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
