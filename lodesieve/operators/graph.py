@@ -284,7 +284,8 @@ def related_edges(rolled: DataFrame, targets: DataFrame, k: int = 12) -> DataFra
 def edge_math(exposure: DataFrame, as_of: Column) -> DataFrame:
     """(node_key, step, edge_type, flow, amount, materiality, concentration, time_decay, multiplier) of every edge of a stored path."""
     x = exposure.select("node_key", F.posexplode("best_path").alias("step", "s")).where("step > 0 and s is not null")
-    four = lambda c, otherwise=0.0: F.round(F.coalesce(c.cast("double"), F.lit(otherwise)), 4)
+    # rounded as decimals, so that a half is a half
+    four = lambda c: F.round(F.coalesce(c.cast("decimal(20,8)"), F.lit(0)), 4).cast("double")
     seen = F.col("s.last_seen").cast("string").try_cast("date")
     multiplier = F.coalesce(F.nullif(F.col("s.directional_multiplier").cast("double"), F.lit(0.0)), F.lit(1.0))
     return x.select(

@@ -390,8 +390,8 @@ w as (select *, ls is not null and (ds is null or ld <= 2 and coalesce(lv, '') =
 select node_key, round(case when keep then ls else ds end, 13) as score, case when keep then ld else dd end as depth, case when keep then lo else do_ end as source, case when keep then 'primary' else 'derived' end as origin from w""",
         "derived_path_keys": f"with {_STITCHED} select node_key, source as source_risk_node, round(score, 13) as score, node_key || '>' || array_to_string(list_reverse(apath), '>') as path, w as weight, code, suppressed, round(amt, 2) as amount from d",
         "edge_math": f"""with x as (select node_key, unnest(best_path) as s, unnest(range(len(best_path))) as step from exposure_index)
-select distinct node_key, step::int as step, s.edge_type as edge_type, s.semantic_flow as flow, round(coalesce(s.amount::double, 0), 4) as amount, round(coalesce(s.flow_materiality_weight::double, 0), 4) as materiality, round(coalesce(s.flow_concentration::double, 0), 4) as concentration,
-  round({_DECAY.format(c="try_cast(s.last_seen as date)")}, 4) as time_decay, round(coalesce(nullif(s.directional_multiplier::double, 0), 1), 4) as multiplier from x where step > 0 and s is not null""",
+select distinct node_key, step::int as step, s.edge_type as edge_type, s.semantic_flow as flow, round(coalesce(s.amount::decimal(20,8), 0), 4)::double as amount, round(coalesce(s.flow_materiality_weight::decimal(20,8), 0), 4)::double as materiality, round(coalesce(s.flow_concentration::decimal(20,8), 0), 4)::double as concentration,
+  round({_DECAY.format(c="try_cast(s.last_seen as date)")}, 4) as time_decay, round(coalesce(nullif(s.directional_multiplier::decimal(20,8), 0), 1), 4)::double as multiplier from x where step > 0 and s is not null""",
         "exposure_reason": f"""with n as (select {_key("node_key")} as k, any_value(lower(risk_level)) as level from graph_nodes group by 1),
 x as (select e.*, {_key("source_risk_node")} as k, array_to_string(list_transform(list_filter(coalesce(best_path, [])[2:], lambda s: s is not null), lambda s: s.edge_type), ' -> ') as hops from exposure_index e where exposure_score is not null and best_depth is not null)
 select distinct node_key, case when best_depth = 0 and coalesce(level, 'unknown') = 'sanctioned' then 'direct sanctioned account anchor' when best_depth = 0 then coalesce(level, 'unknown') || ' anchor node'

@@ -96,7 +96,7 @@ def fan_in(parts: DataFrame, timeout: str = "5 seconds", late: str = "1 hour", o
             yield pd.DataFrame([(txn, v, s, len(results), True)], columns=["txn_id", "verdict", "status", "n_results", "timed_out"])
             return
         new = [r for pdf in batches for r in zip(pdf["at"], pdf["verdict"], pdf["applicable"], pdf["module"], strict=True) if r[3] is not None]
-        for _, v, ok, m in sorted(new, key=lambda r: (pd.isna(r[0]), r[0] if not pd.isna(r[0]) else 0, r[1] or "NO_MATCH", bool(r[2]))):
+        for _, v, ok, m in sorted(new, key=lambda r: (pd.isna(r[0]), r[0] if not pd.isna(r[0]) else 0)):
             if m not in got:
                 got[m] = (v or "NO_MATCH", bool(ok))
         if done:
