@@ -231,7 +231,7 @@ def match(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame],
     bc, ac = with_counts(b.select("id", "key").distinct(), a)
     ac, bc = (cut(with_rare(d.select("id", "key").distinct().join(c, "id"), usual)) for d, c in ((a, ac), (b, bc)))
     sketch = lambda d, c: signatures(d.join(c.select("id", "listed"), "id"), usual, p)
-    pairs = sketch(a, ac).withColumnRenamed("id", "a").join(sketch(b, bc).withColumnRenamed("id", "b"), "band").select("a", "b").distinct()
+    pairs = sketch(a, ac).withColumnRenamed("id", "a").join(sketch(b, bc).withColumnRenamed("id", "b").hint("merge"), "band").select("a", "b").distinct()
     near = cut(spelling_features(near_names(pairs, ac, bc, usual), usual, p))
     side = lambda d, s: d.select(F.col("id").alias(s), F.col("record").alias(f"{s}_record"))
     fact = lambda f, s: f.select(F.col("record").alias(f"{s}_record"), *[F.col(c).alias(f"{s}_{c}") for c in ("years", "dates", "codes", "firm")])

@@ -357,7 +357,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, p: LeakParams | None =
     table = _bit_table(words, p)
     placed = cut(regions(documents, table, p))
     distinct = cut(placed.groupBy("region").agg(F.first("words").alias("words"), F.count_distinct("text_hash").alias("n_texts")))
-    pairs = region_bands(distinct, table, p).join(item_bands(words, p), "band").select("region", "item").distinct()
+    # a merge join whatever the statistics say: they know the size of the words, not of the many bands made of them
+    pairs = region_bands(distinct, table, p).join(item_bands(words, p).hint("merge"), "band").select("region", "item").distinct()
     hits = cut(alignments(contained(pairs, distinct, words, p), p))
     clauses = clause_words(hits, distinct.select("region", "n_texts"), words, documents.count(), p)
     final = hits.join(clauses, "item", "left").mapInPandas(_final(p), "region long, item_id long").distinct()
