@@ -19,24 +19,38 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * _lcs(a, b) / (len(a) + len(b))
 
 
-def _lcs(a: str, b: str) -> int:
+@lru_cache(maxsize=100_000)
+def _masks(a: str) -> dict[str, int]:
+    """The places of every letter, as bits."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def _lcs(a: str, b: str) -> int:
+    get = _masks(a).get
     full = (1 << len(a)) - 1
     v = full
     for c in b:
-        u = v & where.get(c, 0)
+        u = v & get(c, 0)
         v = (v + u | v - u) & full
     return len(a) - v.bit_count()
 
 
+@lru_cache(maxsize=200_000)
+def _sorted(a: str) -> tuple[str, frozenset[str], bool]:
+    """The words in order, as a set, and whether each stands once."""
+    w = a.split()
+    return " ".join(sorted(w)), frozenset(w), len(set(w)) == len(w)
+
+
 def token_sort(a: str, b: str) -> float:
-    return indel_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    return indel_ratio(_sorted(a)[0], _sorted(b)[0])
 
 
 def _sets(a: str, b: str) -> tuple[str, str, str]:
-    x, y = set(a.split()), set(b.split())
+    x, y = _sorted(a)[1], _sorted(b)[1]
     return " ".join(sorted(x & y)), " ".join(sorted(x - y)), " ".join(sorted(y - x))
 
 
@@ -93,7 +107,10 @@ def weighted(a: str, b: str) -> float:
     base = indel_ratio(a, b)
     longer = max(len(a), len(b)) / min(len(a), len(b))
     if longer < 1.5:
-        return max(base, 0.95 * max(token_sort(a, b), token_set(a, b)))
+        best = max(base, 0.95 * token_sort(a, b))
+        (_, x, once_a), (_, y, once_b) = _sorted(a), _sorted(b)
+        # without a common word, and each word once, the ratio of the sets is that of the sorted words
+        return best if best >= 95 or once_a and once_b and x.isdisjoint(y) else max(best, 0.95 * token_set(a, b))
     scale = 0.9 if longer <= 8 else 0.6
     return max(base, scale * partial(a, b), 0.95 * scale * partial_token(a, b))
 
