@@ -91,11 +91,8 @@ def rows_per_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named rows of one dataset, with an id made from dataset and number where the key is missing."""
-    from pyspark.sql import Window as W
-
     t = table(spark, sf_dir, "opensanctions_target").where("dataset = 'peps' and name is not null")
-    w = W.orderBy("id")
-    made = t.where("entity_id is null").withColumn("n", F.row_number().over(w) - 1)  # the few rows without a key
+    made = M.running_sums(t.where("entity_id is null").select("id", "dataset", "name", F.lit(1).alias("one")), ["one"], [F.col("id")]).withColumn("n", F.col("upto_one") - 1)
     a = t.where("entity_id is not null").select("id", "entity_id", F.trim("name").alias("name"))
     return a.unionByName(made.select("id", F.concat("dataset", F.lit("-"), F.col("n").cast("string")).alias("entity_id"), F.trim("name").alias("name")))
 

@@ -61,3 +61,21 @@ def test_scores_fall_along_a_path(spark, depth):
 
 def test_empty_graph(spark):
     assert exposure(spark, [], []) == {}
+
+
+def test_a_hub_of_a_tenth_of_all_edges_receives_but_does_not_pass_on(spark):
+    """A hub beyond the degree limit gets a label from the anchor beside it; nothing behind it does, however many edges."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from lodesieve.operators import graph as G
+
+    day = dt.date(2026, 6, 13)
+    edge = lambda i, a, b: (str(i), a, b, "SENT_TO", 20_000.0, 3, day - dt.timedelta(40), day - dt.timedelta(2), 0.95)
+    edges = [edge(0, "BAD", "HUB")] + [edge(1 + i, f"N{i}", "HUB") for i in range(300)] + [edge(1000 + i, f"P{i}", f"Q{i}") for i in range(2700)] + [edge(9000, "CLEAN", "BAD")]
+    keys = {k for e in edges for k in e[1:3]}
+    nodes = spark.createDataFrame([(k, "IBAN", "SANCTIONED" if k == "BAD" else "NONE") for k in keys], "node_key string, node_type string, risk_level string")
+    e = spark.createDataFrame(edges, "id string, from_node_key string, to_node_key string, edge_type string, total_amount double, transaction_count int, first_seen date, last_seen date, confidence double")
+    labels = G.propagate(nodes, G.adjacency(G.scored_edges(G.edge_rollup(G.plain_edges(e)), F.lit(day))))
+    assert {r.node_key: r.depth for r in labels.collect()} == {"BAD": 0, "HUB": 1, "CLEAN": 1}

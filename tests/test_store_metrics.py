@@ -64,3 +64,22 @@ def test_combine_takes_the_worst_applicable(spark):
 def test_monthly_counts_fill_gaps(spark):
     d = spark.createDataFrame([("2026-01-05",), ("2026-03-01",), ("2026-03-09",), (None,)], "d string")
     assert [(str(r.month), r.n, r.total) for r in S.monthly_counts(d, F.col("d").try_cast("date")).orderBy("month").collect()] == [("2026-01-01", 1, 1), ("2026-02-01", 0, 1), ("2026-03-01", 2, 3)]
+
+
+def test_running_sums_and_quantiles_against_brute_force(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lodesieve.operators import metrics as M
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), round(rng.random(), 2), rng.randrange(5)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "g string, v double, n int").repartition(7)
+    one = df.groupBy("g", "v").agg(F.sum("n").alias("n"))
+    got = {(r.g, r.v): r.upto_n for r in M.running_sums(one, ["n"], [F.col("v")], ["g"]).collect()}
+    assert got == {(g, v): sum(n for a, b, n in rows if a == g and b <= v) for g, v, _ in rows}
+    assert M.running_sums(one.limit(0), ["n"], [F.col("v")]).count() == 0
+    cuts = M.quantiles(df, "v", [0.1, 0.5, 0.93]).first().cuts
+    assert np.allclose(cuts, np.quantile([v for _, v, _ in rows], [0.1, 0.5, 0.93]))
