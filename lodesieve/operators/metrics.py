@@ -104,6 +104,16 @@ def choose_thresholds(curve: DataFrame, precision: float = 0.95, recall: float =
     return a.select(F.round("hi", 4).alias("tau_high"), F.round(F.when(low >= F.col("hi"), F.col("hi") * 0.5).otherwise(low), 4).alias("tau_low"))
 
 
+def choose_member(candidates: DataFrame, most_over_block: float = 1.0, most_review: float = 12.0) -> DataFrame:
+    """The candidate to use: of those within the bounds on over-blocking and review (percent), else of all, the one with the
+    greatest sum of flag recall and F1; ties by name. ``candidates``: (name, metrics of ``screening_metrics``)."""
+    p, r = F.col("block_precision"), F.col("recall")
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    viable = (F.col("over_block_rate") <= most_over_block) & (F.col("review_rate") <= most_review)
+    scored = candidates.withColumn("viable", viable).withColumn("merit", F.col("flag_recall") + f1)
+    return scored.agg(F.min_by(F.struct(*scored.columns), F.struct((~F.col("viable")).alias("a"), (-F.round("merit", 12)).alias("b"), "name")).alias("x")).select("x.*")
+
+
 def bootstrap(rows: DataFrame, id_column: str, replicates: int = 300) -> DataFrame:
     """(replicate, block_precision, recall): Poisson resampling. Every row draws its weight per replicate from a hash, so
     nothing is collected; rows are first counted by (verdict, listed) and replicate."""

@@ -74,6 +74,21 @@ def model_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("token_sort"), 2).alias("token_sort"), F.round(F.avg("rare_token_overlap"), 4).alias("rare_token_overlap"))
 
 
+def model_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The member to use on its own: thresholds of each from one half of the held-out pairs, metrics from the other."""
+    rows = _training_rows(spark, sf_dir)
+    members = L.fit_members(rows, P.FEATURES)
+    out = None
+    for name in members:
+        held = cut(L.vote_with({name: members[name]})(rows.where("part = 0")).select("unit", "prob", (F.col("label") == 1).alias("listed")))
+        tune = F.pmod(F.xxhash64("unit", F.lit("tune")), F.lit(2)) == 0
+        t = M.choose_thresholds(M.precision_recall(held.where(tune))).first()
+        verdict = F.when(F.col("prob") >= t.tau_high, "MATCH").when(F.col("prob") >= t.tau_low, "REVIEW").otherwise("NO_MATCH")
+        m = M.screening_metrics(held.where(~tune).select(verdict.alias("verdict"), "listed")).select(F.lit(name).alias("name"), F.lit(t.tau_high).alias("tau_high"), F.lit(t.tau_low).alias("tau_low"), "*")
+        out = m if out is None else out.unionByName(m)
+    return M.choose_member(out)
+
+
 def screen_payments_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments through all stages with the calibrated vote of three models. Thresholds come from the held-out pairs: the
     precision aimed at, the recall aimed at and the review budget."""
@@ -86,7 +101,7 @@ def screen_payments_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (entity_split, training_pairs, model_scores, model_quality, model_training, screen_payments_model)}
+    return {f.__name__: f for f in (entity_split, training_pairs, model_scores, model_quality, model_training, model_choice, screen_payments_model)}
 
 
 def oracle_sql() -> dict[str, str]:

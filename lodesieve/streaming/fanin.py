@@ -7,7 +7,7 @@ watermark; nothing leaks. Missing results count as not applicable (fail open), o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -143,6 +143,29 @@ def upsert_sink(path: str, key: str = "txn_id"):
     return write
 
 
+class Reloading:
+    """A foreachBatch sink whose static side is swapped while the stream runs: before each batch the version is asked for, and
+    the side is loaded again if it changed (a pointer file, a count of flags, the last run of a store). Each batch overwrites
+    its own folder, so a repeated batch is written once; a failed reload keeps the side that was there."""
+
+    def __init__(self, load: Callable[[], DataFrame], version: Callable[[], object], step: Callable[[DataFrame, DataFrame], DataFrame], path: str):
+        self.load, self.version, self.step, self.path = load, version, step, path
+        self.static: DataFrame | None = None
+        self.seen: object = None
+        self.reloads = 0
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        now = self.version()
+        if self.static is None or now != self.seen:
+            try:
+                self.static, self.seen = self.load(), now
+                self.reloads += 1
+            except Exception:
+                if self.static is None:
+                    raise
+        self.step(batch, self.static).write.mode("overwrite").parquet(f"{self.path}/batch={number:09d}")
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into a table; returns the table. Batches without data are switched off for
     this run: with a processing-time timeout they would follow one another without end."""

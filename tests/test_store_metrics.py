@@ -83,3 +83,12 @@ def test_running_sums_and_quantiles_against_brute_force(spark):
     assert M.running_sums(one.limit(0), ["n"], [F.col("v")]).count() == 0
     cuts = M.quantiles(df, "v", [0.1, 0.5, 0.93]).first().cuts
     assert np.allclose(cuts, np.quantile([v for _, v, _ in rows], [0.1, 0.5, 0.93]))
+
+
+def test_the_member_within_bounds_wins(spark):
+    from lodesieve.operators import metrics as M
+
+    cols = "name string, block_precision double, recall double, flag_recall double, over_block_rate double, review_rate double"
+    rows = [("greedy", 0.9, 0.99, 1.0, 3.0, 5.0), ("b", 0.9, 0.8, 0.9, 0.5, 8.0), ("a", 0.9, 0.8, 0.9, 0.5, 8.0), ("slow", 0.99, 0.9, 0.99, 0.1, 31.0)]
+    assert M.choose_member(spark.createDataFrame(rows, cols)).first().name == "a"
+    assert M.choose_member(spark.createDataFrame(rows[:1] + rows[3:], cols)).first().name == "greedy"

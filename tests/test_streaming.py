@@ -67,3 +67,24 @@ def test_replay_draws_stored_payments(spark):
         q.stop()
     rows = spark.table("replayed").collect()
     assert len(rows) >= 20 and {r.bene_name for r in rows} <= {f"n{i}" for i in range(5)} and len({r.txn_id for r in rows}) == len(rows)
+
+
+def test_static_side_is_swapped_between_batches(spark, tmp_path):
+    state = {"version": 1, "keys": ["a"], "broken": False}
+
+    def load():
+        if state["broken"]:
+            raise OSError("gone")
+        return spark.createDataFrame([(k, True) for k in state["keys"]], "txn_id string, listed boolean")
+
+    sink = fanin.Reloading(load, lambda: state["version"], lambda b, side: b.join(side, "txn_id", "left").fillna(False, ["listed"]), str(tmp_path / "out"))
+    (tmp_path / "in").mkdir()
+    for n, (version, keys, broken) in enumerate([(1, ["a"], False), (1, ["a", "b"], False), (2, ["b"], False), (3, ["a"], True)]):
+        state |= {"version": version, "keys": keys, "broken": broken}
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"txn_id": t, "n": n}) for t in "ab"))
+        s = spark.readStream.schema("txn_id string, n int").json(str(tmp_path / "in"))
+        s.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.n, r.txn_id): r.listed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # the second batch still has the first side; the third the new one; the fourth keeps it, as its load fails
+    assert got == {(0, "a"): True, (0, "b"): False, (1, "a"): True, (1, "b"): False, (2, "a"): False, (2, "b"): True, (3, "a"): False, (3, "b"): True}
+    assert sink.reloads == 2
