@@ -88,7 +88,97 @@ def feed_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.list_entities(spark, path, "sdn").select("ent_num", "name", "sdn_type", "program", "remarks", "list_source").distinct()
 
 
-QUERIES = (stream_first_deliveries, stream_name_results, stream_exposure_results, stream_fan_in, stream_status_counts, feed_targets, feed_wallets, feed_positional)
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "un_entity").where("un_id is not null").select("un_id", F.explode("aliases").alias("alias")).where("trim(alias) <> ''").distinct()
+    return t.select("un_id", F.regexp_replace("alias", "[^\\x20-\\x7e]", "?").alias("alias"))
+
+
+def feed_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases written as a headerless positional feed and read back."""
+    path = _place(spark)[0]
+    _aliases(spark, sf_dir).select("un_id", F.length("alias").cast("string"), F.lit("aka"), "alias", F.lit("-0-")).write.csv(path, header=False, quote='"', escape='"', quoteAll=True)
+    return feeds.list_aliases(spark, path).distinct()
+
+
+def feed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses written as a headerless positional feed, blanks and marks of missing values included, and read back."""
+    path = _place(spark)[0]
+    t = table(spark, sf_dir, "opensanctions_target").where("entity_id is not null").select("id", F.explode("addresses").alias("a"))
+    plain = F.regexp_replace("a", "[^\\x20-\\x7e]", "?")
+    t.select(F.col("id").cast("string"), F.lit("7"), plain, F.lit(" "), F.lit("-0-"), F.lit("")).write.csv(path, header=False, quote='"', escape='"', quoteAll=True)
+    return feeds.list_addresses(spark, path).distinct()
+
+
+def _xml_feed(spark: SparkSession, sf_dir: str) -> str:
+    """Targets as XML entities: full name for persons, last name else, programs, and a wallet feature for wallets."""
+    t = table(spark, sf_dir, "opensanctions_target").where("entity_id is not null and name is not null").select("entity_id", "entity_schema", F.trim("name").alias("name"), F.filter(F.coalesce("sanctions", F.array().cast("array<string>")), lambda x: F.trim(x) != "").alias("programs"), F.try_element_at("identifiers", F.lit(1)).alias("cur")).distinct()
+    person = F.col("entity_schema") == "Person"
+    spelled = F.struct(F.when(person, F.col("name")).alias("formattedFullName"), F.when(~person, F.col("name")).alias("formattedLastName"))
+    names = F.struct(F.array(F.struct(F.struct(F.array(spelled).alias("translation")).alias("translations"))).alias("name"))
+    feature = F.struct(F.concat(F.lit("Digital Currency Address - "), F.coalesce("cur", F.lit("XX"))).alias("type"), F.col("name").alias("value"))
+    features = F.when(F.col("entity_schema") == "CryptoWallet", F.struct(F.array(feature).alias("feature")))
+    path = _place(spark)[0]
+    rows = t.select(F.col("entity_id").alias("_id"), F.struct(F.col("entity_schema").alias("entityType")).alias("generalInfo"), names.alias("names"), F.struct(F.col("programs").alias("sanctionsProgram")).alias("sanctionsPrograms"), features.alias("features"))
+    rows.write.format("xml").option("rootTag", "entities").option("rowTag", "entity").save(path)
+    return path
+
+
+def feed_xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = feeds.enhanced_entities(spark, _xml_feed(spark, sf_dir))
+    return r.select("entity_id", "entity_type", "name", F.size("programs").alias("n_programs")).distinct()
+
+
+def feed_xml_wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.enhanced_wallets(feeds.enhanced_entities(spark, _xml_feed(spark, sf_dir))).distinct()
+
+
+def feed_xml_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as XML individuals and entities, names in up to two parts, and read back."""
+    path = _place(spark)[0]
+    t = table(spark, sf_dir, "un_entity").where("un_id is not null and name is not null").withColumn("w", F.split(F.trim("name"), " +", 2))
+    for tag, kind in (("INDIVIDUAL", "individual"), ("ENTITY", "entity")):
+        aliases = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(a.alias("ALIAS_NAME"))).alias(f"{tag}_ALIAS")
+        rows = t.where(F.col("record_type") == kind).select(
+            F.col("un_id").alias("DATAID"), F.get("w", F.lit(0)).alias("FIRST_NAME"), F.get("w", F.lit(1)).alias("SECOND_NAME"), F.col("un_list_type").alias("UN_LIST_TYPE"), F.col("reference_number").alias("REFERENCE_NUMBER"),
+            F.struct(F.coalesce("nationalities", F.array().cast("array<string>")).alias("VALUE")).alias("NATIONALITY"), F.col("listed_on").alias("LISTED_ON"), F.col("comments").alias("COMMENTS1"), aliases,
+        )
+        rows.write.format("xml").option("rootTag", f"{tag}S").option("rowTag", tag).save(f"{path}/{kind}")
+    r = feeds.un_records(spark, f"{path}/*")
+    return r.select("un_id", "record_type", "name", F.size("aliases").alias("n_aliases"), "un_list_type", "reference_number", F.size("nationalities").alias("n_nationalities"), "listed_on", "comments").distinct()
+
+
+def feed_parquet_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot in Parquet that lacks some of the optional columns."""
+    path = _place(spark)[0]
+    t = table(spark, sf_dir, "opensanctions_target").where("entity_id is not null")
+    t.select(F.col("entity_id").alias("id"), F.when(F.col("entity_schema") == "Company", "Trust").otherwise(F.col("entity_schema")).alias("schema"), F.trim("name").alias("name"), F.array_join(F.coalesce("countries", F.array().cast("array<string>")), ";").alias("countries"), "birth_date").write.parquet(path)
+    return feeds.entities_parquet(spark, path).select("entity_id", "entity_schema", "name", F.size("countries").alias("n_countries"), F.size("aliases").alias("n_aliases"), "birth_date", "first_seen").distinct()
+
+
+def feed_text_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A headered CSV read as text throughout, missing values as ''."""
+    path = _place(spark)[0]
+    table(spark, sf_dir, "txn_event").select("txn_id", "channel", "amount", "currency", "rail").write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    r = feeds.all_text_csv(spark, path)
+    return r.select("txn_id", "channel", F.col("amount").try_cast("double").alias("amount"), "currency", "rail").distinct()
+
+
+def feed_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document numbers found in text files, counted."""
+    path = _place(spark)[0]
+    table(spark, sf_dir, "opensanctions_target").where("raw is not null").select("raw").write.text(path)
+    return feeds.pattern_hits(spark, path, "TIN-[0-9]{8}")
+
+
+def feed_line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a headered feed without its header, as a row."""
+    path = _place(spark)[0]
+    keys = table(spark, sf_dir, "opensanctions_target").where("entity_id is not null").select("entity_id").distinct()
+    spark.createDataFrame([("entity_id",)], "entity_id string").unionByName(keys).write.text(path)
+    return spark.createDataFrame([(feeds.line_count(spark, path),)], "n long")
+
+
+QUERIES = (feed_aliases, feed_addresses, feed_xml_entities, feed_xml_wallets, feed_xml_records, feed_parquet_entities, feed_text_csv, feed_pattern_hits, feed_line_count, stream_first_deliveries, stream_name_results, stream_exposure_results, stream_fan_in, stream_status_counts, feed_targets, feed_wallets, feed_positional)
 
 
 def queries() -> dict:
@@ -112,6 +202,15 @@ w as (select txn_id, coalesce(max(v) filter (ok), 0) as v from one group by 1)
 select txn_id, ['NO_MATCH', 'REVIEW', 'MATCH'][v + 1] as verdict, ['allowed', 'review', 'blocked'][v + 1] as status, 2 as n_results, false as timed_out from w""",
         "stream_status_counts": "select status, count(*) as n from pipeline_verdict group by 1",
         "feed_targets": f"select distinct dataset, entity_id, entity_schema, nullif(trim(name), '') as name, nullif(trim(birth_date), '') as birth_date, {n('aliases')}, {n('countries')}, {n('sanctions')}, first_seen from opensanctions_target where entity_id is not null and dataset = 'sanctions'",
+        "feed_aliases": "select distinct try_cast(un_id as int) as ent_num, length(a)::int as alt_num, 'aka' as alt_type, nullif(trim(a), '') as alt_name, null::varchar as alt_remarks from (select un_id, regexp_replace(alias, '[^\\x20-\\x7e]', '?', 'g') as a from (select un_id, unnest(aliases) as alias from un_entity where un_id is not null) where trim(alias) <> '')",
+        "feed_addresses": "select distinct id::int as ent_num, 7 as add_num, nullif(trim(a), '') as address, null::varchar as city_state_zip, null::varchar as country, null::varchar as add_remarks from (select id, regexp_replace(x, '[^\\x20-\\x7e]', '?', 'g') as a from (select id, unnest(addresses) as x from opensanctions_target where entity_id is not null))",
+        "feed_xml_entities": "select distinct entity_id, entity_schema as entity_type, trim(name) as name, len(list_filter(coalesce(sanctions, []), lambda x: trim(x) <> ''))::int as n_programs from opensanctions_target where entity_id is not null and name is not null",
+        "feed_xml_wallets": "select distinct entity_id, trim(name) as address, trim(coalesce(identifiers[1], 'XX')) as currency from opensanctions_target where entity_id is not null and name is not null and entity_schema = 'CryptoWallet' and trim(name) <> ''",
+        "feed_xml_records": "select distinct trim(un_id) as un_id, record_type, regexp_replace(trim(name), '^([^ ]+) +', '\\1 ') as name, len(list_filter(coalesce(aliases, []), lambda x: trim(x) <> ''))::int as n_aliases, nullif(trim(un_list_type), '') as un_list_type, trim(reference_number) as reference_number, len(list_filter(coalesce(nationalities, []), lambda x: x is not null))::int as n_nationalities, trim(listed_on) as listed_on, nullif(trim(comments), '') as comments from un_entity where un_id is not null and name is not null and record_type in ('individual', 'entity')",
+        "feed_parquet_entities": "select distinct entity_id, case when entity_schema in ('Person', 'Organization', 'LegalEntity', 'CryptoWallet', 'Vessel', 'Airplane') then entity_schema else 'Other' end as entity_schema, trim(name) as name, len(list_filter(list_transform(string_split(array_to_string(coalesce(countries, []), ';'), ';'), lambda x: trim(x)), lambda x: x <> ''))::int as n_countries, 0 as n_aliases, birth_date, null::varchar as first_seen from opensanctions_target where entity_id is not null",
+        "feed_text_csv": "select distinct coalesce(txn_id, '') as txn_id, coalesce(channel, '') as channel, amount, coalesce(currency, '') as currency, coalesce(rail, '') as rail from txn_event",
+        "feed_pattern_hits": "select hit, count(*) as n from (select unnest(regexp_extract_all(raw, 'TIN-[0-9]{8}')) as hit from opensanctions_target where raw is not null) group by 1",
+        "feed_line_count": "select count(distinct entity_id) as n from opensanctions_target where entity_id is not null",
         "feed_wallets": "select distinct trim(name) as address, identifiers[1] as currency, entity_id as entity_ref, dataset from opensanctions_target where dataset = 'crypto' and entity_schema = 'CryptoWallet' and name is not null",
         "feed_positional": "select distinct try_cast(un_id as int) as ent_num, nullif(trim(regexp_replace(name, '[^\\x20-\\x7e]', '?', 'g')), '') as name, null::varchar as sdn_type, programs[1] as program, null::varchar as remarks, 'sdn' as list_source from un_entity where un_id is not null and name is not null",
     }
