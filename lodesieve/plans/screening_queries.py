@@ -53,6 +53,16 @@ def multi_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("birth_date", F.size(text.split_multi(F.col("birth_date"))).alias("n_parts"), F.try_element_at(text.split_multi(F.col("birth_date")), F.lit(1)).alias("first_part"))
 
 
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element names without namespace, the first text of several, what follows a dash, and a search over fields put together."""
+    t = table(spark, sf_dir, "txn_event").select("txn_id", "channel", "currency", "rail", "bene_dob", "bene_name").distinct()
+    tag = F.concat(F.lit("{urn:x}pay:"), F.coalesce("rail", F.lit("")))
+    return t.select(
+        "txn_id", text.localname(tag).alias("tag"), text.first_text(F.col("bene_name"), F.col("rail"), F.col("currency")).alias("first"), text.after_dash(F.col("bene_dob")).alias("after_dash"),
+        text.contains_any("PA", "bene_name", "rail").alias("found"), text.to_int(F.substring("bene_dob", 1, 4)).alias("number"),
+    ).distinct()
+
+
 def latest_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).select("entity_id", "ord", "entity_schema", "name", F.size(F.coalesce("aliases", F.array().cast("array<string>"))).alias("n_aliases"))
 
@@ -263,7 +273,7 @@ def best_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    norm_text, name_tokens, norm_ids, clean_cells, multi_values, latest_entities, variant_explode, token_df, token_idf, exact_name_map, identifier_map, wallet_map, index_size, phonetic_postings,
+    norm_text, name_tokens, norm_ids, clean_cells, multi_values, text_helpers, latest_entities, variant_explode, token_df, token_idf, exact_name_map, identifier_map, wallet_map, index_size, phonetic_postings,
     recall_candidates, recall_phonetic, best_variants, pair_features, jaro_winkler_pairs, token_ratios, fallback_screening, screen_payments, payment_exact_stage, query_rarity, payment_risk, risk_thresholds, exact_screening, attribute_agreement, id_screening, id_lookup,
     wallet_screening, payment_routing, best_by_query,
 )
@@ -326,6 +336,8 @@ def oracle_sql() -> dict[str, str]:
         "norm_ids": f"select identifier, {_ID.format(c='identifier')} as norm_id from (select distinct unnest(identifiers) as identifier from opensanctions_target)",
         "clean_cells": f"select distinct txn_id, {clean('bene_dob')} as bene_dob, {clean('bene_passport')} as bene_passport, {clean('bene_country')} as bene_country, try_cast(nullif(regexp_extract(bene_dob, '^([0-9]{{4}})', 1), '') as int) as dob_year from txn_event",
         "multi_values": f"select birth_date, len({parts}) as n_parts, ({parts})[1] as first_part from (select distinct birth_date from opensanctions_target)",
+        "text_helpers": """select distinct txn_id, regexp_extract(coalesce(rail, ''), '([^}:]*)$', 1) as tag, coalesce(nullif(trim(bene_name), ''), nullif(trim(rail), ''), nullif(trim(currency), '')) as first,
+  case when contains(bene_dob, '-') then trim(regexp_extract(bene_dob, '^[^-]*-(.*)$', 1)) else trim(bene_dob) end as after_dash, contains(lower(concat_ws(' ', bene_name, rail)), 'pa') as found, case when regexp_full_match(trim(substring(bene_dob, 1, 4)), '[+-]?[0-9]+') then try_cast(trim(substring(bene_dob, 1, 4)) as int) end as number from txn_event""",
         "latest_entities": f"with {_ENT} select entity_id, ord, entity_schema, name, len(coalesce(aliases, [])) as n_aliases from ent",
         "variant_explode": f"with {_VAR} select entity_id, variant_ord, variant_norm, is_primary from var",
         "token_df": f"with {_DF} select token, df from tdf",
